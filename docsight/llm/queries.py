@@ -150,7 +150,7 @@ with d as (
   select doc_id, coalesce(text, '') as text, row_number() over () as r from documents),
 w as (
   select r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
          length(regexp_replace(text, '[^0-9]', '', 'g')) as digits
   from d),
@@ -165,13 +165,13 @@ covered as (
 repeats as (select r, count(*) as n from covered group by r),
 m as (
   select d.doc_id, cast(len(words) as bigint) as n_words,
-         cast(coalesce(list_sum(list_transform(words, x -> length(x))), 0) as bigint) as word_chars,
+         cast(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as bigint) as word_chars,
          cast(n_symbols as bigint) as n_symbols,
          cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
          cast(coalesce(repeats.n, 0) as bigint) as n_repeat_words,
-         len(list_filter(words, x -> regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) as letter_words, digits, len(lines) as n_lines,
-         len(list_filter(lines, x -> regexp_matches(x, '^[\x20\x09-\x0D]*(-|\*|•)'))) as bullets,
-         len(list_filter(lines, x -> regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) as ellipses
+         len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) as letter_words, digits, len(lines) as n_lines,
+         len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*(-|\*|•)'))) as bullets,
+         len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) as ellipses
   from d join w using (r) left join repeats using (r)),
 v as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
