@@ -1,19 +1,448 @@
-"""The engine's own registered queries and the SQL that checks them."""
+"""The engine's own registered queries and the SQL that checks them.
+
+Each query applies library operators to whole driver tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as tx
+from .operators import compile as cp
+from .operators import evaluate as ev
+from .operators import graph as gr
+from .operators import ingest as ig
+from .operators import retrieve as rt
+from .streaming import guards
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        _QUERIES[f.__name__] = run
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+WORDS = r"regexp_extract_all(lower({0}), '([a-z0-9]+(?:[._\-][a-z0-9]+)*)', 1)"
+COS = "list_cosine_similarity(cast(a.embedding as double[]), cast(q.embedding as double[]))"
+
+
+def _vectors(t) -> tuple[DataFrame, DataFrame]:
+    v = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return v.filter("id = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), v
+
+
+@_query(f"select a.vec_id as id, round({COS}, 4) as dense from embeddings a, embeddings q where q.vec_id = 0 order by 2 desc, 1 limit 10")
+def dense_topk(t):
+    return rt.dense_top_k(*_vectors(t), 10).select("id", "dense")
+
+
+BM25 = rf"""
+with tok as (select doc_id as id, list_filter({WORDS.format("text")}, lambda x: length(x) >= 2) as w from documents),
+st as (select count(*) as n, avg(len(w)) as mean from tok),
+post as (select id, term, count(*) as tf, any_value(l) as len from (select id, len(w) as l, unnest(w) as term from tok) group by 1, 2),
+idf as (select term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) as raw from post, st group by term, n),
+m as (select avg(raw) as mi from idf),
+q as (select unnest(list_filter({WORDS.format("text")}, lambda x: length(x) >= 2)) as term from benchmark where item_id = 0),
+s as (select id, round(sum(case when raw < 0 then 0.25 * mi else raw end * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 4) as bm25
+      from q join post using (term) join idf using (term), st, m group by id),
+lex as (select id, bm25, row_number() over (order by bm25 desc, id) as rank from s where bm25 > 0 qualify rank <= 10)
+"""
+
+
+def _lexical(t) -> DataFrame:
+    q = t("benchmark").filter("item_id = 0").select(F.col("item_id").alias("query_id"), "text")
+    return rt.bm25_top_k(q, t("documents").select(F.col("doc_id").alias("id"), "text"), tx.long_tokens, 10)
+
+
+@_query(BM25 + "select id, bm25, rank from lex")
+def bm25_topk(t):
+    return _lexical(t).select("id", "bm25", F.col("rank").cast("long").alias("rank"))
+
+
+@_query(
+    BM25
+    + f""", dns as (select a.vec_id as id, round({COS}, 4) as dense, row_number() over (order by round({COS}, 4) desc, a.vec_id) as rank
+  from embeddings a, embeddings q where q.vec_id = 0 qualify rank <= 10)
+select id, round(sum(1 / (60 + rank)), 6) as rrf, max(dense) as dense, max(bm25) as bm25 from (
+  select id, rank, dense, null::double as bm25 from dns union all select id, rank, null, bm25 from lex) group by id"""
+)
+def hybrid_rrf(t):
+    return rt.rrf(rt.dense_top_k(*_vectors(t), 10), _lexical(t)).select("id", "rrf", "dense", "bm25")
+
+
+@_query(f"""select label, round(max(c), 4) as best, count(*) as hits from (
+  select a.label, round({COS}, 4) as c from embeddings a, embeddings q where q.vec_id = 0) group by label having max(c) >= 0.3""")
+def gated_groups(t):
+    q, v = _vectors(t)
+    hits = rt.dense_top_k(q, v, 1 << 30).join(t("embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
+    return rt.gate(hits, "label", "dense", 0.3).groupBy("label").agg(F.max("dense").alias("best"), F.count(F.lit(1)).alias("hits"))
+
+
+@_query("""select source, doc_id, tokens, cum from (
+  select source, doc_id, greatest(1, round_even(length(text) / 2.0, 0))::bigint as tokens,
+    sum(greatest(1, round_even(length(text) / 2.0, 0))::bigint) over w::bigint as cum, row_number() over w as rn
+  from documents window w as (partition by source order by doc_id)) where cum <= 5000 or rn = 1""".replace("over w::bigint", "over w"))
+def budget_stop(t):
+    hits = t("documents").select("source", "doc_id", tx.token_estimate(F.col("text")).cast("long").alias("tokens"))
+    return rt.budget_stop(hits, "source", ["doc_id"], "tokens", 5000).select("source", "doc_id", "tokens", F.col("cum").cast("decimal(38,0)").alias("cum"))
+
+
+@_query("""with recursive d as (select source, doc_id, greatest(1, round_even(length(text) / 2.0, 0))::bigint as tokens,
+  row_number() over (partition by source order by doc_id) as rn from documents),
+r as (select source, rn, case when tokens <= 3000 then tokens else 0 end as used, case when tokens <= 3000 then cast(doc_id as varchar) else '' end as ids from d where rn = 1
+  union all select d.source, d.rn, case when r.used + d.tokens <= 3000 then r.used + d.tokens else r.used end,
+    case when r.used + d.tokens <= 3000 then r.ids || case when r.ids = '' then '' else ',' end || d.doc_id else r.ids end
+  from r join d on d.source = r.source and d.rn = r.rn + 1)
+select source, used, ids from r qualify row_number() over (partition by source order by rn desc) = 1""")
+def budget_skip(t):
+    hits = t("documents").select("source", "doc_id", tx.token_estimate(F.col("text")).cast("long").alias("tokens"))
+    return rt.budget_skip(hits, "source", "doc_id", "tokens", 3000).select("source", "used", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@_query("select doc_id, lang, source, n_chars from documents where lang = 'en' and source in ('src1', 'src2', 'src3') and n_chars >= 500 and n_chars < 4000")
+def payload_filter(t):
+    want = {"lang": "en", "source": ["src1", "src2", "src3"], "n_chars": {"gte": 500, "lt": 4000}}
+    return t("documents").filter(rt.payload_filter(want)).select("doc_id", "lang", "source", "n_chars")
+
+
+ALIASES = [("the ", "english"), (" der ", "german"), (" el ", "spanish"), (" le ", "french"), (" und ", "german")]
+
+
+@_query("""select conv_id, turn, n, case when n = 1 then case when e then 'english' when g then 'german' when s then 'spanish' else 'french' end end as single from (
+  select *, e::int + g::int + s::int + f::int as n from (select conv_id, turn, contains(lower(text), 'the ') as e,
+    contains(lower(text), ' der ') or contains(lower(text), ' und ') as g, contains(lower(text), ' el ') as s, contains(lower(text), ' le ') as f from conversations))""")
+def named_source(t):
+    return rt.named_sources(t("conversations"), ALIASES).select("conv_id", "turn", F.size("sources").alias("n"), "single")
+
+
+@_query("""select conv_id, turn, case when contains(lower(text), 'which ') or contains(lower(text), 'the ') then 'detail'
+  when contains(lower(text), 'und ') then 'compare' else 'default' end as route,
+  case when contains(lower(text), 'the ') or contains(lower(text), 'which ') or contains(lower(text), 'und ') then 'lexicon' else 'default' end as decided_by from conversations""")
+def route_lexicon(t):
+    return rt.route(t("conversations"), {"detail": ["which ", "the "], "compare": ["und "]}).select("conv_id", "turn", "route", "decided_by")
+
+
+@_query("""select doc_id, pos, start, "end" from (select doc_id, pos, sum(length(p) + 1) over (partition by doc_id order by pos) - length(p) - 1 as start,
+  sum(length(p) + 1) over (partition by doc_id order by pos) - 1 as "end" from (
+  select doc_id, unnest(string_split(text, chr(10))) as p, unnest(range(len(string_split(text, chr(10))))) as pos from documents))""")
+def paragraph_offsets(t):
+    return ig.paragraphs(t("documents"), "doc_id", "text").select("doc_id", "pos", "start", "end")
+
+
+@_query("""with recursive p as (select doc_id, pos, sum(length(p) + 1) over (partition by doc_id order by pos) - length(p) - 1 as s,
+  sum(length(p) + 1) over (partition by doc_id order by pos) - 1 as e from (
+  select doc_id, unnest(string_split(text, chr(10))) as p, unnest(range(len(string_split(text, chr(10))))) as pos from documents)),
+r as (select doc_id, pos, s, e, 0 as seq, 1 as n from p where pos = 0
+  union all select p.doc_id, p.pos, case when p.e - r.s <= 800 then r.s else p.s end, p.e, case when p.e - r.s <= 800 then r.seq else r.seq + 1 end,
+    case when p.e - r.s <= 800 then r.n + 1 else 1 end from r join p on p.doc_id = r.doc_id and p.pos = r.pos + 1)
+select doc_id, seq, min(s) as start, max(e) as "end", max(n) as n from r group by doc_id, seq""")
+def chunk_pack(t):
+    return ig.pack(t("documents"), "doc_id", "text", 800)
+
+
+@_query("""select item_id, doc_id, instr(d.text, b.text) - 1 as start, instr(d.text, b.text) - 1 + length(b.text) as "end"
+  from benchmark b join documents d on contains(d.text, b.text) where len(regexp_split_to_array(b.text, '\\s+')) > 2""")
+def quote_anchor(t):
+    quotes = t("benchmark").select("item_id", F.col("text").alias("quote"))
+    return ig.locate(quotes, t("documents").select("doc_id", "text"))
+
+
+@_query("""select count(*) as items, count(*) filter (where exists (select 1 from documents d where contains(d.text, b.text))) as hit from benchmark b""")
+def gold_recall(t):
+    quotes = t("benchmark").select("item_id", F.col("text").alias("quote"))
+    hit = ig.locate(quotes, t("documents").select("doc_id", "text")).select("item_id").distinct().withColumn("h", F.lit(1))
+    return quotes.join(hit, "item_id", "left").agg(F.count(F.lit(1)).alias("items"), F.count("h").alias("hit"))
+
+
+@_query()
+def html_sections(t):
+    return ig.sections(t("pages"), "page_id", "html")
+
+
+@_query("select page_id, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) as heading, len(regexp_extract_all(html, '<a href=')) as links from pages")
+def html_heading(t):
+    return t("pages").select("page_id", F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1).alias("heading"), F.regexp_count("html", F.lit("<a href=")).cast("long").alias("links"))
+
+
+FORM = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^(the|a|an)\s+', ''),
+  '''s\b|''', '', 'g'), '[\-_\s]+', ' ', 'g'), '([b-df-hj-np-tv-z])ies$', '\1y'), '(s|x|z|ch|sh)es$', '\1'), '([^su])s$', '\1')"""
+
+
+@_query(f"""with w as (select unnest(string_split(lower(p_name), ' ')) as name from part),
+c as (select name, count(*) as n, {FORM.format("name")} as key from w group by name)
+select key, arg_min(name, row(-n, length(name), name)) as canonical, count(*) as variants, sum(n) as mentions from c group by key""")
+def form_merge(t):
+    names = t("part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("name"))
+    return cp.merge_forms(names).select("key", "canonical", "variants", F.col("mentions").cast("decimal(38,0)").alias("mentions"))
+
+
+@_query("select alias, count(distinct p_brand) as owners from (select p_brand, unnest(string_split(p_name, ' ')) as alias from part) group by alias having count(distinct p_brand) > 1")
+def alias_collision(t):
+    return cp.alias_collisions(t("part").select(F.col("p_brand").alias("entity"), F.explode(F.split("p_name", " ")).alias("alias")))
+
+
+@_query("""with n as (select o_orderkey as id, list_distinct(list_value(o_orderstatus, o_orderpriority, 'c' || (o_custkey % 97), 'd' || strftime(o_orderdate, '%Y-%m-%d'))) as s from orders where true)
+select a.id as a, b.id as b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 4) as score from n a join n b on a.id < b.id
+where len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) >= 0.8""")
+def token_jaccard_pairs(t):
+    o = t("orders")
+    tokens = F.array("o_orderstatus", "o_orderpriority", F.concat(F.lit("c"), F.col("o_custkey") % 97), F.concat(F.lit("d"), F.date_format("o_orderdate", "yyyy-MM-dd")))
+    return cp.name_pairs(o.select(F.col("o_orderkey").alias("id"), F.array_distinct(tokens).alias("tokens")), 0.8)
+
+
+@_query("""with l as (select distinct l_partkey as node, l_suppkey as other from lineitem),
+c as (select other from l group by other having count(*) <= 700), k as (select l.* from l join c using (other))
+select a.node as a, b.node as b, count(*) as shared from k a join k b on a.other = b.other and a.node < b.node group by 1, 2 having count(*) >= 3""")
+def shared_neighbours(t):
+    return gr.shared_neighbours(t("lineitem").select(F.col("l_partkey").alias("node"), F.col("l_suppkey").alias("other")), 3, 700)
+
+
+@_query("""with p as (select distinct l_suppkey as node, l_returnflag as pred, l_partkey % 50 as other from lineitem),
+pr as (select a.s_suppkey as a, a.s_suppkey + 1 as b from supplier a where a.s_suppkey + 1 in (select s_suppkey from supplier)),
+d as (select node, count(*) as d from p group by node),
+sh as (select pr.a, pr.b, count(*) as n from pr join p x on x.node = pr.a join p y on y.node = pr.b and x.pred = y.pred and x.other = y.other group by 1, 2)
+select pr.a, pr.b, coalesce(n, 0) as shared, da.d + db.d - 2 * coalesce(n, 0) as conflicts, da.d + db.d - 2 * coalesce(n, 0) >= 2 and least(da.d, db.d) >= 3 as veto
+from pr join d da on da.node = pr.a join d db on db.node = pr.b left join sh using (a, b)""")
+def structure_evidence(t):
+    profile = t("lineitem").select(F.col("l_suppkey").alias("node"), F.col("l_returnflag").alias("pred"), (F.col("l_partkey") % 50).alias("other"))
+    s = t("supplier").select(F.col("s_suppkey").alias("a"))
+    pairs = s.join(s.select((F.col("a") - 1).alias("a")), "a").withColumn("b", F.col("a") + 1)
+    return gr.structure_evidence(profile, pairs)
+
+
+@_query("""with e as (select distinct least(o_custkey, l_suppkey) as a, greatest(o_custkey, l_suppkey) as b from orders join lineitem on l_orderkey = o_orderkey where o_custkey <> l_suppkey)
+select node, count(*) as degree from (select a as node from e union all select b from e) group by node""")
+def undirected_degree(t):
+    e = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return gr.undirected_degree(e)
+
+
+@_query("""with recursive e as (select s_suppkey as a, (s_suppkey * 7 + 3) % 100 as b from supplier where s_suppkey % 3 = 0), both_ as (select a, b from e union select b, a from e),
+r as (select a as node, a as seen from both_ union select r.node, both_.b from r join both_ on both_.a = r.seen)
+select node, min(seen) as component from r group by node""")
+def components(t):
+    s = t("supplier").filter("s_suppkey % 3 = 0")
+    return gr.components(s.select(F.col("s_suppkey").alias("src"), ((F.col("s_suppkey") * 7 + 3) % 100).alias("dst")))
+
+
+@_query("""select bucket, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from (
+  select case when n_chars >= 10000 then 10000 when n_chars >= 3000 then 3000 when n_chars >= 1000 then 1000 else 0 end as bucket from documents) group by bucket""")
+def size_buckets(t):
+    return gr.size_mix(t("documents"), "n_chars", [1000, 3000, 10000])
+
+
+@_query("""with m as (select lang || source as community, 1 as level, doc_id as member from documents union all select lang, 0, doc_id from documents),
+best as (select member, max(community) as community from m where level <= 1 group by member)
+select distinct community, 'report ' || community as title from best""")
+def community_rollup(t):
+    d = t("documents")
+    members = d.select(F.concat("lang", "source").alias("community"), F.lit(1).alias("level"), F.col("doc_id").alias("member")).unionByName(
+        d.select(F.col("lang").alias("community"), F.lit(0).alias("level"), F.col("doc_id").alias("member"))
+    )
+    reports = members.select("community").distinct().withColumn("title", F.concat(F.lit("report "), "community"))
+    return gr.community_rollup(members, reports, 1)
+
+
+@_query("""select lang, count(*) as n, round(median(ratio), 6) as median, round(avg(ratio), 6) as mean from (
+  select lang, n_chars / (1.0 + len(string_split(text, chr(10)))) as ratio from documents) group by lang""")
+def ratio_by_level(t):
+    r = t("documents").select("lang", (F.col("n_chars") / (1.0 + F.size(F.split("text", "\n")))).alias("ratio"))
+    return r.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("ratio", F.lit(0.5)), 6).alias("median"), F.round(F.avg("ratio"), 6).alias("mean"))
+
+
+@_query("""select source, count(*) as n, count(*) filter (where quality = 1) as passed, case when count(*) filter (where quality is null) > 0 then 'pending'
+  when bool_and(quality = 1) then 'pass' when not bool_or(quality = 1) then 'fail' else 'unstable' end as verdict from documents left join labels using (doc_id) group by source""")
+def attempt_rollup(t):
+    a = t("documents").join(t("labels"), "doc_id", "left").select("source", (F.col("quality") == 1).alias("ok"), F.lit(False).alias("error"))
+    return ev.roll_up(a, "source")
+
+
+@_query("""select lang, count(*) as n, count(*) filter (where toxic = 1) as red, round(avg(quality), 6) as pass_rate, round(avg(n_chars), 4) as mean_chars
+  from documents join labels using (doc_id) group by lang""")
+def run_summary(t):
+    d = t("documents").join(t("labels"), "doc_id")
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("toxic") == 1).alias("red"), F.round(F.avg("quality"), 6).alias("pass_rate"), F.round(F.avg("n_chars"), 4).alias("mean_chars"))
+
+
+@_query("""select round(sum(w * r) / sum(w), 6) as score from (select count(*) as w, avg(quality) as r from documents join labels using (doc_id) group by source) where w > 0""")
+def composite_score(t):
+    per = t("documents").join(t("labels"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("w"), F.avg("quality").alias("r"))
+    return ev.composite(per, "w", "r")
+
+
+@_query("select lang, list_sort(list(doc_id)) as violations from documents join labels using (doc_id) where toxic = 1 group by lang")
+def red_line(t):
+    return t("documents").join(t("labels").filter("toxic = 1"), "doc_id").groupBy("lang").agg(F.array_sort(F.collect_list("doc_id")).alias("violations"))
+
+
+@_query()
+def bootstrap_ci(t):
+    return ev.bootstrap(t("labels"), "quality", "doc_id")
+
+
+@_query("""select user_id, count(*) filter (where event_type = 'click') as click, count(*) filter (where event_type = 'view') as view, count(*) filter (where event_type = 'purchase') as purchase,
+  count(distinct event_type) > 1 as changed from events group by user_id""")
+def run_pivot(t):
+    e = t("events")
+    wide = e.groupBy("user_id").agg(
+        *[F.count_if(F.col("event_type") == k).alias(k) for k in ("click", "view", "purchase")], (F.count_distinct("event_type") > 1).alias("changed")
+    )
+    return wide
+
+
+@_query("""with n as (select u.conv_id, u.turn, list_aggregate(list_filter(string_split_regex(regexp_replace(lower(u.text), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+'), lambda w: w not in ('', 'a', 'an', 'the')), 'string_agg', ' ') as p,
+  list_aggregate(list_filter(string_split_regex(regexp_replace(lower(a.text), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+'), lambda w: w not in ('', 'a', 'an', 'the')), 'string_agg', ' ') as g
+  from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and u.role = 'user' and a.role = 'assistant'),
+tk as (select conv_id, turn, p = g as em, g <> '' and contains(p, g) as contains, list_filter(string_split(p, ' '), lambda x: x <> '') as pt, list_filter(string_split(g, ' '), lambda x: x <> '') as gt from n)
+select conv_id, turn, em, contains, round(coalesce(2 * list_sum(list_transform(list_distinct(gt), lambda t: least(len(list_filter(pt, lambda x: x = t)), len(list_filter(gt, lambda x: x = t))))) / (len(pt) + len(gt)), 0), 4) as f1 from tk""".replace("\\\\", "\\"))
+def qa_f1(t):
+    c = t("conversations")
+    u = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("pred"))
+    a = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("gold"))
+    return ev.answer_scores(u.join(a, ["conv_id", "turn"])).select("conv_id", "turn", "em", "contains", "f1")
+
+
+@_query("""with g as (select item_id, text, unnest(range(1, length(text) - 10)) as i from benchmark), p as (select distinct item_id, substr(text, i, 12) as g from g),
+s as (select distinct substr(text, i, 12) as g from (select text, unnest(range(1, length(text) - 10)) as i from documents where doc_id in (select doc_id from labels)))
+select item_id, round(avg((s.g is not null)::int), 4) as coverage from p left join s using (g) group by item_id""")
+def ngram_coverage(t):
+    def grams(df: DataFrame, *keep: str) -> DataFrame:
+        at = F.explode(F.sequence(F.lit(1), F.length("text") - 11)).alias("i")
+        return df.filter(F.length("text") >= 12).select(*keep, "text", at).select(*keep, F.expr("substring(text, i, 12)").alias("g")).distinct()
+
+    product = grams(t("documents").join(t("labels").select("doc_id"), "doc_id", "left_semi")).withColumn("hit", F.lit(1))
+    return grams(t("benchmark"), "item_id").join(product, "g", "left").groupBy("item_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("coverage"))
+
+
+@_query("""with a as (select distinct text from documents where doc_id % 2 = 0), b as (select distinct text from documents where doc_id % 2 = 1)
+select (select count(*) from (select * from b except select * from a)) as added, (select count(*) from (select * from a except select * from b)) as removed,
+  (select count(*) from (select * from a intersect select * from b)) as common""")
+def set_reconcile(t):
+    d = t("documents")
+    side = d.groupBy(F.xxhash64("text").alias("h"), F.sha2(F.col("text").cast("binary"), 256).alias("k")).agg(F.bool_or(F.col("doc_id") % 2 == 0).alias("a"), F.bool_or(F.col("doc_id") % 2 == 1).alias("b"))
+    return side.agg(F.count_if(F.col("b") & ~F.col("a")).alias("added"), F.count_if(F.col("a") & ~F.col("b")).alias("removed"), F.count_if(F.col("a") & F.col("b")).alias("common"))
+
+
+@_query("""with r as (select l_linenumber as run, l_orderkey as key, any_value(l_quantity) as value from lineitem group by 1, 2)
+select a.run as run_a, b.run as run_b, count(*) as shared, round(avg((a.value = b.value)::int), 6) as agree, round(avg(abs(a.value - b.value)), 6) as mean_diff
+from r a join r b on a.key = b.key and a.run < b.run group by 1, 2""")
+def pairwise_stability(t):
+    runs = t("lineitem").groupBy(F.col("l_linenumber").alias("run"), F.col("l_orderkey").alias("key")).agg(F.any_value("l_quantity").alias("value"))
+    return ev.pairwise_agreement(runs)
+
+
+@_query("select user_id, event_type, event_id, value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1")
+def latest_wins(t):
+    return ev.latest(t("events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "value")
+
+
+@_query("select date_trunc('hour', ts) as hour, event_type, count(*) as n, round(sum(value), 4) as total, count(distinct user_id) as users from events group by 1, 2")
+def usage_rollup(t):
+    return t("events").groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.count_distinct("user_id").alias("users"))
+
+
+@_query("select doc_id from documents where doc_id not in (select doc_id from labels)")
+def missing_reports(t):
+    return t("documents").join(t("labels"), "doc_id", "left_anti").select("doc_id")
+
+
+@_query("select doc_id, source, coalesce(quality, -1) as quality, case when quality is null then 'missing' else 'ready' end as status from documents left join labels using (doc_id)")
+def catalog_status(t):
+    d = t("documents").join(t("labels"), "doc_id", "left")
+    return d.select("doc_id", "source", F.coalesce("quality", F.lit(-1)).alias("quality"), F.when(F.col("quality").isNull(), "missing").otherwise("ready").alias("status"))
+
+
+@_query("""select conv_id, min(case when instr(all_, ' the ') > 0 then instr(all_, ' the ') - 1 end) as cut from (
+  select conv_id, string_agg(text, '' order by turn) as all_ from conversations where role = 'assistant' group by conv_id) group by conv_id having cut is not null""")
+def leak_guard(t):
+    return guards.first_leak(t("conversations").filter("role = 'assistant'"), "conv_id", "turn", "text", [" the "])
+
+
+@_query("""select lang, doc_id from (select lang, doc_id, coalesce(sum(n_chars) over (partition by lang order by md5(cast(doc_id as varchar)), doc_id rows between unbounded preceding and 1 preceding), 0) as before from documents) where before < 20000""")
+def stratified_budget(t):
+    return ev.stratified_budget(t("documents"), "lang", "n_chars", 20000, "doc_id").select("lang", "doc_id")
+
+
+@_query("""with c as (select doc_id, s, e, unnest(range(0, 1)) as z from (select doc_id, 0 as s, n_chars as e from documents)),
+ch as (select doc_id, unnest(range(0, cast(ceil(n_chars / 500.0) as bigint))) as seq, n_chars from documents where n_chars > 0),
+sp as (select item_id as span, doc_id, instr(d.text, b.text) - 1 as lo, instr(d.text, b.text) - 1 + length(b.text) as hi from benchmark b join documents d on contains(d.text, b.text))
+select sp.doc_id, span, min(seq) as seq from sp join ch on ch.doc_id = sp.doc_id and seq * 500 < hi and least((seq + 1) * 500, n_chars) > lo group by 1, 2""")
+def interval_overlap(t):
+    d = t("documents")
+    spans = ig.locate(t("benchmark").select("item_id", F.col("text").alias("quote")), d.select("doc_id", "text")).select("doc_id", F.col("item_id").alias("span"), F.col("start").alias("lo"), F.col("end").alias("hi"))
+    chunks = d.filter("n_chars > 0").select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_chars") / 500.0) - 1)).alias("seq"))
+    chunks = chunks.select("doc_id", "seq", (F.col("seq") * 500).alias("start"), F.least((F.col("seq") + 1) * 500, "n_chars").alias("end"))
+    return cp.first_chunk(cp.overlap(spans, chunks, 500))
+
+
+@_query()
+def claim_health(t):
+    return cp.health_marks(cp.propose_claims(t("documents"))).select("doc_id", "claim_idx", "predicate", F.array_join("marks", ",").alias("marks"))
+
+
+@_query()
+def claim_edges(t):
+    return cp.assemble(cp.propose_claims(t("documents"))).select("doc_id", "claim_idx", "predicate", "src", "dst", "skipped")
+
+
+@_query("""with c as (select source, lang, count(*) as n from documents group by 1, 2)
+select source, main_lang, accented from (select source, arg_max(lang, row(n, lang)) as main_lang from c group by 1)
+join (select source, round(avg(regexp_matches(text, '[À-ÿ]')::int), 6) as accented from documents group by 1) using (source)""")
+def owner_majority(t):
+    d = t("documents")
+    counts = d.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("source").agg(F.max_by("lang", F.struct("n", "lang")).alias("main_lang"))
+    return main.join(d.groupBy("source").agg(F.round(F.avg(F.col("text").rlike("[À-ÿ]").cast("int")), 6).alias("accented")), "source")
+
+
+@_query("select p_brand, round(quantile_cont(p_retailprice, 0.9), 4) as p90, round(list_sort(list(p_retailprice))[least(floor(count(*) * 0.9)::int + 1, count(*))], 4) as p90_index from part group by p_brand")
+def percentile_rules(t):
+    return t("part").groupBy("p_brand").agg(F.round(F.percentile("p_retailprice", F.lit(0.9)), 4).alias("p90"), F.round(ev.p90_by_index(F.col("p_retailprice")), 4).alias("p90_index"))
+
+
+@_query("""with c as (select label, i, avg(x) as x from (select label, unnest(cast(embedding as double[])) as x, unnest(range(1, len(embedding) + 1)) as i from embeddings) group by 1, 2)
+select label, i, round(x, 6) as x from c""")
+def class_centroids(t):
+    v = t("embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    return rt.centroid(v, "label").select("label", F.posexplode("centre").alias("i", "x")).select("label", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@_query("""select s.conv_id, s.turn, len(string_split_regex(s.text, '[^\\x20\\x09-\\x0D]+')) - 1 as words, length(s.text) - length(replace(s.text, chr(10), '')) as lines from conversations s""".replace("\\\\", "\\"))
+def turn_sizes(t):
+    return t("conversations").select("conv_id", "turn", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"), tx.paragraph_index(F.col("text"), F.length("text")).cast("long").alias("lines"))
+
+
+@_query("select window_start, event_type, count(*) as n from (select time_bucket(interval '1 hour', ts) as window_start, event_type from events) group by 1, 2")
+def tumbling_window(t):
+    w = t("events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return w.select(F.col("w.start").alias("window_start"), "event_type", "n")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Dense and lexical retrieval fused, budgeted and rendered as one numbered context block."""
+    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    fused = rt.rrf(rt.dense_top_k(*_vectors(t), 10), _lexical(t))
+    docs = t("documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("text"), tx.token_estimate(F.col("text")).alias("tokens"))
+    kept = rt.budget_stop(fused.join(docs, "id"), "query_id", [F.desc("rrf"), "id"], "tokens", 4000)
+    return rt.context_block(kept, "query_id", "rn", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
