@@ -111,14 +111,14 @@ class Model:
     weights: np.ndarray
     temperature: float
 
-    def vector(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(counts)
-        x = np.log1p(counts[at]) * self.idf[at]
+    def vector(self, at: np.ndarray, log_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = log_counts * self.idf[at]
         x = x / max(float(np.sqrt((x * x).sum())), 1e-12)
         return np.append(at, FEATURES), np.append(x, 1.0)
 
     def logits(self, counts: np.ndarray) -> np.ndarray:
-        at, x = self.vector(counts)
+        at = np.flatnonzero(counts)
+        at, x = self.vector(at, np.log1p(counts[at]))
         return self.weights[:, at] @ x
 
     def predict(self, text: str) -> tuple[str, float]:
@@ -150,7 +150,10 @@ def document_frequency(rows: DataFrame, text: str = "text") -> tuple[np.ndarray,
 
 
 def _sample(rows: DataFrame, languages: dict[str, int]) -> list:
-    """Counts of a bounded number of rows: an equal quota of each language, by hash of doc_id."""
+    """Log counts of a bounded number of rows: an equal quota of each language, by hash of doc_id.
+
+    Features and logarithms take two bytes each, so the driver holds some tens of MB.
+    """
     quota = max(20, SAMPLE_ROWS // max(1, len(languages)))
     space = 1 << 30
     keep = F.lit(False)
@@ -164,8 +167,8 @@ def _sample(rows: DataFrame, languages: dict[str, int]) -> list:
             for data in batch.column(2).to_pylist():
                 counts = gram_counts(_text(data))
                 at = np.flatnonzero(counts)
-                out["f"].append(at.astype(np.int32).tobytes())
-                out["n"].append(counts[at].astype(np.int32).tobytes())
+                out["f"].append(at.astype(np.uint16).tobytes())
+                out["n"].append(np.log1p(counts[at]).astype(np.float16).tobytes())
             kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
@@ -188,21 +191,21 @@ def train(docs: DataFrame, training: Column, epochs: int = 2) -> Model:
     model = Model(names, idf, np.zeros((len(names), FEATURES + 1)), 1.0)
     if not names:
         return model
-    sample = []
-    for r in _sample(rows, languages):
-        at, n = np.frombuffer(r["f"], dtype=np.int32), np.frombuffer(r["n"], dtype=np.int32)
-        counts = np.zeros(FEATURES, dtype=np.int64)
-        counts[at] = n
-        sample.append((*model.vector(counts), names.index(r["lang"])))
+    sample = _sample(rows, languages)
+
+    def example(r: dict) -> tuple[np.ndarray, np.ndarray, int]:
+        at = np.frombuffer(r["f"], dtype=np.uint16).astype(np.int64)
+        return *model.vector(at, np.frombuffer(r["n"], dtype=np.float16).astype(np.float64)), names.index(r["lang"])
+
     tune = [s for i, s in enumerate(sample) if i % 5 == 4]
     fit = [s for i, s in enumerate(sample) if i % 5 != 4] or sample
     ftrl = Ftrl(len(names))
     for _ in range(epochs):
-        for at, x, label in fit:
-            ftrl.learn(at, x, label)
+        for r in fit:
+            ftrl.learn(*example(r))
     weights = ftrl.weights(slice(None))
-    logits = np.array([weights[:, at] @ x for at, x, _ in tune]).reshape(-1, len(names))
-    heat = temperature(logits, np.array([label for *_, label in tune], dtype=int))
+    tuned = [(weights[:, at] @ x, label) for at, x, label in map(example, tune)]
+    heat = temperature(np.array([x for x, _ in tuned]).reshape(-1, len(names)), np.array([label for _, label in tuned], dtype=int))
     return Model(names, idf, weights.astype(np.float32), heat)
 
 
