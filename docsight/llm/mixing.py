@@ -56,7 +56,13 @@ def _boundary(rows: DataFrame, shift: int) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, size_column: str, source_column: str, id_columns: list[str], weights=(1, 2, 3), ceiling: int = 3
+    docs: DataFrame,
+    size_column: str,
+    source_column: str,
+    id_columns: list[str],
+    weights=(1, 2, 3),
+    ceiling: int = 3,
+    hash_columns: list[str] | None = None,
 ) -> DataFrame:
     """Decide how much of every row the mixture takes.
 
@@ -65,7 +71,7 @@ def mix(
     times the source's size.  A document is taken ``copies`` times: the whole
     part of target / size, plus once more below the source's threshold, which
     lies where the sum comes nearest to the target.  Rows of equal hash (equal
-    in all of ``id_columns``) are taken together.  Sources of size 0 take
+    in all of ``hash_columns``, else ``id_columns``) are taken together.  Sources of size 0 take
     nothing.  Returns ``id_columns`` plus size, source, source_size, target,
     copies and taken; an empty table gives an empty result.
     """
@@ -75,7 +81,7 @@ def mix(
             *[F.col(c).alias(f"__id{i}") for i, c in enumerate(id_columns)],
             F.col(source_column).alias("__source"),
             F.col(size_column).cast("long").alias("__size"),
-            F.shiftrightunsigned(F.xxhash64(*id_columns), 1).alias("__hash"),
+            F.shiftrightunsigned(F.xxhash64(*(hash_columns or id_columns)), 1).alias("__hash"),
         )
     )
     sums = keyed.groupBy("__source").agg(F.sum("__size").alias("s")).limit(MAX_SOURCES + 1).collect()
