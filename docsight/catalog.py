@@ -10,12 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import calc
 from .functions import text as tx
+from .operators import cite
 from .operators import compile as cp
 from .operators import evaluate as ev
 from .operators import graph as gr
 from .operators import ingest as ig
 from .operators import retrieve as rt
+from .sources import tables as tb
 from .streaming import guards
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -431,6 +434,75 @@ def tumbling_window(t):
     return w.select(F.col("w.start").alias("window_start"), "event_type", "n")
 
 
+@_query("""with f as (select p_partkey, p_size::bigint as n, (p_partkey % 97 + 1)::bigint as d from part)
+select p_partkey, (n // gcd(n, d))::varchar as num, (d // gcd(n, d))::varchar as den from f""")
+def calculator(t):
+    expression = F.concat(F.col("p_size").cast("string"), F.lit(" / ("), (F.col("p_partkey") % 97).cast("string"), F.lit(" + 1)"))
+    return t("part").select("p_partkey", calc.calculator(expression).alias("r")).select("p_partkey", "r.num", "r.den")
+
+
+@_query("""with c as (select doc_id, unnest([doc_id % 30, -1]) as n, source from documents),
+h as (select n_nationkey + 1 as position, 'src' || n_nationkey as source, n_name as block from nation),
+j as (select c.doc_id, c.n, h.position, h.block, c.source from c left join h on (c.n >= 0 and h.position = c.n) or (c.n < 0 and h.source = c.source))
+select doc_id, case when count(*) filter (where position is null) > 0 then 'fail' else 'ok' end as state, count(distinct position) as blocks, count(*) filter (where position is null) as missing from j group by doc_id""")
+def citation_groups(t):
+    claims = t("documents").select("doc_id", F.array(F.concat(F.lit("["), (F.col("doc_id") % 30).cast("string"), F.lit("]")), "source").alias("refs"))
+    hits = t("nation").select((F.col("n_nationkey") + 1).alias("position"), F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("source"), F.col("n_name").alias("block"))
+    return cite.citation_groups(claims, hits, "doc_id").select("doc_id", "state", F.size("blocks").cast("long").alias("blocks"), F.size("missing").cast("long").alias("missing"))
+
+
+_SNAP = r"length(regexp_extract(substr(text, 1, {0}), '(?s)^(.*[.!?]\s)', 1))"
+
+
+@_query(
+    r"""with found as (select item_id, doc_id, d.text, instr(d.text, b.text) - 1 as s, instr(d.text, b.text) - 1 + length(b.text) as e
+  from benchmark b join documents d on contains(d.text, b.text) where len(regexp_split_to_array(b.text, '\s+')) > 2),
+t as (select *, length(regexp_extract(substr(text, e + 1), '(?s)^([^.!?]*[.!?])', 1)) as tail from found),
+h as (select *, case when regexp_matches(substr(text, 1, e), '[.!?]["'')}\]”’]*\z') then e when tail > 0 then e + tail else length(text) end as hi from t),
+l as (select *, """
+    + _SNAP.format("greatest(s - 1600, 0)")
+    + " as lo0 from h), w as (select *, case when hi - lo0 > 1800 then "
+    + _SNAP.format("greatest(hi - 1800, 0)")
+    + " else lo0 end as lo from l) select item_id, doc_id, trim(substr(text, lo + 1, hi - lo)) as win from w"
+)
+def context_window(t):
+    d = t("documents").select("doc_id", "text")
+    spans = ig.locate(t("benchmark").select("item_id", F.col("text").alias("quote")), d)
+    return spans.join(d, "doc_id").select("item_id", "doc_id", cite.context_window(F.col("text"), F.col("start"), F.col("end")).alias("win"))
+
+
+@_query("""select conv_id, turn % 2 as index, 'call-' || max(turn) as id, 'function' as type, string_agg(role, '' order by turn) as name,
+  string_agg('[' || turn || ']', '' order by turn) as arguments, count(*) = 1 as valid from conversations group by conv_id, turn % 2""")
+def tool_frames(t):
+    c = t("conversations").select("conv_id", "turn", (F.col("turn") % 2).alias("index"), F.concat(F.lit("call-"), "turn").alias("id"), F.lit("").alias("type"), F.col("role").alias("name"), F.concat(F.lit("["), "turn", F.lit("]")).alias("arguments"))
+    return cite.tool_calls(c, "conv_id", "turn")
+
+
+@_query("""select strftime(ts, '%Y-%m-%dT%H:%M:%S') as ts, event_type as purpose, user_id as prompt_tokens, user_id % 7 as completion_tokens from events group by all""")
+def usage_log(t):
+    line = F.format_string(
+        "%sZ INFO [LLM Usage] model=m, purpose=%s, prompt_prefix=p, prompt_tokens=%d, completion_tokens=%d, total_tokens=%d",
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "event_type", "user_id", F.col("user_id") % 7, F.col("user_id") + F.col("user_id") % 7,
+    )
+    return tb.usage_rows(t("events").select(line.alias("value"))).select("ts", "purpose", "prompt_tokens", "completion_tokens")
+
+
+@_query("""select 'N' || n_nationkey as source_id, n_name as name_, ['a' || n_nationkey, 'b'] as paths, n_nationkey % 2 = 0 as collected, case when n_nationkey % 3 = 0 then '2024-05' else '' end as knowledge_date
+  from nation""")
+def catalog_table(t):
+    k = F.col("n_nationkey").cast("string")
+    name = F.concat("n_name", F.when(F.col("n_nationkey") % 3 == 0, " 2024-05").otherwise(""))
+    cells = (F.concat(F.lit("N"), k), F.lit("c"), name, F.lit("u"), F.lit("l"), F.lit("r"), F.lit("t"), F.concat(F.lit("a"), k, F.lit("; b")), F.when(F.col("n_nationkey") % 2 == 0, "✅").otherwise("-"))
+    rows = tb.catalog_rows(t("nation").select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value")))
+    return rows.select("source_id", F.regexp_replace("name", " 2024-05$", "").alias("name_"), "paths", "collected", "knowledge_date")
+
+
+@_query("select doc_id, sha256(text) as digest from documents where text is not null")
+def decoded_bytes(t):
+    data = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    return t("documents").filter("text is not null").select("doc_id", F.sha2(tb.decoded(data).cast("binary"), 256).alias("digest"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense and lexical retrieval fused, budgeted and rendered as one numbered context block."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
