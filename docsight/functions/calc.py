@@ -89,7 +89,11 @@ def decimal_text(value: Fraction) -> tuple[str | None, bool]:
         if power == 1:
             break
     whole, part = divmod(abs(value.numerator), value.denominator)
-    digits = f"{part * 10 ** (before + period) // value.denominator:0{before + period}d}" if before + period else ""
+    digits = ""
+    while len(digits) < before + period:  # by blocks: Python refuses to print much longer numbers at once
+        block, part = divmod(part * 10**1000, value.denominator)
+        digits += f"{block:01000d}"
+    digits = digits[: before + period]
     text = ("-" if value < 0 else "") + str(whole) + ("." + digits[:before] if digits else "")
     return text + (f"({digits[before:]})" if period else ""), not period
 

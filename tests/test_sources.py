@@ -18,6 +18,8 @@ def test_calculator(spark):
     assert not rows[None]["ok"] and rows["sqrt(2)"]["ok"] and not rows["sqrt(2)"]["exact"]
     texts = {"10/3": "3.(3)", "365/7": "52.(142857)", "1/6": "0.1(6)", "-1/12": "-0.08(3)"}
     assert {e: calc.calculate(e)[5] for e in texts} == texts
+    long = calc.calculate("1/7919")
+    assert long[:3] == (True, True, "1/7919") and len(long[5]) == 7918 + 4 and long[5].startswith("0.(000126278")
 
 
 def test_decoded(spark):
