@@ -153,12 +153,38 @@ def test_lm_scores_are_a_distribution_and_beat_nothing_on_odd_rows(spark, odd):
     assert len(rows) == len(ODD)
     assert all(r["score"] < 0 and r["n_tokens"] >= 1 and 0 <= r["n_known"] <= r["n_tokens"] for r in rows)
     mixer = lm_score.Mixer.fresh()
-    model = lm_score.Model(np.zeros((2, lm_score.SLOTS), dtype=np.float16), np.zeros(lm_score.SLOTS - lm_score.FIRST_SLOT[4], dtype=bool), mixer)
+    model = lm_score.Model(np.zeros(lm_score.SLOTS, dtype=np.uint32), np.zeros(lm_score.SLOTS - lm_score.FIRST_SLOT[4], dtype=bool), mixer)
     ones = [bytes([b]) for b in range(256) if b not in (10, 32)]
     cost = model.cost([*ones, b"\n"], np.zeros(255, dtype=np.int64))
     assert np.sum(10 ** (cost[:-1] / 2)) == pytest.approx(254 / 256, rel=1e-3)
 
 
+def test_lm_edges_are_shared_beginnings_and_cost_alike_in_any_order():
+    random.seed(6)
+    words = sorted({bytes(random.choice(b"abc\x01") for _ in range(random.randint(1, 9))) for _ in range(400)}) + [b"\n", b"x" * 300, b"x" * 299 + b"y"]
+    classes = np.array([i % 3 // 2 for i in range(len(words))])
+    classes = np.sort(classes)
+    e = lm_score.expand(words, classes)
+    spelled = [lm_score.spell(w) for w in words]
+    assert e.value[e.edge].tobytes() == b"".join(spelled)
+    ends = [(k, s[: i + 1]) for s, k in zip(spelled, classes, strict=True) for i in range(len(s))]
+    first = [ends[i] for i in e.at]
+    assert [first[i] for i in e.edge] == ends and len(e.at) < 0.7 * len(ends)
+    alone = [lm_score.expand([w], classes[i : i + 1]) for i, w in enumerate(words)]
+    assert (np.concatenate([x.contexts for x in alone], axis=1) == e.contexts[:, e.edge]).all()
+    assert (np.concatenate([x.last for x in alone]) == e.last[e.edge]).all()
+    rng = np.random.default_rng(1)
+    seen = rng.integers(0, 257, (2, lm_score.SLOTS))
+    counts = lm_score.pack(*seen)
+    assert all((a == b).all() for a, b in zip(lm_score.unpack(counts), seen, strict=True))
+    owned = rng.random(lm_score.SLOTS - lm_score.FIRST_SLOT[4]) < 0.97
+    model = lm_score.Model(counts, owned, lm_score.Mixer.fresh())
+    mixed = rng.permutation(len(words))
+    got = model.cost([words[i] for i in mixed], classes[mixed])
+    assert got == pytest.approx(model.cost(words, classes)[mixed], rel=1e-4)
+    assert model.cost(words, classes)[7] == pytest.approx(model.cost(words[7:8], classes[7:8])[0], rel=1e-4)
+
+
 def test_near_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((300, 16))
