@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import calc
+from .functions import calc, clock
 from .functions import text as tx
 from .operators import cite
 from .operators import compile as cp
@@ -18,6 +18,8 @@ from .operators import evaluate as ev
 from .operators import graph as gr
 from .operators import ingest as ig
 from .operators import retrieve as rt
+from .operators import session as se
+from .sources import files
 from .sources import tables as tb
 from .streaming import guards
 
@@ -503,6 +505,101 @@ def decoded_bytes(t):
     return t("documents").filter("text is not null").select("doc_id", F.sha2(tb.decoded(data).cast("binary"), 256).alias("digest"))
 
 
+@_query("""with e as (select event_id, ts, (user_id % 40 - 20)::integer as d, (event_id % 30)::integer as h from events),
+s as (select event_id, date_trunc('second', ts) + to_days(d) + to_hours(h) - to_minutes(5) as t from e)
+select event_id, strftime(t, '%Y-%m-%d %H:%M:%S') as shifted, ['星期一','星期二','星期三','星期四','星期五','星期六','星期日'][isodow(t)] as weekday,
+  case when hour(t) < 6 then '凌晨' when hour(t) < 12 then '上午' when hour(t) < 14 then '中午' when hour(t) < 18 then '下午' else '晚上' end as period from s""")
+def date_shift(t):
+    base = F.concat(F.lit("at "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" UTC"))
+    delta = F.format_string("%dd %dh-5m", (F.col("user_id") % 40 - 20), F.col("event_id") % 30)
+    e = t("events").select("event_id", clock.shifted(base, delta).alias("t"))
+    return e.select("event_id", F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("shifted"), clock.weekday(F.col("t")).alias("weekday"), clock.period(F.col("t")).alias("period"))
+
+
+@_query(r"""with f as (select source, case when doc_id % 3 = 0 then 'book/' when doc_id % 3 = 1 then '' else 'a/b/' end ||
+  case when doc_id % 7 = 0 then 'README.md' when doc_id % 2 = 0 then 'chapter' || doc_id || '.md' when doc_id % 5 = 0 then 'x' || doc_id || '.PNG' else 'Note' || doc_id || '.txt' end as path from documents),
+k as (select distinct source, path, lower(split_part(path, '/', -1)) as name from f where not path like '%.PNG' and (source <> (select min(source) from documents) or path like 'book/%')),
+o as (select *, try_cast(nullif(regexp_extract(name, '^chapter(\d+)\.md$', 1), '') as bigint) as num from k)
+select source, path, row_number() over (partition by source order by case when name = 'readme.md' then 0 when num is not null then 1 else 2 end, case when name = 'readme.md' then 1 else num end, name, path)::integer as place from o""")
+def file_selection(t):
+    k = F.col("doc_id")
+    folder = F.when(k % 3 == 0, "book/").when(k % 3 == 1, "").otherwise("a/b/")
+    number = k.cast("string")
+    name = F.when(k % 7 == 0, "README.md").when(k % 2 == 0, F.concat(F.lit("chapter"), number, F.lit(".md"))).when(k % 5 == 0, F.concat(F.lit("x"), number, F.lit(".PNG"))).otherwise(F.concat(F.lit("Note"), number, F.lit(".txt")))
+    d = t("documents")
+    lowest = d.agg(F.min("source")).first()[0]
+    return files.select_files(d.select("source", F.concat(folder, name).alias("path")), {lowest: ["book/*"]}, ["**/*"], ["readme.md"])
+
+
+@_query("""with n as (select conv_id, role, arg_max(text, turn) as text from conversations where text is not null group by conv_id, role)
+select conv_id, role, sha256(text) as note from n where contains(role, 'st') or contains(text, 'st')""")
+def note_search(t):
+    state = se.notes(t("conversations").filter("text is not null"), "conv_id", "role", "text", "turn")
+    return se.find_notes(state, "role", "text", " st ").select("conv_id", "role", F.sha2(F.col("text").cast("binary"), 256).alias("note"))
+
+
+@_query("""with e as (select user_id, event_type, epoch_us(ts) / 1000.0 as ms, case when value > 5 then props else '' end as text from events)
+select user_id, event_type, count(*) as chunks, count(*) filter (where text <> '') as deltas, sum(length(text)) as chars, sum(strlen(text)) as bytes,
+  round(min(ms) filter (where text <> '') - min(ms), 1) as first_ms, round(max(ms) - min(ms), 1) as duration_ms from e group by 1, 2""")
+def round_summary(t):
+    e = t("events").withColumn("text", F.when(F.col("value") > 5, F.col("props")).otherwise(""))
+    return se.round_summary(e, "user_id", "event_type", "ts", "text")
+
+
+@_query("""with r as (select conv_id, coalesce(list(role order by turn) filter (where role = 'assistant'), []) as tools, list_distinct(list(case role when 'assistant' then 'tool_exec' when 'user' then 'round' else 'done' end)) as kinds,
+  count(*) as n, count(*) filter (where role = 'user') as rounds, max(text) as output from conversations group by conv_id)
+select conv_id, rounds, case when conv_id % 2 = 0 and len(tools) > 0 then 'pass' else 'fail' end as tool_used, case when len(tools) = 0 then 'pass' else 'fail' end as tool_not_used,
+  case when list_contains(kinds, 'done') then 'pass' else 'fail' end as stream_complete, case when n * 1000 <= 4000 then 'pass' else 'fail' end as latency_budget,
+  'pass' as no_prompt_leak, case when conv_id % 3 = 0 then 'na' when contains(output, 'a') then 'pass' else 'fail' end as contains_all,
+  case when len(tools) <= 2 then 'pass' else 'fail' end as within_rounds from r""")
+def machine_criteria(t):
+    c = t("conversations")
+    kind = F.when(F.col("role") == "assistant", "tool_exec").when(F.col("role") == "user", "round").otherwise("done")
+    trace = se.trace_metrics(c.withColumn("kind", kind), "conv_id", "turn", "kind", "role")
+    sizes = c.groupBy("conv_id").agg((F.count(F.lit(1)) * 1000).alias("elapsed_ms"), F.max("text").alias("output"))
+    empty = F.array().cast("array<string>")
+    a = trace.join(sizes, "conv_id").withColumns(
+        {
+            "status": F.lit("ok"), "timeout_sec": F.lit(4), "max_rounds": F.lit(2),
+            "expected_tools": F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("assistant"))).otherwise(empty),
+            "answer_contains": F.when(F.col("conv_id") % 3 == 0, empty).otherwise(F.array(F.lit("a"))),
+        }
+    )
+    return se.machine_criteria(a).select("conv_id", "rounds", "tool_used", "tool_not_used", "stream_complete", "latency_budget", "no_prompt_leak", "contains_all", "within_rounds")
+
+
+@_query("""with c as (select s_suppkey as community, case when s_suppkey % 10 = 0 then -1 when s_suppkey % 11 = 0 then 1000000 + s_suppkey else s_suppkey // 10 end as parent from supplier),
+odd as (select community, case when parent < 0 then 'root' else 'dangling' end as role from c where parent < 0 or parent not in (select community from c))
+select community, role, (select count(*) from c x where x.parent = odd.community) as children from odd""")
+def hierarchy_check(t):
+    k = F.col("s_suppkey")
+    parent = F.when(k % 10 == 0, -1).when(k % 11 == 0, k + 1000000).otherwise(F.floor(k / 10))
+    return gr.hierarchy_check(t("supplier").select(k.alias("community"), parent.cast("long").alias("parent")))
+
+
+@_query("""with e as (select l_suppkey as src, l_returnflag as pred, case when l_linenumber = 7 then null else l_partkey % 10 end as dst from lineitem),
+a as (select case when dst is null then 'unary' when src = 3 then 'out' else 'in' end as direction, pred, case when src = 3 then dst else src end as other from e where src = 3 or dst = 3)
+select direction, pred, other, count(*) as n from a group by all""")
+def ego_view(t):
+    dst = F.when(F.col("l_linenumber") != 7, F.col("l_partkey") % 10)
+    return gr.ego(t("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_returnflag").alias("pred"), dst.alias("dst")), 3)
+
+
+@_query("""with x as (select vec_id, label, unnest(embedding)::double as v, unnest(range(len(embedding))) as i from embeddings),
+c as (select label, i, avg(v) as m from x group by label, i),
+d as (select x.label, x.vec_id as id, round(sqrt(sum((v - m) * (v - m))), 6) as distance from x join c on x.label = c.label and x.i = c.i group by 1, 2)
+select label, id, distance from d qualify row_number() over (partition by label order by distance, id) <= 3""")
+def central_rows(t):
+    return rt.nearest_to_centroid(t("embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v")), "label", 3)
+
+
+@_query("""with w as (select lang, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as term from documents), n as (select lang, term, count(*) as n from w group by all)
+select lang, term, n from n qualify row_number() over (partition by lang order by n desc, term) <= 5""")
+def top_terms(t):
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return rt.top_terms(t("documents").select("lang", F.explode(words).alias("term")), "lang", "term", 5)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense and lexical retrieval fused, budgeted and rendered as one numbered context block."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")

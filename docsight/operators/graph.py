@@ -82,3 +82,24 @@ def select_levels(reports: DataFrame, threshold: int, max_level: int) -> DataFra
         chosen = hit if chosen is None else chosen.join(hit.select(F.col("parent").alias("community")), "community", "left_anti").unionByName(hit.select(chosen.columns))
         queue = reports.filter(F.col("level") == level + 1).join(hit.select(F.col("community").alias("parent")), "parent", "left_semi").select(reports.columns)
     return chosen.select("community", "level", "rating")
+
+
+def hierarchy_check(communities: DataFrame) -> DataFrame:
+    """(community, role, children): every root and every node whose parent is missing (``dangling``), with its children.
+
+    ``communities``: community, parent; a root has a null or negative parent.
+    """
+    nodes = communities.select("community", F.when(F.col("parent") >= 0, F.col("parent")).alias("parent"))
+    known = nodes.select(F.col("community").alias("parent"), F.lit(True).alias("known")).distinct()
+    role = F.when(F.col("parent").isNull(), "root").when(F.col("known").isNull(), "dangling")
+    odd = nodes.join(known, "parent", "left").withColumn("role", role).filter("role is not null").select("community", "role")
+    below = nodes.groupBy(F.col("parent").alias("community")).agg(F.count(F.lit(1)).alias("children"))
+    return odd.join(below, "community", "left").select("community", "role", F.coalesce("children", F.lit(0)).alias("children"))
+
+
+def ego(edges: DataFrame, node) -> DataFrame:
+    """(direction, pred, other, n) of one node's edges (src, pred, dst), repeats counted; an edge without an end is ``unary``."""
+    around = edges.filter((F.col("src") == node) | (F.col("dst") == node))
+    direction = F.when(F.col("dst").isNull(), "unary").when(F.col("src") == node, "out").otherwise("in")
+    other = F.when(F.col("src") == node, F.col("dst")).otherwise(F.col("src"))
+    return around.groupBy(direction.alias("direction"), "pred", other.alias("other")).agg(F.count(F.lit(1)).alias("n"))
