@@ -19,6 +19,7 @@ from .operators import graph as gr
 from .operators import ingest as ig
 from .operators import retrieve as rt
 from .operators import session as se
+from .plans import ask, load
 from .sources import files
 from .sources import tables as tb
 from .streaming import guards
@@ -92,7 +93,7 @@ def hybrid_rrf(t):
   select a.label, round({COS}, 4) as c from embeddings a, embeddings q where q.vec_id = 0) group by label having max(c) >= 0.3""")
 def gated_groups(t):
     q, v = _vectors(t)
-    hits = rt.dense_top_k(q, v, 1 << 30).join(t("embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
+    hits = rt.dense_scores(q, v).join(t("embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
     return rt.gate(hits, "label", "dense", 0.3).groupBy("label").agg(F.max("dense").alias("best"), F.count(F.lit(1)).alias("hits"))
 
 
@@ -600,13 +601,18 @@ def top_terms(t):
     return rt.top_terms(t("documents").select("lang", F.explode(words).alias("term")), "lang", "term", 5)
 
 
+@_query(r"""select page_id, trim(regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '\s+', ' ', 'g')) as heading from pages""")
+def page_titles(t):
+    return load.page_chunks(t("pages"), "page_id", "html", 800).select("page_id", F.element_at(F.split("path", " / "), 1).alias("heading")).filter("heading <> ''").distinct()
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense and lexical retrieval fused, budgeted and rendered as one numbered context block."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    fused = rt.rrf(rt.dense_top_k(*_vectors(t), 10), _lexical(t))
-    docs = t("documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("text"), tx.token_estimate(F.col("text")).alias("tokens"))
-    kept = rt.budget_stop(fused.join(docs, "id"), "query_id", [F.desc("rrf"), "id"], "tokens", 4000)
-    return rt.context_block(kept, "query_id", "rn", "text")
+    asked = t("benchmark").filter("item_id = 0").select(F.col("item_id").alias("query_id"), "text").join(F.broadcast(_vectors(t)[0]), "query_id")
+    docs = t("documents").select(F.col("doc_id").alias("id"), "text")
+    return ask.context(asked, docs, _vectors(t)[1], k=10, cap=4000, excerpt=200)
+
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -76,3 +76,12 @@ def test_tool_calls_and_rounds_from_a_stream(spark, tmp_path):
         assert sorted(map(str, spark.table(name).collect())) == want and len(want) == 3
     valid = {(r["stream"], r["index"]): r["valid"] for r in spark.table("calls").collect()}
     assert valid == {(1, 0): True, (1, 1): False, (2, 0): True}
+
+
+def test_page_chunks_are_places_of_the_section(spark):
+    from docsight.plans import load
+
+    pages = spark.createDataFrame([(1, "<h1>A</h1><p>one<p>two two<h2>B</h2><p>three</p>"), (2, None), (3, "")], "id int, html string")
+    rows = load.page_chunks(pages, "id", "html", 8).collect()
+    got = sorted((r["id"], r["path"], r["seq"], r["start"], r["end"], r["text"]) for r in rows)
+    assert got == [(1, "A", 0, 0, 3, "one"), (1, "A", 1, 4, 11, "two two"), (1, "A / B", 0, 0, 5, "three")]
