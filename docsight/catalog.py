@@ -22,37 +22,24 @@ from .operators import session as se
 from .plans import ask, load
 from .sources import files
 from .sources import tables as tb
+from .registry import QUERIES, SQL
+from .registry import query as _query
 from .streaming import guards
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def register(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        _QUERIES[f.__name__] = run
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 WORDS = r"regexp_extract_all(lower({0}), '([a-z0-9]+(?:[._\-][a-z0-9]+)*)', 1)"
 COS = "list_cosine_similarity(cast(a.embedding as double[]), cast(q.embedding as double[]))"
 
 
 def _vectors(t) -> tuple[DataFrame, DataFrame]:
+    """Every row whose id 50 divides is a query against all rows."""
     v = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return v.filter("id = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), v
+    return v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), v
 
 
-@_query(f"select a.vec_id as id, round({COS}, 4) as dense from embeddings a, embeddings q where q.vec_id = 0 order by 2 desc, 1 limit 10")
+@_query(f"""select query_id, id, dense, rank from (select q.vec_id as query_id, a.vec_id as id, round({COS}, 4) as dense,
+  row_number() over (partition by q.vec_id order by round({COS}, 4) desc, a.vec_id) as rank from embeddings a, embeddings q where q.vec_id % 50 = 0) where rank <= 10""")
 def dense_topk(t):
-    return rt.dense_top_k(*_vectors(t), 10).select("id", "dense")
+    return rt.dense_top_k(*_vectors(t), 10).select("query_id", "id", "dense", F.col("rank").cast("long").alias("rank"))
 
 
 BM25 = rf"""
@@ -61,40 +48,43 @@ st as (select count(*) as n, avg(len(w)) as mean from tok),
 post as (select id, term, count(*) as tf, any_value(l) as len from (select id, len(w) as l, unnest(w) as term from tok) group by 1, 2),
 idf as (select term, ln((n - count(*) + 0.5) / (count(*) + 0.5)) as raw from post, st group by term, n),
 m as (select avg(raw) as mi from idf),
-q as (select unnest(list_filter({WORDS.format("text")}, lambda x: length(x) >= 2)) as term from benchmark where item_id = 0),
-s as (select id, round(sum(case when raw < 0 then 0.25 * mi else raw end * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 4) as bm25
-      from q join post using (term) join idf using (term), st, m group by id),
-lex as (select id, bm25, row_number() over (order by bm25 desc, id) as rank from s where bm25 > 0 qualify rank <= 10)
+q as (select item_id as query_id, unnest(list_filter({WORDS.format("text")}, lambda x: length(x) >= 2)) as term from benchmark),
+s as (select query_id, id, round(sum(case when raw < 0 then 0.25 * mi else raw end * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 4) as bm25
+      from q join post using (term) join idf using (term), st, m group by query_id, id),
+lex as (select query_id, id, bm25, row_number() over (partition by query_id order by bm25 desc, id) as rank from s where bm25 > 0 qualify rank <= 10)
 """
 
 
 def _lexical(t) -> DataFrame:
-    q = t("benchmark").filter("item_id = 0").select(F.col("item_id").alias("query_id"), "text")
+    """Every benchmark item is a query."""
+    q = t("benchmark").select(F.col("item_id").alias("query_id"), "text")
     return rt.bm25_top_k(q, t("documents").select(F.col("doc_id").alias("id"), "text"), tx.long_tokens, 10)
 
 
-@_query(BM25 + "select id, bm25, rank from lex")
+@_query(BM25 + "select query_id, id, bm25, rank from lex")
 def bm25_topk(t):
-    return _lexical(t).select("id", "bm25", F.col("rank").cast("long").alias("rank"))
+    return _lexical(t).select("query_id", "id", "bm25", F.col("rank").cast("long").alias("rank"))
 
 
 @_query(
     BM25
-    + f""", dns as (select a.vec_id as id, round({COS}, 4) as dense, row_number() over (order by round({COS}, 4) desc, a.vec_id) as rank
-  from embeddings a, embeddings q where q.vec_id = 0 qualify rank <= 10)
-select id, round(sum(1 / (60 + rank)), 6) as rrf, max(dense) as dense, max(bm25) as bm25 from (
-  select id, rank, dense, null::double as bm25 from dns union all select id, rank, null, bm25 from lex) group by id"""
+    + f""", dns as (select q.vec_id as query_id, a.vec_id as id, round({COS}, 4) as dense, row_number() over (partition by q.vec_id order by round({COS}, 4) desc, a.vec_id) as rank
+  from embeddings a, embeddings q where q.vec_id in (select item_id from benchmark) qualify rank <= 10)
+select query_id, id, round(sum(1 / (60 + rank)), 6) as rrf, max(dense) as dense, max(bm25) as bm25 from (
+  select query_id, id, rank, dense, null::double as bm25 from dns union all select query_id, id, rank, null, bm25 from lex) group by query_id, id"""
 )
 def hybrid_rrf(t):
-    return rt.rrf(rt.dense_top_k(*_vectors(t), 10), _lexical(t)).select("id", "rrf", "dense", "bm25")
+    v = _vectors(t)[1]
+    q = v.join(t("benchmark").select(F.col("item_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return rt.rrf(rt.dense_top_k(q, v, 10), _lexical(t)).select("query_id", "id", "rrf", "dense", "bm25")
 
 
-@_query(f"""select label, round(max(c), 4) as best, count(*) as hits from (
-  select a.label, round({COS}, 4) as c from embeddings a, embeddings q where q.vec_id = 0) group by label having max(c) >= 0.3""")
+@_query(f"""select query_id, label, round(max(c), 4) as best, count(*) as hits from (
+  select q.vec_id as query_id, a.label, round({COS}, 4) as c from embeddings a, embeddings q where q.vec_id % 50 = 0) group by query_id, label having max(c) >= 0.3""")
 def gated_groups(t):
     q, v = _vectors(t)
-    hits = rt.dense_scores(q, v).join(t("embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
-    return rt.gate(hits, "label", "dense", 0.3).groupBy("label").agg(F.max("dense").alias("best"), F.count(F.lit(1)).alias("hits"))
+    hits = rt.dense_scores(q, v).join(t("embeddings").select(F.col("vec_id").alias("id"), "label"), "id").withColumn("grp", F.struct("query_id", "label"))
+    return rt.gate(hits, "grp", "dense", 0.3).groupBy("query_id", "label").agg(F.max("dense").alias("best"), F.count(F.lit(1)).alias("hits"))
 
 
 @_query("""select source, doc_id, tokens, cum from (
@@ -209,11 +199,11 @@ def token_jaccard_pairs(t):
     return cp.name_pairs(o.select(F.col("o_orderkey").alias("id"), F.array_distinct(tokens).alias("tokens")), 0.8)
 
 
-@_query("""with l as (select distinct l_partkey as node, l_suppkey as other from lineitem),
-c as (select other from l group by other having count(*) <= 700), k as (select l.* from l join c using (other))
-select a.node as a, b.node as b, count(*) as shared from k a join k b on a.other = b.other and a.node < b.node group by 1, 2 having count(*) >= 3""")
+@_query("""with l as (select distinct l_partkey as node, l_orderkey as other from lineitem),
+c as (select other from l group by other having count(*) <= 8), k as (select l.* from l join c using (other))
+select a.node as a, b.node as b, count(*) as shared from k a join k b on a.other = b.other and a.node < b.node group by 1, 2 having count(*) >= 2""")
 def shared_neighbours(t):
-    return gr.shared_neighbours(t("lineitem").select(F.col("l_partkey").alias("node"), F.col("l_suppkey").alias("other")), 3, 700)
+    return gr.shared_neighbours(t("lineitem").select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("other")))
 
 
 @_query("""with p as (select distinct l_suppkey as node, l_returnflag as pred, l_partkey % 50 as other from lineitem),
@@ -236,12 +226,13 @@ def undirected_degree(t):
     return gr.undirected_degree(e)
 
 
-@_query("""with recursive e as (select s_suppkey as a, (s_suppkey * 7 + 3) % 100 as b from supplier where s_suppkey % 3 = 0), both_ as (select a, b from e union select b, a from e),
+@_query("""with recursive e as (select * from (select c_custkey as a, lead(c_custkey) over (partition by c_nationkey, c_mktsegment order by c_custkey) as b from customer) where b is not null),
+both_ as (select a, b from e union select b, a from e),
 r as (select a as node, a as seen from both_ union select r.node, both_.b from r join both_ on both_.a = r.seen)
 select node, min(seen) as component from r group by node""")
 def components(t):
-    s = t("supplier").filter("s_suppkey % 3 = 0")
-    return gr.components(s.select(F.col("s_suppkey").alias("src"), ((F.col("s_suppkey") * 7 + 3) % 100).alias("dst")))
+    after = F.lead("c_custkey").over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey"))
+    return gr.components(t("customer").select(F.col("c_custkey").alias("src"), after.alias("dst")).filter("dst is not null"))
 
 
 @_query("""select bucket, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from (
@@ -289,9 +280,9 @@ def composite_score(t):
     return ev.composite(per, "w", "r")
 
 
-@_query("select lang, list_sort(list(doc_id)) as violations from documents join labels using (doc_id) where toxic = 1 group by lang")
+@_query("select lang, doc_id, quality from documents join labels using (doc_id) where toxic = 1")
 def red_line(t):
-    return t("documents").join(t("labels").filter("toxic = 1"), "doc_id").groupBy("lang").agg(F.array_sort(F.collect_list("doc_id")).alias("violations"))
+    return t("documents").join(t("labels").filter("toxic = 1"), "doc_id").select("lang", "doc_id", "quality")
 
 
 @_query()
@@ -325,12 +316,19 @@ def qa_f1(t):
 s as (select distinct substr(text, i, 12) as g from (select text, unnest(range(1, length(text) - 10)) as i from documents where doc_id in (select doc_id from labels)))
 select item_id, round(avg((s.g is not null)::int), 4) as coverage from p left join s using (g) group by item_id""")
 def ngram_coverage(t):
-    def grams(df: DataFrame, *keep: str) -> DataFrame:
+    def each(df: DataFrame, *keep: str) -> DataFrame:
+        # a character's place is counted from the start of its piece, not of the text
+        part = df.select(*keep, F.explode(tx.pieces(F.col("text"), 512, 11)).alias("text")).filter(F.length("text") >= 12)
         at = F.explode(F.sequence(F.lit(1), F.length("text") - 11)).alias("i")
-        return df.filter(F.length("text") >= 12).select(*keep, "text", at).select(*keep, F.expr("substring(text, i, 12)").alias("g")).distinct()
+        return part.select(*keep, "text", at).select(*keep, F.expr("substring(text, i, 12)").alias("g"))
 
-    product = grams(t("documents").join(t("labels").select("doc_id"), "doc_id", "left_semi")).withColumn("hit", F.lit(1))
-    return grams(t("benchmark"), "item_id").join(product, "g", "left").groupBy("item_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("coverage"))
+    def grams(df: DataFrame, *keep: str) -> DataFrame:
+        return each(df, *keep).distinct()
+
+    wanted = grams(t("benchmark"), "item_id")
+    labelled = t("documents").join(t("labels").select("doc_id"), "doc_id", "left_semi")
+    product = each(labelled).join(wanted.select("g").distinct(), "g", "left_semi").distinct().withColumn("hit", F.lit(1))
+    return wanted.join(product, "g", "left").groupBy("item_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("coverage"))
 
 
 @_query("""with a as (select distinct text from documents where doc_id % 2 = 0), b as (select distinct text from documents where doc_id % 2 = 1)
@@ -416,7 +414,9 @@ def owner_majority(t):
 
 @_query("select p_brand, round(quantile_cont(p_retailprice, 0.9), 4) as p90, round(list_sort(list(p_retailprice))[least(floor(count(*) * 0.9)::int + 1, count(*))], 4) as p90_index from part group by p_brand")
 def percentile_rules(t):
-    return t("part").groupBy("p_brand").agg(F.round(F.percentile("p_retailprice", F.lit(0.9)), 4).alias("p90"), F.round(ev.p90_by_index(F.col("p_retailprice")), 4).alias("p90_index"))
+    smooth = t("part").groupBy("p_brand").agg(F.round(F.percentile("p_retailprice", F.lit(0.9)), 4).alias("p90"))
+    by_index = ev.percentile_by_index(t("part"), "p_brand", "p_retailprice").select("p_brand", F.round("item", 4).alias("p90_index"))
+    return smooth.join(by_index, "p_brand")
 
 
 @_query("""with c as (select label, i, avg(x) as x from (select label, unnest(cast(embedding as double[])) as x, unnest(range(1, len(embedding) + 1)) as i from embeddings) group by 1, 2)
@@ -601,7 +601,7 @@ def top_terms(t):
     return rt.top_terms(t("documents").select("lang", F.explode(words).alias("term")), "lang", "term", 5)
 
 
-@_query(r"""select page_id, trim(regexp_replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '\s+', ' ', 'g')) as heading from pages""")
+@_query(r"""select page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) as heading from pages""")
 def page_titles(t):
     return load.page_chunks(t("pages"), "page_id", "html", 800).select("page_id", F.element_at(F.split("path", " / "), 1).alias("heading")).filter("heading <> ''").distinct()
 
@@ -609,15 +609,17 @@ def page_titles(t):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense and lexical retrieval fused, budgeted and rendered as one numbered context block."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    asked = t("benchmark").filter("item_id = 0").select(F.col("item_id").alias("query_id"), "text").join(F.broadcast(_vectors(t)[0]), "query_id")
+    asked = t("benchmark").select(F.col("item_id").alias("query_id"), "text").join(_vectors(t)[0], "query_id")
     docs = t("documents").select(F.col("doc_id").alias("id"), "text")
     return ask.context(asked, docs, _vectors(t)[1], k=10, cap=4000, excerpt=200)
 
 
+from . import catalog_audit  # noqa: E402, F401  (registers its queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

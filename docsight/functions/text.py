@@ -132,3 +132,9 @@ def tolerant_json(text: Column, schema: str) -> Column:
 def contained(quote: Column, pool: Column) -> Column:
     """A reply's quote is verbatim if some text of the pool holds it or is held by it."""
     return F.coalesce((F.length(quote) > 0) & F.exists(pool, lambda p: p.contains(quote) | quote.contains(p)), F.lit(False))
+
+
+def pieces(text: Column, size: int, more: int) -> Column:
+    """Pieces of a text, ``size`` characters apart, each with the ``more`` characters that follow it: what stands in a text is found piecewise."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size))
+    return F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(size + more)))

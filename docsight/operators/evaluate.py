@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .retrieve import first_rows
 
 
 def roll_up(attempts: DataFrame, case: str) -> DataFrame:
@@ -52,10 +53,15 @@ def bootstrap(rows: DataFrame, value: str, key: str, resamples: int = 2000) -> D
     )
 
 
-def p90_by_index(values: Column) -> Column:
-    """The item at floor(0.9 n) of the sorted values, unlike an interpolated percentile."""
-    s = F.array_sort(F.collect_list(values))
-    return F.element_at(s, F.least(F.floor(F.size(s) * 0.9) + 1, F.size(s)).cast("int"))
+def percentile_by_index(rows: DataFrame, group: str, value: str, share: float = 0.9) -> DataFrame:
+    """(group, item): the item at floor(share * n) of a group's sorted values, unlike an interpolated percentile.
+
+    Equal values are counted before they are put in order.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy(group).orderBy(value)
+    cum = counts.withColumn("cum", F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(Window.partitionBy(group)))
+    return cum.groupBy(group).agg(F.min(F.when(F.col("cum") > F.least(F.floor(F.col("all") * share), F.col("all") - 1), F.col(value))).alias("item"))
 
 
 def answer_scores(pairs: DataFrame) -> DataFrame:
@@ -85,6 +91,15 @@ def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def stratified_budget(rows: DataFrame, stratum: str, size: str, quota: int, key: str) -> DataFrame:
-    """Rows of each stratum in a fixed random order while the sum before a row is below the quota."""
-    by = Window.partitionBy(stratum).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)
-    return rows.withColumn("before", F.coalesce(F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("before") < quota)
+    """Rows of each stratum in a fixed random order while the sum before a row is below the quota.
+
+    The order is cut where the sum reaches the quota, which ``quota`` rows
+    of some size do; the cut then filters all rows.  Null sizes count as none.
+    """
+    order = F.struct(F.md5(F.col(key).cast("string").cast("binary")).alias("h"), F.col(key).alias("k"))
+    sized = rows.filter(F.col(size) > 0).select(F.col(stratum).alias("__s"), order.alias("__o"), F.col(size).alias("__n"))
+    by = Window.partitionBy("__s").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+    cum = first_rows(sized, ["__s"], ["__o"], max(quota, 1)).withColumn("cum", F.sum("__n").over(by))
+    cuts = cum.filter(F.col("cum") >= quota).groupBy("__s").agg(F.min("__o").alias("__cut"))
+    both = rows.withColumn("__o", order).join(cuts, F.col(stratum).eqNullSafe(F.col("__s")), "left")
+    return both.filter(F.col("__cut").isNull() | (F.col("__o") <= F.col("__cut"))).select(*rows.columns)

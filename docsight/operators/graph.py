@@ -33,25 +33,27 @@ def structure_evidence(profile: DataFrame, pairs: DataFrame) -> DataFrame:
     return n.select("a", "b", "shared", conflicts.alias("conflicts"), ((conflicts >= 2) & (F.least("da", "db") >= 3)).alias("veto"))
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): smallest node reachable, by label spreading with pointer jumps; rounds are cut by checkpoints."""
+def components(links: DataFrame) -> DataFrame:
+    """(node, component): smallest node reachable, by label spreading with pointer jumps until no label moves.
+
+    Rounds are cut by checkpoints in the session's checkpoint folder.
+    """
     spark = links.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docsight-"))
-    both = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
     labels = both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
-    for _ in range(rounds):
+    while True:
         heard = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("m"))
         low = labels.join(heard, "node").select("node", F.least("component", "m").alias("component"), F.col("component").alias("was"))
         low = low.checkpoint()
         jump = low.select(F.col("node").alias("component"), F.col("component").alias("up"))
         new = low.join(jump, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"), "was").checkpoint()
         labels = new.select("node", "component")
-        if not new.filter("component <> was").limit(1).count():
-            break
-    return labels
+        if new.filter("component <> was").isEmpty():
+            return labels
 
 
 def community_rollup(members: DataFrame, reports: DataFrame, level: int) -> DataFrame:
@@ -69,19 +71,27 @@ def size_mix(rows: DataFrame, size: str, bounds: list[int]) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
-def select_levels(reports: DataFrame, threshold: int, max_level: int) -> DataFrame:
-    """Level-wise selection: a rating of ``threshold`` or more selects a community, drops its parent and queues its children.
+def select_levels(reports: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, community, level, rating, kept): the communities that a level-wise reading selects, for each threshold.
 
-    ``reports`` has community, parent (null at a root), level and rating.  One
-    join for each level; a level with no selection opens whole below it.
+    ``reports`` has community, parent (null at a root), level (0 at a root)
+    and rating (null: not rated, never selected).  Reading opens whole levels
+    until one holds a rating of the threshold or more; below it, only
+    children of selected communities are read.  ``kept`` is false for one
+    that a selected child replaced.  One join for each level.
     """
-    queue = reports.filter("parent is null")
-    chosen = None
-    for level in range(max_level + 1):
-        hit = queue.filter((F.col("rating") >= threshold) & (F.col("level") == level))
-        chosen = hit if chosen is None else chosen.join(hit.select(F.col("parent").alias("community")), "community", "left_anti").unionByName(hit.select(chosen.columns))
-        queue = reports.filter(F.col("level") == level + 1).join(hit.select(F.col("community").alias("parent")), "parent", "left_semi").select(reports.columns)
-    return chosen.select("community", "level", "rating")
+    rated = reports.select("community", "parent", "level", "rating", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold")).filter("rating >= threshold")
+    opens = rated.groupBy("threshold").agg(F.min("level").alias("opens"))
+    rated = rated.join(F.broadcast(opens), "threshold")  # one row a threshold
+    depth = rated.agg(F.max("level")).first()[0]
+    chosen = row = rated.filter("level = opens")
+    for level in range(1, (depth or 0) + 1):
+        above = row.filter(F.col("level") == level - 1).select("threshold", F.col("community").alias("parent"))
+        row = rated.filter((F.col("level") == level) & (F.col("level") > F.col("opens"))).join(above, ["threshold", "parent"], "left_semi").select(chosen.columns)
+        row = row.unionByName(rated.filter((F.col("level") == level) & (F.col("level") == F.col("opens"))))
+        chosen = chosen.unionByName(row.filter("level > opens"))
+    replaced = chosen.filter("level > opens").select("threshold", F.col("parent").alias("community")).distinct().withColumn("gone", F.lit(True))
+    return chosen.join(replaced, ["threshold", "community"], "left").select("threshold", "community", "level", "rating", F.col("gone").isNull().alias("kept"))
 
 
 def hierarchy_check(communities: DataFrame) -> DataFrame:

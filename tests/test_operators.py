@@ -88,10 +88,43 @@ def test_components_and_degree(spark):
     assert {r["node"]: r["degree"] for r in gr.undirected_degree(e).collect()} == {1: 1, 2: 2, 3: 2, 4: 1, 8: 1, 9: 1}
 
 
-def test_level_selection(spark):
-    rows = [(0, None, 0, 5), (1, None, 0, 1), (2, 0, 1, 4), (3, 0, 1, 1), (4, 1, 1, 5)]
-    got = gr.select_levels(spark.createDataFrame(rows, "community long, parent long, level int, rating int"), 3, 1)
-    assert sorted(r["community"] for r in got.collect()) == [2]
+def test_level_selection_by_threshold(spark):
+    rows = [(0, None, 0, 5), (1, None, 0, 1), (2, 0, 1, 4), (3, 0, 1, 1), (4, 1, 1, 5), (5, 2, 2, 3), (6, 4, 2, None)]
+    got = gr.select_levels(spark.createDataFrame(rows, "community long, parent long, level int, rating int"), [3, 5, 6]).collect()
+    # at 3: 0 opens 2, 2 opens 5; at 5: 0 alone, for 4 hangs below 1, which was not selected; at 6: nothing
+    assert {(r["threshold"], r["community"]) for r in got if r["kept"]} == {(3.0, 5), (5.0, 0)}
+    assert {(r["threshold"], r["community"]) for r in got} == {(3.0, 0), (3.0, 2), (3.0, 5), (5.0, 0)}
+    low = [(0, None, 0, 1), (1, 0, 1, 4), (2, 0, 1, 1), (3, 1, 2, 4)]
+    got = gr.select_levels(spark.createDataFrame(low, "community long, parent long, level int, rating int"), [4])
+    # no root reaches 4, so the next level opens whole
+    assert sorted(r["community"] for r in got.filter("kept").collect()) == [3]
+
+
+def test_budgets_equal_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(g, i, rng.choice([1, 2, 3, 5, 8, 13, 40])) for g in range(3) for i in range(60)]
+    df = spark.createDataFrame(rows, "g long, i long, n long").repartition(5)
+    for cap in (1, 17, 39, 100):
+        skip, stop = {}, {}
+        for g in range(3):
+            used, skip[g] = 0, []
+            for _, i, n in (r for r in rows if r[0] == g):
+                if used + n <= cap:
+                    used += n
+                    skip[g].append(i)
+            used, stop[g] = 0, []
+            for _, i, n in (r for r in rows if r[0] == g):
+                if used + n > cap and stop[g]:
+                    break
+                used += n
+                stop[g].append(i)
+        assert {r["g"]: list(r["ids"]) for r in rt.budget_skip(df, "g", "i", "n", cap).collect()} == skip
+        got = {}
+        for r in rt.budget_stop(df, "g", ["i"], "n", cap).collect():
+            got.setdefault(r["g"], []).append(r["i"])
+        assert {g: sorted(x) for g, x in got.items()} == stop
 
 
 def test_verdicts(spark):
