@@ -199,10 +199,10 @@ def similar_blocks(docs: DataFrame, key: str, text: str, least: float = 0.55) ->
                 while part := list(islice(found, 65536)):
                     a, b, score = zip(*part, strict=True)
                     keys = pa.DictionaryArray.from_arrays(np.zeros(len(part), np.int32), one).cast(one.type)
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([round(x, 4) for x in score])], names=[key, "a", "b", "score"])
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(score, pa.float64())], names=[key, "a", "b", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, a long, b long, score double")
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, a long, b long, score double").withColumn("score", F.round("score", 4))
 
 
 def repeated_headings(docs: DataFrame, key: str, text: str) -> DataFrame:

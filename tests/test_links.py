@@ -79,8 +79,8 @@ def test_similar_blocks_equal_brute_force(spark):
     for i, x in enumerate(lines):
         first.setdefault(x, i + 4)
     sets = [(p, {x[i : i + 2] for i in range(len(x) - 1)}) for x, p in first.items() if len(x) > 1]
-    want = {(p, q): round(len(s & t) / len(s | t), 4) for i, (p, s) in enumerate(sets) for q, t in sets[i + 1 :] if len(s & t) / len(s | t) >= 0.55}
-    assert got == want
+    want = {(p, q): len(s & t) / len(s | t) for i, (p, s) in enumerate(sets) for q, t in sets[i + 1 :] if len(s & t) / len(s | t) >= 0.55}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 0.00005001 for k in want)
 
 
 def test_repeated_headings(spark):
