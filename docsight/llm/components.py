@@ -26,6 +26,12 @@ def merge_labels(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> Non
             labels[:] = jumped
 
 
+def _bare(df: DataFrame) -> DataFrame:
+    """A materialised table without what the planner knows of its origin: that doubles with each round."""
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), session)
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a long, b long); component is the smallest node reachable.
 
@@ -48,4 +54,4 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = _bare(cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()))

@@ -249,3 +249,45 @@ def test_pipeline_stages_keep_columns(spark, odd, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, "").columns == odd.columns
     assert corpus_pipeline.drop_near_copies(spark, odd, "").filter("text like 'the cat%'").count() == 1
+
+
+def _planted():
+    """Texts of 40 to 400 words with copies at similarities about 0.7 to 0.97, and a chain of close ones."""
+    draw, out = random.Random(8), []
+
+    def changed(words, n):
+        words = list(words)
+        for i in draw.sample(range(len(words)), n):
+            words[i] = f"new{draw.randrange(10**9)}"
+        return words
+
+    for _ in range(60):
+        words = [f"w{draw.randrange(5000)}" for _ in range(draw.choice([40, 150, 400]))]
+        out += [words] + [changed(words, max(1, len(words) * k // 400)) for k in (2, 6, 8, 9, 10, 12, 16)]
+    chain = [f"c{i}" for i in range(300)]
+    for _ in range(60):
+        out.append(chain := changed(chain, 3))
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+def test_near_copies_are_those_of_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from docsight.llm import near_copies
+
+    rows = _planted()
+    words = [t.split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    head = list(range(len(sets)))
+    similar = []
+    for i, j in ((i, j) for i in range(len(sets)) for j in range(i)):
+        if sets[i] & sets[j] and (s := len(sets[i] & sets[j]) / len(sets[i] | sets[j])) >= 0.8:
+            similar.append(s)
+            a, b = sorted((head[i], head[j]))
+            head = [a if x == b else x for x in head]
+    assert sum(s < 0.85 for s in similar) > 20 and sum(0.85 <= s < 0.9 for s in similar) > 20 and sum(s >= 0.9 for s in similar) > 20
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/planted")
+    docs = spark.read.parquet(f"{tmp_path}/planted")
+    want = sorted(set(head))
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
+    numbered = spark.createDataFrame([(i, i, t) for i, t in rows], "doc_id long, row long, text string")
+    assert sorted(r.row for r in near_copies.firsts(numbered, "doc_id", "row", tile=2000).collect()) == want
