@@ -312,10 +312,8 @@ def qa_f1(t):
     return ev.answer_scores(u.join(a, ["conv_id", "turn"])).select("conv_id", "turn", "em", "contains", "f1")
 
 
-@_query("""with g as (select item_id, text, unnest(range(1, length(text) - 10)) as i from benchmark), p as (select distinct item_id, substr(text, i, 12) as g from g),
-s as (select distinct substr(text, i, 12) as g from (select text, unnest(range(1, length(text) - 10)) as i from documents where doc_id in (select doc_id from labels)))
-select item_id, round(avg((s.g is not null)::int), 4) as coverage from p left join s using (g) group by item_id""")
-def ngram_coverage(t):
+def _coverage(benchmark: DataFrame, docs: DataFrame) -> DataFrame:
+    """Share of each item's 12-grams that occur in ``docs``."""
     def each(df: DataFrame, *keep: str) -> DataFrame:
         # a character's place is counted from the start of its piece, not of the text
         part = df.select(*keep, F.explode(tx.pieces(F.col("text"), 512, 11)).alias("text")).filter(F.length("text") >= 12)
@@ -325,12 +323,25 @@ def ngram_coverage(t):
     def grams(df: DataFrame, *keep: str) -> DataFrame:
         return each(df, *keep).distinct()
 
-    wanted = grams(t("benchmark"), "item_id")
-    labelled = t("documents").join(t("labels").select("doc_id"), "doc_id", "left_semi")
-    product = each(labelled).join(wanted.select("g").distinct(), "g", "left_semi").distinct().withColumn("hit", F.lit(1))
+    wanted = grams(benchmark, "item_id")
+    product = each(docs).join(wanted.select("g").distinct(), "g", "left_semi").distinct().withColumn("hit", F.lit(1))
     return wanted.join(product, "g", "left").groupBy("item_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("coverage"))
 
 
+@_query("""with g as (select item_id, text, unnest(range(1, length(text) - 10)) as i from benchmark), p as (select distinct item_id, substr(text, i, 12) as g from g),
+s as (select distinct substr(text, i, 12) as g from (select text, unnest(range(1, length(text) - 10)) as i from documents where doc_id in (select doc_id from labels)))
+select item_id, round(avg((s.g is not null)::int), 4) as coverage from p left join s using (g) group by item_id""")
+def ngram_coverage(t):
+    return _coverage(t("benchmark"), t("documents").join(t("labels").select("doc_id"), "doc_id", "left_semi"))
+
+
+@_query("""with g as (select item_id, text, unnest(range(1, length(text) - 10)) as i from benchmark), p as (select distinct item_id, substr(text, i, 12) as g from g),
+s as (select distinct substr(text, i, 12) as g from (select text, unnest(range(1, length(text) - 10)) as i from documents))
+select item_id, round(avg((s.g is not null)::int), 4) as coverage from p left join s using (g) group by item_id""")
+def ngram_coverage_all(t):
+    return _coverage(t("benchmark"), t("documents"))
+
+
 @_query("""with a as (select distinct text from documents where doc_id % 2 = 0), b as (select distinct text from documents where doc_id % 2 = 1)
 select (select count(*) from (select * from b except select * from a)) as added, (select count(*) from (select * from a except select * from b)) as removed,
   (select count(*) from (select * from a intersect select * from b)) as common""")

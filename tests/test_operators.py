@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from docsight import catalog
 from docsight.functions import text as tx
 from docsight.operators import compile as cp
 from docsight.operators import evaluate as ev
@@ -136,3 +137,13 @@ def test_verdicts(spark):
 def test_leak_over_two_deltas(spark):
     d = spark.createDataFrame([(1, 0, "abc se"), (1, 1, "cret x"), (2, 0, "fine")], "k long, o long, t string")
     assert [(r["k"], r["cut"]) for r in guards.first_leak(d, "k", "o", "t", ["secret"]).collect()] == [(1, 4)]
+
+
+def test_coverage_searches_documents_without_labels(spark):
+    tables = {
+        "benchmark": spark.createDataFrame([(1, "a passage of some length"), (2, "nowhere to be found")], "item_id long, text string"),
+        "documents": spark.createDataFrame([(1, "labelled"), (2, "here is a passage of some length, unlabelled")], "doc_id long, text string"),
+        "labels": spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"),
+    }
+    got = catalog.ngram_coverage_all(tables.get).collect()
+    assert {r.item_id: r.coverage for r in got} == {1: 1.0, 2: 0.0}
