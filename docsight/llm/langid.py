@@ -184,7 +184,9 @@ def train(docs: DataFrame, training: Column, epochs: int = 2) -> Model:
     Without usable rows the model knows no language and answers ``und``.
     """
     rows = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    languages = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     names = tuple(sorted(languages))
     frequency, total = document_frequency(rows)
     idf = np.log((1 + total) / (1 + frequency)) + 1

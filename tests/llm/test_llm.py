@@ -291,3 +291,11 @@ def test_near_copies_are_those_of_brute_force(spark, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
     numbered = spark.createDataFrame([(i, i, t) for i, t in rows], "doc_id long, row long, text string")
     assert sorted(r.row for r in near_copies.firsts(numbered, "doc_id", "row", tile=2000).collect()) == want
+
+
+def test_too_many_languages_are_refused(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(langid.MAX_LANGUAGES + 1).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    with pytest.raises(ValueError):
+        langid.train(docs, F.lit(True))
