@@ -1,6 +1,10 @@
 """The training-data operators against brute force, round trips and held-out accuracy."""
 
+import itertools
+import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -148,41 +152,66 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
-def test_lm_scores_are_a_distribution_and_beat_nothing_on_odd_rows(spark, odd):
-    rows = lm_score.score_documents(odd).collect()
-    assert len(rows) == len(ODD)
-    assert all(r["score"] < 0 and r["n_tokens"] >= 1 and 0 <= r["n_known"] <= r["n_tokens"] for r in rows)
-    mixer = lm_score.Mixer.fresh()
-    model = lm_score.Model(np.zeros(lm_score.SLOTS, dtype=np.uint32), np.zeros(lm_score.SLOTS - lm_score.FIRST_SLOT[4], dtype=bool), mixer)
-    ones = [bytes([b]) for b in range(256) if b not in (10, 32)]
-    cost = model.cost([*ones, b"\n"], np.zeros(255, dtype=np.int64))
-    assert np.sum(10 ** (cost[:-1] / 2)) == pytest.approx(254 / 256, rel=1e-3)
-
-
-def test_lm_edges_are_shared_beginnings_and_cost_alike_in_any_order():
-    random.seed(6)
-    words = sorted({bytes(random.choice(b"abc\x01") for _ in range(random.randint(1, 9))) for _ in range(400)}) + [b"\n", b"x" * 300, b"x" * 299 + b"y"]
-    classes = np.array([i % 3 // 2 for i in range(len(words))])
-    classes = np.sort(classes)
-    e = lm_score.expand(words, classes)
-    spelled = [lm_score.spell(w) for w in words]
-    assert e.value[e.edge].tobytes() == b"".join(spelled)
-    ends = [(k, s[: i + 1]) for s, k in zip(spelled, classes, strict=True) for i in range(len(s))]
-    first = [ends[i] for i in e.at]
-    assert [first[i] for i in e.edge] == ends and len(e.at) < 0.7 * len(ends)
-    alone = [lm_score.expand([w], classes[i : i + 1]) for i, w in enumerate(words)]
-    assert (np.concatenate([x.contexts for x in alone], axis=1) == e.contexts[:, e.edge]).all()
-    assert (np.concatenate([x.last for x in alone]) == e.last[e.edge]).all()
-    rng = np.random.default_rng(1)
-    seen = rng.integers(0, 257, (2, lm_score.SLOTS))
-    counts = lm_score.pack(*seen)
-    assert all((a == b).all() for a, b in zip(lm_score.unpack(counts), seen, strict=True))
-    owned = rng.random(lm_score.SLOTS - lm_score.FIRST_SLOT[4]) < 0.97
-    model = lm_score.Model(counts, owned, lm_score.Mixer.fresh())
-    mixed = rng.permutation(len(words))
-    got = model.cost([words[i] for i in mixed], classes[mixed])
-    assert got == pytest.approx(model.cost(words, classes)[mixed], rel=1e-4)
-    assert model.cost(words, classes)[7] == pytest.approx(model.cost(words[7:8], classes[7:8])[0], rel=1e-4)
+def _lm_docs(spark, n=240):
+    """Documents over a skewed vocabulary in two languages, odd rows among them."""
+    draw = random.Random(9)
+    common, foreign = [f"w{i}" for i in range(40)], [f"ö{i}é" for i in range(40)]
+    rows = [(i, " ".join(draw.choice(foreign if i % 4 == 0 else common) if draw.random() < 0.8 else f"Rare{draw.randrange(600)}" for _ in range(draw.randrange(1, 60)))) for i in range(n)]
+    rows += [(900, None), (901, ""), (None, "w1 W2"), (902, " ".join(draw.choices(common, k=30_000))), (902, "w1 " * 20), (903, "\x01\x02 \x00")]
+    return spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, word int, kind string, n int").repartition(3), rows
+
+
+def test_lm_base_equals_brute_force_and_the_model_beats_it(spark):
+    docs, rows = _lm_docs(spark)
+    words = [((t or "").encode().lower().split() + [None]) for _, t in rows]
+    out = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
+    seen = Counter(w for own, o in zip(words, out) if not o for w in own)
+    total, distinct = sum(seen.values()), len(seen)
+    want = sorted(
+        (str(i), o, len(own), sum(seen[w] > 0 for w in own), total, round(sum(math.log10((seen[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in own), 6))
+        for (i, _), own, o in zip(rows, words, out)
+    )
+    got = lm_score.score_documents(docs).collect()
+    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+    assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
+    assert lm_score.score_documents(docs.limit(0)).count() == 0
+
+
+def test_lm_order_of_words_counts_and_blocks_do_not(spark, monkeypatch):
+    draw = random.Random(2)
+    rows = [(i, " ".join(f"{'ab'[k % 2]}{draw.randrange(9)}{'.,'[k % 2]}" for k in range(40))) for i in range(200)]
+    rows += [(1000, " ".join(["a1.", "b2,"] * 20)), (1001, " ".join(["a1."] * 20 + ["b2,"] * 20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    score = {r["doc_id"]: r["score"] for r in lm_score.score_documents(docs).collect()}
+    assert score[1000] > score[1001] + 1
+    monkeypatch.setattr(lm_score, "BLOCK_WORDS", 7)
+    again = {r["doc_id"]: r["score"] for r in lm_score.score_documents(docs).collect()}
+    assert again == pytest.approx(score, rel=1e-4)
+
+
+def test_lm_costs_are_a_distribution():
+    alphabet, longest = [b"a", b"b", b"\x01"], 3
+    words = sorted(lm_score.spell(b"".join(w)) for n in range(1, longest + 1) for w in itertools.product(alphabet, repeat=n))
+    strings = [b"\x03" + w for w in words]
+    trained = np.array([i % 5 * 3 for i in range(len(strings))])
+    bits = 16
+    counts = lm_score.pack(*np.random.default_rng(1).integers(0, 40, (2, len(lm_score.ORDERS) << bits)))
+    model = lm_score.Model(counts, bits, lm_score.Mixer.fresh())
+    cost = model.cost(strings, trained, {})
+    # of all continuations of a first byte those seen here make a part only
+    for first in alphabet:
+        assert 0 < sum(10 ** c for c, s in zip(cost, strings) if s[1:2] == first) < 1
+    e = lm_score.expand(strings)
+    sofar = lm_score.beginnings(e, trained, {})
+    for j, at in enumerate(e.at):
+        own = strings[e.owner[at]]
+        before, value = own[: e.depth[j]], e.value[j]
+        for place in range(8):
+            same = [(s[e.depth[j]], n) for s, n in zip(strings, trained) if s.startswith(before) and s[e.depth[j]] >> (8 - place) == value >> (8 - place)]
+            assert [sum(n for v, n in same if (v >> (7 - place)) & 1 == bit) for bit in (0, 1)] == list(sofar[:, place, j])
+    keys = np.sort(np.random.default_rng(2).integers(0, 4 << (16 + 2), 5000))
+    table = lm_score.FirstBytes(keys, np.full(len(keys), 50), 2).table
+    assert np.allclose((10.0**table).sum(axis=1), 1, atol=1e-3)
 
 
 def test_near_vectors_equal_brute_force(spark):
