@@ -1,10 +1,12 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one for each shard.
 
-Every vector queries the graph of every shard.  A beam that comes back
-full of links is widened until its worst entry is no link any more, and a
-shard's least beam is doubled until an audit passes: probes made at exactly
-the threshold's distance from known vectors must find what brute force
-finds.  Links are verified by cosine in double precision.
+Every two shards meet once: the vectors of one query the graph of the other,
+the shards taking turns, and a shard's vectors query its own graph.  A beam
+that comes back full of links is widened until its worst entry is no link any
+more, and a shard's least beam is doubled until an audit passes: of probes
+made at exactly the threshold's distance from known vectors, each must find
+what brute force finds.  Links are verified by cosine in double precision and
+count for both ends.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ SHARD_ROWS = 500_000
 FIRST_BEAM = 16
 AUDIT_PROBES = 128
 AUDIT_RECALL = 0.98
+#: Stand-ins for null vec_ids begin here.
+NO_ID = 1 << 62
 #: Single precision may differ from double precision by so much.
 SLACK = 1e-4
 
@@ -165,11 +169,14 @@ class Shard:
         c = min(1.0, self.threshold + 1e-6)
         probes = c * base + np.sqrt(1 - c * c) * aside if d > 1 else base
         probes /= np.linalg.norm(probes, axis=1, keepdims=True)
-        true = (probes @ self.unit.T >= self.threshold).sum()
+        true = (probes @ self.unit.T >= self.threshold).sum(axis=1)
         beam = FIRST_BEAM
         while True:
-            found = sum(len(j) for _, j in self.links(probes, beam))
-            recall = found / true if true else 1.0
+            found = np.zeros(len(probes))
+            for i, _ in self.links(probes, beam):
+                found += np.bincount(i, minlength=len(probes))
+            # The mean over probes: a large cluster's probes count as one each.
+            recall = float((found[true > 0] / true[true > 0]).mean()) if true.any() else 1.0
             if recall >= AUDIT_RECALL or beam >= n:
                 return beam, recall
             beam *= 2
@@ -202,31 +209,40 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     vec_id reachable), kept.  Equal vectors are indexed once, linked with one
     another and counted as often as they occur.  A vector that is null,
     empty or zero or holds null or non-finite components links with nothing;
-    vectors of different lengths do not link.  Null vec_ids stay null and
-    form no component of others.  Further columns, labels too, are ignored.
-    A link counts for a vector if its own search finds it; components join
-    what either search finds.
+    vectors of different lengths do not link.  Rows of null vec_id count as
+    links of others, name no component and have a null component_id.  An
+    empty table gives an empty result.  Further columns, labels too, are
+    ignored.  Vec_ids are below 2 ** 62.
     """
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    held_as = "array<float>" if element == "float" else "array<double>"  # what the column holds, exactly
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"),
-        F.when(usable("embedding"), F.col("embedding").cast("array<double>")).alias("v"),
+        F.when(usable("embedding"), F.col("embedding").cast(held_as)).alias("v"),
     ).withColumn("key", F.md5(F.col("v").cast("string").cast("binary")))
     groups = cut(
         rows.filter("key is not null").groupBy("key").agg(
-            F.coalesce(F.min("vec_id"), F.lit(-(1 << 62)) + F.pmod(F.xxhash64("key"), F.lit(1 << 61))).alias("head"),
+            # A vector that only rows of null vec_id hold stands above all vec_ids, so it names no class of others.
+            F.coalesce(F.min("vec_id"), F.lit(NO_ID) + F.pmod(F.xxhash64("key"), F.lit(1 << 61))).alias("head"),
             F.count(F.lit(1)).alias("times"),
             F.any_value("v").alias("v"),
         )
     )
     shards = max(MIN_SHARDS, -(-groups.count() // SHARD_ROWS))
     base = groups.select(F.pmod(F.xxhash64("head"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "head", "times", "v")
-    asks = groups.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("asks"), "head", "times", "v")
+    # Shard a asks shard a itself and the half of the shards that follow it, so any two meet once.
+    home = F.pmod(F.xxhash64("head"), F.lit(shards)).cast("int")
+    ahead = F.filter(F.sequence(F.lit(0), F.lit(shards // 2)), lambda s: (2 * s < shards) | (home < shards // 2))
+    asks = (
+        groups.select(home.alias("home"), F.explode(ahead).alias("step"), "head", "times", "v")
+        .select(F.pmod(F.col("home") + F.col("step"), F.lit(shards)).cast("int").alias("shard"), F.when(F.col("step") == 0, 1).otherwise(2).alias("asks"), "head", "times", "v")
+    )
     dealt = base.unionByName(asks).repartitionById(shards, "shard").sortWithinPartitions("shard", "asks", "head")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, ready = None, [], {}
 
-        def answer(ids: np.ndarray, values: list, out: list) -> None:
+        def answer(ids: np.ndarray, times: np.ndarray, values: list, own_shard: bool, out: list) -> None:
             sizes = np.array([len(v) for v in values])
             for d in np.unique(sizes):
                 if int(d) not in ready:
@@ -237,14 +253,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
                 own = ids[at]
                 everyone, place = np.unique(np.concatenate([s.ids, own]), return_inverse=True)
                 labels = np.arange(len(everyone))
-                count = np.zeros(len(at), dtype=np.int64)
+                count = np.zeros(len(everyone), dtype=np.int64)
                 for i, j in s.links(x):
-                    other = s.ids[j] != own[i]
-                    i, j = i[other], j[other]
-                    np.add.at(count, i, s.weights[j])
+                    once = s.ids[j] > own[i] if own_shard else s.ids[j] != own[i]
+                    i, j = i[once], j[once]
+                    np.add.at(count, place[len(s.ids) + i], s.weights[j])
+                    np.add.at(count, place[j], times[at][i])
                     merge_labels(labels, place[len(s.ids) + i], place[j])
                 some = count > 0
-                out.append((own[some], own[some], count[some]))
+                out.append((everyone[some], everyone[some], count[some]))
                 linked = np.flatnonzero(labels != np.arange(len(labels)))
                 out.append((everyone[linked], everyone[labels[linked]], np.zeros(len(linked), dtype=np.int64)))
 
@@ -273,7 +290,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
                 else:
                     if held:
                         build()
-                    answer(ids[a:b].astype(np.int64), vectors_, out)
+                    answer(ids[a:b].astype(np.int64), times[a:b].astype(np.int64), vectors_, ask[a] == 1, out)
             columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "n"])
 
@@ -291,6 +308,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     return out.select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce(F.when(F.col("vec_id").isNotNull() , F.col("component_id")), F.col("vec_id")).alias("component_id"),
+        F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"),
         F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"),
     )
