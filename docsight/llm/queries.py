@@ -118,7 +118,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = cut(simhash.with_fingerprint(table(spark, sf_dir, "documents"), "doc_id", width=4))
     lowest = prints.groupBy("print").agg(F.min("doc_id").alias("low"))
     heads = cut(simhash.classes(lowest, budget=4).join(lowest, "print"))
-    named = cut(heads.join(heads.groupBy("head").agg(F.min("low").alias("component_id")), "head").select("print", "component_id"))
+    names = cut(heads.groupBy("head").agg(F.min("low").alias("component_id")))  # materialised, so that the join can split a hot class
+    named = cut(heads.join(names, "head").select("print", "component_id"))
     return prints.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -1,16 +1,18 @@
 """SimHash near-duplicates by a self-join of binary tries.
 
-Fingerprints within k differing bits agree on at least one of k + 1 blocks.
-For each block the fingerprints are rotated so that it leads, and those that
-agree on it form the subtrees of one trie.  A subtree is joined with itself:
-pairs of nodes go down together, differing bits add up, and a pair is pruned
-once they exceed k.  Subtrees too large for a task are split into tiles.
+Of m blocks, fingerprints within k differing bits agree on m - k at least.
+For each choice of m - k blocks the fingerprints are turned so that these
+lead, and those that agree on them form the subtrees of one trie.  A subtree
+is joined with itself: pairs of nodes go down together, differing bits add
+up, and a pair is pruned once they exceed k.  The more fingerprints there
+are, the more blocks are taken, so that subtrees stay small; those too large
+for a task are split into tiles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -97,32 +99,50 @@ def trie_pairs(codes: np.ndarray, shared: int, budget: int) -> Iterator[tuple[np
         stack.append((depth + 1, *(x[live] for x in grown)))
 
 
-def blocks(budget: int) -> list[tuple[int, int]]:
-    """(offset, width) of the ``budget`` + 1 blocks of a fingerprint."""
-    edges = [BITS * i // (budget + 1) for i in range(budget + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+Arm = list[tuple[int, int]]  # (offset, width) of a fingerprint's blocks, in a new order
 
 
-def _rotate(codes: np.ndarray, by: int) -> np.ndarray:
-    return codes if by % BITS == 0 else (codes << np.uint64(by)) | (codes >> np.uint64(BITS - by))
+def arms(budget: int, leading: int = 1) -> list[Arm]:
+    """For each choice of ``leading`` of ``budget`` + ``leading`` blocks, the blocks in order, the chosen ones first."""
+    n = budget + leading
+    edges = [BITS * i // n for i in range(n + 1)]
+    parts = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [[parts[i] for i in first] + [p for i, p in enumerate(parts) if i not in first] for first in combinations(range(n), leading)]
 
 
-def near_links(prints: DataFrame, budget: int = 4) -> DataFrame:
+def _turned(codes: np.ndarray, arm: Arm, back: bool = False) -> np.ndarray:
+    """The codes with their blocks in the arm's order, or put back from it."""
+    out, at = np.zeros(len(codes), dtype=np.uint64), 0
+    for offset, width in arm:
+        a, b = (at, offset) if back else (offset, at)
+        mask = np.uint64((1 << width) - 1)
+        out |= ((codes >> np.uint64(BITS - a - width)) & mask) << np.uint64(BITS - b - width)
+        at += width
+    return out
+
+
+def near_links(prints: DataFrame, budget: int = 4, leading: int | None = None) -> DataFrame:
     """Links (a, b) that connect all fingerprints within ``budget`` differing bits.
 
-    ``prints`` has one row for each distinct fingerprint (``print`` long).
-    Of the pairs found in a task only a spanning forest is kept, which has
-    the same components; no group is written out pair by pair.
+    ``prints`` has one row for each distinct fingerprint (``print`` long); a
+    null one links with nothing, an empty table gives no links.  ``leading``
+    blocks of an arm are equal in a subtree; as many as keep an average
+    subtree within a tile are taken if none are named, and the links are the
+    same for any.  Of the pairs found in a task only a spanning forest is
+    kept, which has the same components; no group is written out pair by pair.
     """
-    parts = blocks(budget)
-    arms = [
-        F.struct(
-            F.lit(i).alias("arm"),
-            F.shiftrightunsigned(F.shiftleft("print", offset), BITS - width).alias("block"),
-        )
-        for i, (offset, width) in enumerate(parts)
-    ]
-    dealt = prints.select("print", F.explode(F.array(*arms)).alias("k")).select("print", "k.arm", "k.block")
+    prints = prints.filter("print is not null")
+    if leading is None:
+        n = prints.count()
+        leading = next((k for k in (1, 2, 3) if n >> (BITS * k // (budget + k)) <= TILE), 4)
+    parts = arms(budget, leading)
+    blocks = []
+    for i, arm in enumerate(parts):
+        block = F.lit(0).cast("long")
+        for offset, width in arm[:leading]:
+            block = F.shiftleft(block, width).bitwiseOR(F.shiftrightunsigned(F.shiftleft("print", offset), BITS - width))
+        blocks.append(F.struct(F.lit(i).alias("arm"), block.alias("block")))
+    dealt = prints.select("print", F.explode(F.array(*blocks)).alias("k")).select("print", "k.arm", "k.block")
     large = (
         dealt.groupBy("arm", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE)
         .select("arm", "block", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
@@ -143,13 +163,13 @@ def near_links(prints: DataFrame, budget: int = 4) -> DataFrame:
             tile = (arms_.astype(np.int64) << 48) ^ (t1.astype(np.int64) << 24) ^ t2
             for one in np.unique(tile):  # rows of several blocks, of one arm and tile number, are one trie
                 here = tile == one
-                offset, width = parts[int(arms_[here][0])]
-                turned = np.sort(_rotate(codes[here], offset))
+                arm = parts[int(arms_[here][0])]
+                turned = np.sort(_turned(codes[here], arm))
                 labels = np.arange(len(turned))
-                for i, j in trie_pairs(turned, width, budget):
+                for i, j in trie_pairs(turned, sum(w for _, w in arm[:leading]), budget):
                     merge_labels(labels, i, j)
                 linked = np.flatnonzero(labels != np.arange(len(labels)))
-                back = _rotate(turned, BITS - offset)
+                back = _turned(turned, arm, back=True)
                 out.append((back[labels[linked]].view(np.int64), back[linked].view(np.int64)))
             a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -172,7 +192,12 @@ def near_links(prints: DataFrame, budget: int = 4) -> DataFrame:
 
 
 def with_fingerprint(docs: DataFrame, *keep, width: int = 4) -> DataFrame:
-    """The columns ``keep`` and ``print``, the fingerprint as a long."""
+    """The columns ``keep`` and ``print``, the fingerprint as a long.
+
+    One row for each row of ``docs``, repeated or not.  Null and empty texts
+    have fingerprint 0; very long texts are hashed block by block, whole.
+    Names in ``keep`` may be any; further columns are ignored.
+    """
     names = [c if isinstance(c, str) else f"_{i}" for i, c in enumerate(keep)]
     narrow = docs.select(*keep, F.col("text").cast("binary").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]) + ", print long"
@@ -187,7 +212,11 @@ def with_fingerprint(docs: DataFrame, *keep, width: int = 4) -> DataFrame:
 
 
 def classes(prints: DataFrame, budget: int = 4) -> DataFrame:
-    """(print, head): each distinct fingerprint and the head fingerprint of its class."""
+    """(print, head): each distinct fingerprint and the head fingerprint of its class.
+
+    Rows of equal fingerprints count once; further columns are ignored; an
+    empty table gives an empty result.
+    """
     distinct = prints.select("print").distinct()
     found = connected_components(near_links(distinct, budget))
     return distinct.join(found.withColumnRenamed("node", "print"), "print", "left").select(
