@@ -5,10 +5,13 @@ documents whose hash lies below a threshold: words are summed by source and
 hash bucket, the bucket in which the budget ends is split again, and so on
 until the threshold falls between two hashes.  Nothing is sorted by hash
 and thresholds of smaller budgets are nested in those of larger ones.
+Sources, targets and thresholds are tables; there may be any number.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,27 +19,48 @@ from .common import cut
 
 HASH_BITS = 63
 LEVEL_BITS = 12
-#: The mixture has one driver-side entry for each source.
-MAX_SOURCES = 100_000
+#: With no more sources than this the table of sources is broadcast; with more it is joined, and the result is the same.
+BROADCAST_SOURCES = 100_000
+#: Equal rows are told apart in runs of this many.
+RUN = 1 << 16
 
 
-def fill(sizes: dict, weights: dict, ceiling: float) -> dict:
-    """Share the sum of sizes by weight, no source above ``ceiling`` times its size.
+def targets(sources: DataFrame, weights=(1, 2, 3), ceiling: int = 3) -> DataFrame:
+    """``sources`` (source, size), one row each, with target: the sum of sizes shared by weight, each at most ``ceiling`` times its size.
 
-    The excess of capped sources is shared again by weight among the others.
+    Sources in code point order, null last, weigh ``weights`` in turn.  The
+    excess of capped sources is shared again by weight among the others, until
+    none is above its ceiling: each round is one sum over the table.
     """
-    left, open_ = float(sum(sizes.values())), set(sizes)
-    out = {}
-    while open_:
-        weight = sum(weights[s] for s in open_)
-        over = [s for s in open_ if left * weights[s] / weight > ceiling * sizes[s]]
-        if not over:
-            return out | {s: left * weights[s] / weight for s in open_}
-        for s in over:
-            out[s] = float(ceiling * sizes[s])
-            open_.discard(s)
-        left = max(0.0, float(sum(sizes.values())) - sum(out.values()))
-    return out
+    order = F.col("source").asc_nulls_last()
+    placed = cut(sources.repartitionByRange(order).sortWithinPartitions(order).select("source", "size", F.monotonically_increasing_id().alias("__id")))
+    part = F.shiftright("__id", 33)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    rank = F.col("__offset") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
+    weighed = cut(placed.join(F.broadcast(offsets), part == F.col("__part")).select("source", "size", weight.cast("long").alias("__weight")))
+    total = weighed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    share = known = None
+    while True:
+        capped = F.lit(False) if share is None else F.lit(share) * F.col("__weight") > F.lit(ceiling) * F.col("size")
+        now = weighed.agg(
+            F.count_if(capped), F.coalesce(F.sum(F.when(capped, F.col("size"))), F.lit(0)), F.coalesce(F.sum(F.when(~capped, F.col("__weight"))), F.lit(0))
+        ).first()
+        if share is not None and now[0] == known:
+            break
+        known = now[0]
+        share = max(0.0, float(total) - ceiling * float(now[1])) / now[2] if now[2] else float("inf")
+    level = F.lit(share) * F.col("__weight")
+    return weighed.select("source", "size", F.when(level > ceiling * F.col("size"), (ceiling * F.col("size")).cast("double")).otherwise(level).alias("target"))
+
+
+def _with_source(rows: DataFrame, table: DataFrame, small: bool, *more) -> DataFrame:
+    """``rows`` joined with a table of one row for each source ``__s``."""
+    on = F.col("__source").eqNullSafe(F.col("__s"))
+    for condition in more:
+        on = on & condition
+    return rows.join(F.broadcast(table) if small else table, on)
 
 
 def _boundary(rows: DataFrame, shift: int) -> DataFrame:
@@ -51,7 +75,7 @@ def _boundary(rows: DataFrame, shift: int) -> DataFrame:
         (F.col("__upto") < F.col("__budget")).asc(), F.when(F.col("__upto") >= F.col("__budget"), F.col("__bucket")).asc_nulls_last(), F.col("__bucket").desc()
     )))
     return last.filter("__rank = 1").select(
-        "__source", "__bucket", "__words", "__low", "__high", (F.col("__upto") - F.col("__words")).alias("__before")
+        F.col("__source").alias("__s"), "__bucket", "__words", "__low", "__high", (F.col("__budget") - F.col("__upto") + F.col("__words")).alias("__rest")
     )
 
 
@@ -66,56 +90,45 @@ def mix(
 ) -> DataFrame:
     """Decide how much of every row the mixture takes.
 
-    Sources, ordered by code point with null last, weigh ``weights`` in
-    turn; their targets share the sum of all sizes, each at most ``ceiling``
-    times the source's size.  A document is taken ``copies`` times: the whole
-    part of target / size, plus once more below the source's threshold, which
-    lies where the sum comes nearest to the target.  Rows of equal hash (equal
-    in all of ``hash_columns``, else ``id_columns``) are taken together.  Sources of size 0 take
-    nothing.  Returns ``id_columns`` plus size, source, source_size, target,
-    copies and taken; an empty table gives an empty result.
+    Targets are as in :func:`targets`.  A document is taken ``copies`` times:
+    the whole part of target / size, plus once more below the source's
+    threshold, which lies where the sum comes nearest to the target.  Rows of
+    equal hash (equal in all of ``hash_columns``, else ``id_columns``) are
+    taken together.  Null sizes count as 0 and take nothing, nor do sources of
+    size 0.  Returns ``id_columns`` plus size, source, source_size, target,
+    copies and taken; an empty table gives an empty result, and further
+    columns are ignored.
     """
-    spark = docs.sparkSession
     keyed = cut(
         docs.select(
             *[F.col(c).alias(f"__id{i}") for i, c in enumerate(id_columns)],
             F.col(source_column).alias("__source"),
-            F.col(size_column).cast("long").alias("__size"),
+            F.coalesce(F.col(size_column).cast("long"), F.lit(0)).alias("__size"),
             F.shiftrightunsigned(F.xxhash64(*(hash_columns or id_columns)), 1).alias("__hash"),
         )
     )
-    sums = keyed.groupBy("__source").agg(F.sum("__size").alias("s")).limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {r["__source"]: r["s"] or 0 for r in sums}
-    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    target = fill(sizes, {s: weights[i % len(weights)] for i, s in enumerate(order)}, ceiling)
-    whole = {s: int(target[s] // sizes[s]) if sizes[s] else 0 for s in order}
-    budget = {s: target[s] - whole[s] * sizes[s] for s in order}
-    threshold = {s: 0 for s in order}
-
-    # source, lowest and highest hash of the bucket still to be split, budget left in it
-    open_ = [(s, 0, (1 << HASH_BITS) - 1, budget[s]) for s in order if budget[s] > 0 and sizes[s]]
-    shift = HASH_BITS
-    while open_:
+    shared = targets(keyed.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("size")), weights, ceiling)
+    whole = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("long")
+    plan = cut(shared.select(F.col("source").alias("__s"), F.col("size").alias("source_size"), "target", whole.alias("__whole")))
+    small = plan.count() <= BROADCAST_SOURCES
+    # Source, lowest and highest hash of the bucket still to be split, budget left in it.
+    open_ = plan.select("__s", F.lit(0).cast("long").alias("__from"), F.lit((1 << HASH_BITS) - 1).alias("__to"), (F.col("target") - F.col("__whole") * F.col("source_size")).alias("__budget"))
+    open_ = open_.filter("__budget > 0")
+    cuts, shift = [], HASH_BITS
+    while shift and not open_.isEmpty():
         shift = max(0, shift - LEVEL_BITS)
-        bounds = spark.createDataFrame(open_, "__s string, __from long, __to long, __budget double")
-        rows = keyed.join(
-            F.broadcast(bounds),
-            F.col("__source").eqNullSafe(F.col("__s")) & F.col("__hash").between(F.col("__from"), F.col("__to")),
-        )
-        left = {s: b for s, _, _, b in open_}
-        open_ = []
-        for r in _boundary(rows, shift).collect():
-            s, rest = r["__source"], left[r["__source"]] - r["__before"]
-            if r["__low"] == r["__high"]:
-                threshold[s] = r["__high"] + 1 if 2 * rest >= r["__words"] else r["__low"]
-            else:
-                open_.append((s, r["__bucket"] << shift, (r["__bucket"] << shift) + (1 << shift) - 1, rest))
-    plan = [(s, sizes[s], float(target[s]), whole[s], threshold[s]) for s in order]
-    plan = spark.createDataFrame(plan, "__s string, source_size long, target double, __whole long, __cut long")
+        level = cut(_boundary(_with_source(keyed, open_, small, F.col("__hash").between(F.col("__from"), F.col("__to"))), shift))
+        found = F.when(2 * F.col("__rest") >= F.col("__words"), F.col("__high") + 1).otherwise(F.col("__low"))
+        cuts.append(level.filter("__low = __high").select("__s", found.alias("__cut")))
+        first = F.shiftleft("__bucket", shift)
+        open_ = level.filter("__low < __high").select("__s", first.alias("__from"), (first + F.lit((1 << shift) - 1)).alias("__to"), F.col("__rest").alias("__budget"))
+    if cuts:
+        at = reduce(DataFrame.unionByName, cuts)
+        plan = plan.alias("p").join(at.alias("c"), F.col("p.__s").eqNullSafe(F.col("c.__s")), "left").select("p.*", F.coalesce("__cut", F.lit(0)).alias("__cut"))
+    else:
+        plan = plan.withColumn("__cut", F.lit(0))
     copies = F.col("__whole") + (F.col("__hash") < F.col("__cut")).cast("long")
-    return keyed.join(F.broadcast(plan), F.col("__source").eqNullSafe(F.col("__s"))).select(
+    return _with_source(keyed, cut(plan), small).select(
         *[F.col(f"__id{i}").alias(c) for i, c in enumerate(id_columns)],
         F.col("__size").alias("size"),
         F.col("__source").alias("source"),
@@ -132,11 +145,16 @@ def word_count(column: str):
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mixture of ``documents``; null texts have size 0, a null source is a source.
+    """The mixture of ``documents``: one row for each row.
 
-    Rows of equal doc_id and text count as one unit, taken or left together.
+    Null and empty texts have size 0 and take nothing; a null source is a
+    source; a very long text weighs as its words.  Rows equal in doc_id, text
+    and source are numbered and each decided on its own, so a much repeated
+    row does not move as one lump.  Further columns are ignored.
     """
-    sized = docs.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), "source", word_count("text").alias("size")
-    )
-    return mix(sized, "size", "source", ["doc_id", "text_hash"])
+    same = ["doc_id", "text_hash", "source", "size"]
+    sized = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", word_count("text").alias("size"))
+    times = sized.groupBy(*same).agg(F.count(F.lit(1)).alias("times"))
+    runs = times.withColumn("run", F.explode(F.expr(f"sequence(0L, (times - 1) div {RUN})")))
+    each = runs.select(*same, F.explode(F.expr(f"sequence(run * {RUN}, least(times, (run + 1) * {RUN}) - 1)")).alias("copy"))
+    return mix(each, "size", "source", ["doc_id", "text_hash", "copy"])
