@@ -43,17 +43,31 @@ def unescape(text: str) -> str:
 
 
 class Flattener:
-    """Visits the parts of a conversation in order; keeps references and token counts of attachments."""
+    """Visits the parts of a conversation in order; keeps references and token counts of attachments.
+
+    Neighbouring texts are escaped as one, so no control string can arise where they meet.
+    """
 
     def __init__(self) -> None:
         self.attachments: list[dict] = []
+        self.run: list[str] = []
+
+    def flatten(self, parts: list[dict]) -> str:
+        out = [x for part in parts for x in (self.visit(part),) if x]
+        return "".join([*out, self.close()])
+
+    def close(self) -> str:
+        """The texts since the last attachment, escaped."""
+        text, self.run = escape("".join(self.run)), []
+        return text
 
     def visit(self, part: dict) -> str:
         kind = part.get("type") or "text"
         return getattr(self, f"visit_{kind}", self.visit_unknown)(part)
 
     def visit_text(self, part: dict) -> str:
-        return escape(part.get("text") or "")
+        self.run.append(part.get("text") or "")
+        return ""
 
     def visit_image(self, part: dict) -> str:
         across, down = (math.ceil(max(part.get(k) or 1, 1) / PATCH) for k in ("width", "height"))
@@ -70,7 +84,7 @@ class Flattener:
 
     def _attach(self, kind: str, part: dict, tokens: int) -> str:
         self.attachments.append({"index": len(self.attachments), "type": kind, "uri": part.get("uri"), "tokens": tokens})
-        return f"<|{kind}:{len(self.attachments) - 1}|>"
+        return f"{self.close()}<|{kind}:{len(self.attachments) - 1}|>"
 
 
 def open_turn(role: str | None) -> tuple[str, str]:
@@ -93,7 +107,7 @@ def render(turns: list[tuple[str | None, list[dict]]]) -> dict:
     flat, out, spans, at = Flattener(), [START], [], len(START)
     for role, parts in turns:
         before, after = open_turn(role)
-        body = "".join(flat.visit(p) for p in parts or [])
+        body = flat.flatten(parts or [])
         if role == "assistant":
             spans.append({"start": at + len(before), "end": at + len(before) + len(body)})
         out += [before, body, after]
@@ -146,8 +160,9 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     ``PARTS``) or ``text``.  Turns go by turn number, null first, then by role
     and content; repeated rows are turns of their own.  Null texts and part
     lists are empty, unknown and null roles are kept, rows of null conv_id
-    form one conversation, and further columns are ignored.  Rows stream
-    through in order, so a task holds one conversation at a time.
+    form one conversation, an empty table gives an empty result, and further
+    columns, whatever their names, are ignored.  Rows stream through in order,
+    so a task holds one conversation, its very long texts too, at a time.
     """
     if "parts" in turns.columns:
         parts = F.col("parts").cast(PARTS)
