@@ -56,7 +56,8 @@ def _text(data: bytes | None) -> str:
 
 
 def has_letter(text: str) -> bool:
-    return _LETTER.search(text) is not None
+    """Numerals that are no digits, such as Roman or raised ones, are no letters."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -150,16 +151,17 @@ def document_frequency(rows: DataFrame, text: str = "text") -> tuple[np.ndarray,
 
 
 def _sample(rows: DataFrame, languages: dict[str, int]) -> list:
-    """Log counts of a bounded number of rows: an equal quota of each language, by hash of doc_id.
+    """Log counts of a bounded number of rows: an equal quota of each language, by hash of doc_id and text.
 
     Features and logarithms take two bytes each, so the driver holds some tens of MB.
     """
     quota = max(20, SAMPLE_ROWS // max(1, len(languages)))
     space = 1 << 30
+    share = {lang: space if n <= quota else max(1, space * quota // n) for lang, n in languages.items()}
+    hashed = F.xxhash64("doc_id", "text")
     keep = F.lit(False)
-    for lang, n in languages.items():
-        share = space if n <= quota else max(1, space * quota // n)
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(space)) < share))
+    for lang, part in share.items():
+        keep = keep | ((F.col("lang") == lang) & (F.pmod(hashed, F.lit(space)) < part))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,8 +174,9 @@ def _sample(rows: DataFrame, languages: dict[str, int]) -> list:
             kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    narrow = rows.filter(keep).select(F.xxhash64("doc_id", F.lit(7)).alias("order"), "lang", F.col("text").cast("binary").alias("b"))
-    got = narrow.mapInArrow(run, "order long, lang string, f binary, n binary").limit(4 * SAMPLE_ROWS).toArrow()
+    narrow = rows.filter(keep).select(F.xxhash64("doc_id", "text", F.lit(7)).alias("order"), "lang", F.col("text").cast("binary").alias("b"))
+    # Ties are rows of equal text: whichever the bound leaves out, those kept are the same.
+    got = narrow.mapInArrow(run, "order long, lang string, f binary, n binary").orderBy("order", "lang").limit(2 * SAMPLE_ROWS).toArrow()
     return sorted(got.to_pylist(), key=lambda r: (r["order"], r["lang"], r["f"]))
 
 
@@ -182,6 +185,8 @@ def train(docs: DataFrame, training: Column, epochs: int = 2) -> Model:
 
     Four fifths of the sample fit the weights, one fifth the temperature.
     Without usable rows the model knows no language and answers ``und``.
+    More than ``MAX_LANGUAGES`` languages raise an error: weights take half a
+    megabyte each on the driver, and none is dropped in silence.
     """
     rows = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
     languages = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
@@ -214,9 +219,10 @@ def train(docs: DataFrame, training: Column, epochs: int = 2) -> Model:
 def predict_documents(docs: DataFrame) -> DataFrame:
     """Language of every row's whole text; rows with crc32(doc_id) mod 3 = 1 are held out from training.
 
-    A text that is null or has no letter gets ``und`` and score 0.  Rows of
-    null doc_id count as training rows.  One row for each row of ``docs``;
-    further columns are ignored.
+    A text that is null or has no letter gets ``und`` and score 0.  Very long
+    texts are counted block by block, whole.  Rows of null doc_id count as
+    training rows.  One row for each row of ``docs``, repeated or not; an
+    empty table gives an empty result; further columns are ignored.
     """
     model = train(docs, ~held_out("doc_id", 3, 1))
 
@@ -233,7 +239,10 @@ def predict_documents(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Rows of ``docs``, unchanged, whose language is recognised with probability ``least`` or more."""
+    """Rows of ``docs``, unchanged, whose language is recognised with probability ``least`` or more.
+
+    Null texts and texts without letters have no language and go; further columns pass through.
+    """
     model = train(docs, ~held_out("doc_id", 3, 1))
     at = docs.columns.index("text")
 
