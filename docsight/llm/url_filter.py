@@ -62,10 +62,13 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     key on a day, which bounds a hot host's share of the join by the number
     of days.  ``lists`` and ``matched`` are sorted; uncovered captures have
     empty ones.  Null or unparsable URLs and null days are covered by
-    nothing.  Further columns are ignored.
+    nothing, a very long URL has a key for each of its labels and segments,
+    an empty table gives an empty result, and further columns, whatever their
+    names, are ignored.
     """
-    asked = captures.select("url", F.col("day").cast("date").alias("day")).distinct()
-    wanted = asked.select("url", "day", F.explode(keys(F.col("url"))).alias("key"))
+    dated = captures.select("url", F.col("day").cast("date").alias("day"))
+    asked = dated.distinct()
+    wanted = dated.select("url", "day", F.explode(keys(F.col("url"))).alias("key")).distinct()  # keys are made where the captures are read
     active = (
         wanted.select("key", "day")
         .distinct()
