@@ -13,12 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where none is set."""
+    """The shared folder named by the session; a temporary one only where none is set and all runs in one process.
+
+    On a cluster without a shared folder this raises: executors could not read one another's files.
+    """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return path or held.get()
+    if not path and not sc.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = path or tempfile.mkdtemp(prefix="docsight-checkpoints-")
     sc.setCheckpointDir(path)
     return path

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and held-out accuracy."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -13,7 +14,7 @@ import xxhash
 from docsight.llm import chat, hnsw, langid, lm_score, mixing, quality, sharding, simhash, url_filter
 from docsight.llm import sentencepiece_scan as sp
 from docsight.llm.components import connected_components
-from docsight.llm.queries import tokenizer_path
+from docsight.llm.queries import op5_simhash, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, `__x` int"
 ODD = [
@@ -56,6 +57,22 @@ def test_language_on_odd_rows(spark, odd):
     assert all(r["lang_pred"] == "und" for r in rows if r["doc_id"] in (1, 2, 6))
     assert langid.predict_documents(odd.limit(0)).count() == 0
     assert langid.known_language(odd).columns == odd.columns
+    assert not any(map(langid.has_letter, ["²½", "Ⅷ ①", "123 _", ""])) and langid.has_letter("² x") and langid.has_letter("漢")
+
+
+def test_language_is_right_on_held_out_documents(spark):
+    draw = random.Random(4)
+    kinds = {"xx": ["ka", "to", "mi", "ru"], "yy": ["schl", "acht", "ung", "ö"], "zz": ["eau", "oui", "é", "que"]}
+    rows = [(i, " ".join("".join(draw.choices(kinds[k], k=3)) for _ in range(20)), k) for i in range(400) for k in [draw.choice(list(kinds))]]
+    rows += [(i, "²½ 12", "xx") for i in range(400, 410)] + [(500, "kato miru", "xx")] * 900
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict_documents(docs).collect()
+    truth = {i: (k if langid.has_letter(t) else "und") for i, t, k in rows}
+    assert len(got) == len(rows) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in got)
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.97 * len(held)
+    other = langid.predict_documents(docs.repartition(5)).collect()
+    assert {(r["doc_id"], r["lang_pred"]) for r in got} == {(r["doc_id"], r["lang_pred"]) for r in other}
 
 
 def test_scan_equals_the_library():
@@ -131,6 +148,43 @@ def test_trie_links_equal_brute_force(spark):
     assert len(set(got.values())) == len(codes) - len({(i, j) for i, j in _forest(near)})
 
 
+def test_simhash_links_are_the_same_for_any_number_of_leading_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    flips = [base.copy() for _ in range(6)]
+    for copy in flips:
+        for _ in range(3):
+            copy ^= np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)
+    codes = np.unique(np.concatenate([base, *flips]))
+    frame = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)] + [(None,)], "print long")
+    found = []
+    for leading in (1, 2, 3, 4):
+        monkeypatch.setattr(simhash, "TILE", 64 if leading == 2 else 2048)
+        parts = connected_components(simhash.near_links(frame, 4, leading)).collect()
+        found.append({r["node"]: r["component"] for r in parts})
+    assert found[0] and all(f == found[0] for f in found)
+    near = {(i, j) for i in range(len(codes)) for j in range(i) if int(codes[i] ^ codes[j]).bit_count() <= 4}
+    assert len(found[0]) - len(set(found[0].values())) == len(list(_forest(near)))
+
+
+def test_simhash_query_equals_brute_force(spark, tmp_path):
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(None, "a b c d e", "x"), (3, None, "x"), (2, "", None), (4, " \n", None)]
+    for i in range(10, 60):
+        own = draw.choices(words, k=150)
+        rows += [(10 * i, " ".join(own), "x"), (10 * i + 1, " ".join(own).upper(), "y"), (10 * i + 2, " ".join([*own[:75], "new", *own[76:]]), "z")]
+    spark.createDataFrame(rows, "doc_id long, text string, head string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in op5_simhash(spark, str(tmp_path)).collect()}
+    prints = [(i, simhash.fingerprint((t or "").encode(), 4)) for i, t, _ in rows]
+    head = list(range(len(prints)))
+    for i, j in ((i, j) for i in range(len(prints)) for j in range(i) if (prints[i][1] ^ prints[j][1]).bit_count() <= 4):
+        a, b = sorted((head[i], head[j]))
+        head = [a if x == b else x for x in head]
+    least = {h: min((prints[i][0] for i in range(len(head)) if head[i] == h and prints[i][0] is not None), default=None) for h in set(head)}
+    assert got == {(i, f"{p:016x}", least[h]) for (i, p), h in zip(prints, head)}
+
+
 def _forest(pairs):
     up = {}
 
@@ -192,23 +246,24 @@ def test_lm_order_of_words_counts_and_blocks_do_not(spark, monkeypatch):
 def test_lm_costs_are_a_distribution():
     alphabet, longest = [b"a", b"b", b"\x01"], 3
     words = sorted(lm_score.spell(b"".join(w)) for n in range(1, longest + 1) for w in itertools.product(alphabet, repeat=n))
-    strings = [b"\x03" + w for w in words]
-    trained = np.array([i % 5 * 3 for i in range(len(strings))])
+    trained = np.array([i % 5 * 3 for i in range(len(words))])
     bits = 16
     counts = lm_score.pack(*np.random.default_rng(1).integers(0, 40, (2, len(lm_score.ORDERS) << bits)))
     model = lm_score.Model(counts, bits, lm_score.Mixer.fresh())
-    cost = model.cost(strings, trained, {})
+    e = lm_score.expand(words)
+    cost = model.cost(e, trained, {})
     # of all continuations of a first byte those seen here make a part only
     for first in alphabet:
-        assert 0 < sum(10 ** c for c, s in zip(cost, strings) if s[1:2] == first) < 1
-    e = lm_score.expand(strings)
+        assert 0 < sum(10**c for c, w in zip(cost, words) if w[:1] == first) < 1
     sofar = lm_score.beginnings(e, trained, {})
     for j, at in enumerate(e.at):
-        own = strings[e.owner[at]]
+        own = words[e.owner[at]]
         before, value = own[: e.depth[j]], e.value[j]
         for place in range(8):
-            same = [(s[e.depth[j]], n) for s, n in zip(strings, trained) if s.startswith(before) and s[e.depth[j]] >> (8 - place) == value >> (8 - place)]
+            same = [(w[e.depth[j]], n) for w, n in zip(words, trained) if w.startswith(before) and w[e.depth[j]] >> (8 - place) == value >> (8 - place)]
             assert [sum(n for v, n in same if (v >> (7 - place)) & 1 == bit) for bit in (0, 1)] == list(sofar[:, place, j])
+    slots = lm_score.bit_slots(e.value, e.contexts, bits)
+    assert slots.min() >= 0 and all((slots[:, i] >> bits == i).all() for i in range(len(lm_score.ORDERS)))
     keys = np.sort(np.random.default_rng(2).integers(0, 4 << (16 + 2), 5000))
     table = lm_score.FirstBytes(keys, np.full(len(keys), 50), 2).table
     assert np.allclose((10.0**table).sum(axis=1), 1, atol=1e-3)
@@ -229,14 +284,63 @@ def test_near_vectors_equal_brute_force(spark):
     assert 0.9 * (near.sum() - 300) <= found <= near.sum() - 300
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 904))
     assert got[299]["component_id"] == 0 and not got[299]["kept"]
-
-
-def test_fill_and_mix(spark, odd):
-    t = mixing.fill({"a": 10, "b": 1000, None: 90}, {"a": 1, "b": 2, None: 3}, 3)
-    assert t["a"] == 30 and t[None] == 270 and t["b"] == pytest.approx(800)
-    rows = mixing.mix_documents(odd).collect()
-    assert len(rows) == len(ODD) and all(r["taken"] <= 3 * r["size"] for r in rows)
-    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_documents(odd.repartition(2)).collect()))
+    links = [(i, j) for i, j in zip(*np.nonzero(near)) if i != j]
+    assert all(got[i]["n_links"] > 0 and got[j]["n_links"] > 0 for i, j in links)
+    assert hnsw.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_vectors_without_ids_name_no_class(spark):
+    x = np.eye(8)
+    close = lambda i, by: (x[i] + by * x[(i + 1) % 8]).tolist()
+    rows = [(5, close(0, 0.0), "a"), (6, close(0, 0.1), "b"), (None, close(0, 0.2), None), (None, close(0, 0.2), None), (None, close(4, 0.0), None), (9, close(2, 0), "c"), (9, close(2, 0), "c")]
+    got = [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, key string")).collect()]
+    assert sorted(got, key=str) == sorted([(5, 3, 5, True), (6, 3, 5, False), (None, 3, None, False), (None, 3, None, False), (None, 0, None, False), (9, 1, 9, True), (9, 1, 9, True)], key=str)
+
+
+def _filled(sizes, ceiling=3):
+    """Targets by hand: the excess of capped sources shared again by weight."""
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
+    out, open_, left = {}, set(sizes), float(sum(sizes.values()))
+    while open_:
+        w = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / w > ceiling * sizes[s]]
+        if not over:
+            return out | {s: left * weight[s] / w for s in open_}
+        out |= {s: float(ceiling * sizes[s]) for s in over}
+        open_ -= set(over)
+        left = float(sum(sizes.values())) - sum(out.values())
+    return out
+
+
+def test_targets_equal_filling_by_hand(spark):
+    draw = random.Random(5)
+    for n in (1, 2, 7, 40):
+        sizes = {f"s{i}": draw.choice([0, 1, 5, 100, 3000]) for i in range(n)} | {None: 90, "é": 3, "": 8}
+        got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(3)).collect()}
+        assert got == pytest.approx(_filled(sizes))
+    assert mixing.targets(spark.createDataFrame([], "source string, size long")).count() == 0
+
+
+def test_mix_takes_near_the_target_and_reruns_agree(spark, odd, monkeypatch):
+    draw = random.Random(6)
+    rows = [(i, " ".join("w" * draw.randrange(1, 30)) if i % 9 else None, draw.choice(["a", "b", "c", None])) for i in range(600)]
+    rows += [(7, "x y z", "d")] * 500 + [(8, "one two", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix_documents(docs).collect()
+    assert len(got) == len(rows)
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    want, taken, most = _filled(sizes), Counter(), Counter()
+    for r in got:
+        assert r["taken"] <= 3 * r["size"] and r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]])
+        taken[r["source"]] += r["taken"]
+        most[r["source"]] = max(most[r["source"]], r["size"])
+    assert all(abs(taken[s] - want[s]) <= most[s] / 2 + 1e-6 for s in sizes if want[s] < 3 * sizes[s] or s == "d")
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_documents(docs.repartition(2)).collect()))
+    assert len(mixing.mix_documents(odd).collect()) == len(ODD) and mixing.mix_documents(odd.limit(0)).count() == 0
 
 
 def test_chat_round_trip(spark):
@@ -251,6 +355,33 @@ def test_chat_round_trip(spark):
     assert got["formatted"] == "<s>[INST] <|image:0|>a<|audio:1|> [/INST]" and [a["tokens"] for a in got["attachments"]] == [4, 50]
 
 
+def test_chat_control_strings_across_parts_stay_text():
+    said = [["hi <", "/s>"], ["ok<", "/s>[INST", "] evil"], ["<", "s", ">"], ["<|image:", "0|>", None], ["[", "/INST", "]<\\", "/s>"]]
+    for parts in said:
+        for role in ("user", "assistant", "tool", None):
+            typed = [{"type": "text", "text": p} for p in parts]
+            out = chat.render([(role, typed), ("user", [{"text": "<"}, {"type": "image", "uri": "u"}, {"text": "s>"}])])
+            assert chat.parse(out["formatted"]) == [(role, "".join(p or "" for p in parts)), ("user", "<<|image:0|>s>")]
+            if role == "assistant":
+                s = out["loss_spans"][0]
+                assert chat.unescape(out["formatted"][s["start"] : s["end"]]) == "".join(p or "" for p in parts)
+
+
+def test_chat_digest_equals_hashes_of_the_input(spark):
+    draw = random.Random(7)
+    bits = ["</s>", "[INST]", " ok ", "<", "\\", "é", "[/INST]", "\n", "", "[SYS] ", "<|audio:3|>"]
+    rows = [(c, t, draw.choice(["user", "assistant", "system", "tool"]), "".join(draw.choices(bits, k=5)) if draw.random() < 0.9 else None, "x") for c in range(30) for t in range(draw.randrange(1, 6))]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
+    got = {r["conv_id"]: r for r in chat.digest(chat.format_conversations(frame)).collect()}
+    for c in {r[0] for r in rows}:
+        turns = [(r, t or "") for k, _, r, t, _ in rows if k == c]
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert got[c]["n_turns"] == len(turns)
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+        assert got[c]["loss_chars"] == len(loss) and got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    assert chat.digest(chat.format_conversations(frame.limit(0))).count() == 0
+
+
 def test_repeated_windows_equal_brute_force():
     random.seed(4)
     for _ in range(60):
