@@ -13,8 +13,12 @@ what weight each state at its end is reached.  Matrices combine by
 and each chunk is then traced back on its own.
 
 No piece spans the place between another character and a following space
-mark if the model has no such piece.  There all states meet in one, and the
-spans between such places are encoded once each and remembered.
+mark if the model has no such piece.  There all states meet in one: the matrix
+of a span between two such places is one number, and for BPE that is 0, the
+weight of the one path that joins them.  So only the ends of a chunk are
+walked for its matrix; its spans are walked when it is traced back, once each,
+and remembered.  Texts of up to ``GIANT`` characters are encoded whole by the
+library, which gives the same ids.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +52,13 @@ class Pieces:
         self.pieces, self.bytes, self.unknown, self.bpe = pieces, bytes_, unknown, bpe
         self.longest = max(map(len, pieces), default=1)
         self.low = min((s for _, s in pieces.values()), default=0.0) - 10.0
+        #: Longest piece by its first two characters.
+        self.reach: dict[str, int] = {}
+        for p in pieces:
+            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
         self.cuts = not any(MARK in p.lstrip(MARK) for p in pieces)
         self.apart = lru_cache(maxsize=1 << 18)(self._apart)
+        self.whole = lru_cache(maxsize=1 << 16)(self._whole)
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -57,6 +67,9 @@ class Pieces:
         m = proto.ModelProto()
         with open(path, "rb") as f:
             m.ParseFromString(f.read())
+        n = m.normalizer_spec
+        if n.precompiled_charsmap or n.remove_extra_whitespaces or not n.add_dummy_prefix or not n.escape_whitespaces:
+            raise ValueError("a model that normalises texts is not supported: the scan reads characters as they stand")
         kinds = proto.ModelProto.SentencePiece
         plain = {p.piece: (i, p.score) for i, p in enumerate(m.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
         spelled = {int(p.piece[1:-1], 16): i for i, p in enumerate(m.pieces) if p.type == kinds.BYTE}
@@ -65,16 +78,23 @@ class Pieces:
 
     def merge(self, text: str) -> list[str]:
         """BPE of a short string: the best-scored pair first, the leftmost of equals."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                found = self.pieces.get(parts[i] + parts[i + 1])
-                if found and (best is None or found[1] > best):
-                    best, at = found[1], i
-            if best is None:
-                return parts
+        parts, pieces, none = list(text), self.pieces, (0, -float("inf"))
+        scores = [pieces.get(a + b, none)[1] for a, b in zip(parts, parts[1:])]
+        while scores:
+            best = max(scores)
+            if best == none[1]:
+                break
+            at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = pieces.get(parts[at - 1] + parts[at], none)[1]
+            if at < len(scores):
+                scores[at] = pieces.get(parts[at] + parts[at + 1], none)[1]
+        return parts
+
+    def _whole(self, piece: str) -> bool:
+        return self.merge(piece) == [piece]
 
     def _apart(self, left: str, right: str) -> bool:
         return self.merge(left + right) == [left, right]
@@ -83,9 +103,9 @@ class Pieces:
         """Of the edge for ``piece`` after ``before`` ('' at a place that no piece spans); None: no edge."""
         if not self.bpe:
             return self.pieces[piece][1] if piece in self.pieces else self.low
-        if len(piece) > 1 and not before and self.merge(piece) != [piece]:
-            return None
-        return 0.0 if not before or self.apart(before, piece) else None
+        if not before:
+            return 0.0 if len(piece) == 1 or self.whole(piece) else None
+        return 0.0 if self.apart(before, piece) else None
 
     def ids(self, piece: str) -> list[int]:
         found = self.pieces.get(piece)
@@ -163,6 +183,40 @@ def path(back: dict, state: State, entry: State, text: str) -> list[str]:
     return out[::-1]
 
 
+def lone_path(model: Pieces, text: str) -> list[str]:
+    """Pieces of the best path through a span that begins and ends where no piece reaches over.
+
+    For BPE one path alone weighs 0: it is searched for depth first, longer
+    pieces first, leaving out states that were found to lead nowhere.
+    """
+    n = len(text)
+    if not model.bpe:
+        reached, back = walk(model, text, [(0, "")], 0, n)
+        leave = max((x for x in reached if x[0] == n), key=lambda x: (reached[x][0, ""], x))
+        return path(back, leave, (0, ""), text)
+    pieces, reach, whole, apart, out, dead = model.pieces, model.reach, model.whole, model.apart, [], set()
+    tried = [min(n, reach.get(text[:2], 1))]  # for each place on the path the next end to try
+    at = 0
+    while at < n:
+        before, end = out[-1] if out else "", tried[-1]
+        while end > at:
+            piece = text[at:end]
+            if end == at + 1 or piece in pieces:
+                if (apart(before, piece) if before else end == 1 or whole(piece)) and not (dead and (end, piece) in dead):
+                    break
+            end -= 1
+        if end > at:
+            tried[-1] = end - 1
+            out.append(piece)
+            at = end
+            tried.append(min(n, at + reach.get(text[at : at + 2], 1)))
+        else:
+            tried.pop()
+            dead.add((at, out[-1]))
+            at -= len(out.pop())
+    return out
+
+
 Matrix = dict[tuple[State, State], float]
 
 
@@ -247,11 +301,21 @@ class Codec:
         self.model = Pieces.load(model_path)
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.known: dict[str, list[int]] = {}
+        self.paths: dict[str, list[int]] = {}
         self.names = {i: p.replace(MARK, " ") for p, (i, _) in self.model.pieces.items()}
         self.bytes = {i: b for b, i in enumerate(self.model.bytes or [])}
 
+    def walked(self, marked: str) -> list[int]:
+        """Ids of a span that starts with space marks, by the lattice."""
+        found = self.paths.get(marked)
+        if found is None:
+            if len(self.paths) > REMEMBERED:
+                self.paths.clear()
+            found = self.paths[marked] = [i for p in lone_path(self.model, marked) for i in self.model.ids(p)]
+        return found
+
     def span(self, marked: str) -> list[int]:
-        """Ids of a span that starts with space marks."""
+        """Ids of a span that starts with space marks, by the library."""
         key = marked[1:].replace(MARK, " ")
         found = self.known.get(key)
         if found is None:
@@ -355,7 +419,7 @@ def _giant_ids(giants: DataFrame, model_path: str) -> DataFrame:
             out = []
             for r in batch.to_pylist():
                 entry, leave = ((p - r["at"], u) for p, u in pickle.loads(r["states"]))
-                out.append(trace(own.model, r["part"], entry, leave, r["start"], stop_of(r["part"], r["last"]), own.span))
+                out.append(trace(own.model, r["part"], entry, leave, r["start"], stop_of(r["part"], r["last"]), own.walked))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["key", "i", "ids"])
 
     pieces = parts.join(solved, ["key", "i"]).mapInArrow(traced, "key string, i int, ids array<int>")
@@ -368,8 +432,9 @@ def encode(docs: DataFrame, model_path: str, keep: list[str], text: str = "text"
     round_trip says that the ids decode to the text; it fails only where the
     text holds U+2581 itself, which the model reads as a space.  Null texts
     have null ids, 0 tokens and a true round_trip; empty texts an empty
-    array.  Repeated giant texts are encoded once.  ``model_path`` must be
-    readable on every worker.  Columns other than ``keep`` are dropped.
+    array; an empty table gives an empty result.  Repeated giant texts are
+    encoded once.  ``model_path`` must be readable on every worker.  Columns
+    other than ``keep``, whatever their names, are dropped.
     """
     slots = [f"__k{i}" for i in range(len(keep))]
     narrow = docs.select(*[F.col(c).alias(s) for c, s in zip(keep, slots, strict=True)], F.col(text).alias("__text"))
@@ -381,7 +446,7 @@ def encode(docs: DataFrame, model_path: str, keep: list[str], text: str = "text"
     def checked(own: Codec, texts: list, encoded: list) -> list[pa.Array]:
         offsets = np.zeros(len(encoded) + 1, dtype=np.int32)
         offsets[1:] = np.cumsum([len(x) if x is not None else 0 for x in encoded])
-        flat = np.fromiter((i for x in encoded if x for i in x), dtype=np.int32, count=int(offsets[-1]))
+        flat = np.fromiter(chain.from_iterable(x for x in encoded if x), dtype=np.int32, count=int(offsets[-1]))
         missing = pa.array([x is None for x in encoded], pa.bool_())
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=missing)
         back = [x is None or own.decode(x) == t for t, x in zip(texts, encoded, strict=True)]

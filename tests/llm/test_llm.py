@@ -89,7 +89,7 @@ def test_scan_equals_the_library():
             states.append((at, part, a - at, b - at, {((e[0] + at, e[1]), (x[0] + at, x[1])): w for (e, x), w in m.items()}))
         found, ids = sp.solve([s[-1] for s in states], len(whole)), []
         for (e, x), (at, part, a, b, _) in zip(found, states, strict=True):
-            ids += sp.trace(own.model, part, (e[0] - at, e[1]), (x[0] - at, x[1]), a, b, own.span)
+            ids += sp.trace(own.model, part, (e[0] - at, e[1]), (x[0] - at, x[1]), a, b, own.walked)
         assert ids == own.library.encode(text) == own.encode(text)
         assert own.decode(ids) == text
 
