@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import calc, clock
+from .functions import forms as fm
 from .functions import text as tx
 from .operators import cite
 from .operators import compile as cp
@@ -22,6 +23,7 @@ from .operators import session as se
 from .plans import ask, load
 from .sources import files
 from .sources import tables as tb
+from .catalog_claims import pieces_sql
 from .registry import QUERIES, SQL
 from .registry import query as _query
 from .streaming import guards
@@ -82,9 +84,10 @@ def hybrid_rrf(t):
 @_query(f"""select query_id, label, round(max(c), 4) as best, count(*) as hits from (
   select q.vec_id as query_id, a.label, round({COS}, 4) as c from embeddings a, embeddings q where q.vec_id % 50 = 0) group by query_id, label having max(c) >= 0.3""")
 def gated_groups(t):
-    q, v = _vectors(t)
-    hits = rt.dense_scores(q, v).join(t("embeddings").select(F.col("vec_id").alias("id"), "label"), "id").withColumn("grp", F.struct("query_id", "label"))
-    return rt.gate(hits, "grp", "dense", 0.3).groupBy("query_id", "label").agg(F.max("dense").alias("best"), F.count(F.lit(1)).alias("hits"))
+    q, _ = _vectors(t)
+    hits = rt.dense_scores(q, t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label"))
+    best = hits.groupBy("query_id", "label").agg(F.max("dense").alias("best"), F.count(F.lit(1)).alias("hits"))
+    return best.filter("best >= 0.3")
 
 
 @_query("""select source, doc_id, tokens, cum from (
@@ -138,19 +141,19 @@ def paragraph_offsets(t):
     return ig.paragraphs(t("documents"), "doc_id", "text").select("doc_id", "pos", "start", "end")
 
 
-@_query("""with recursive p as (select doc_id, pos, sum(length(p) + 1) over (partition by doc_id order by pos) - length(p) - 1 as s,
-  sum(length(p) + 1) over (partition by doc_id order by pos) - 1 as e from (
-  select doc_id, unnest(string_split(text, chr(10))) as p, unnest(range(len(string_split(text, chr(10))))) as pos from documents)),
-r as (select doc_id, pos, s, e, 0 as seq, 1 as n from p where pos = 0
-  union all select p.doc_id, p.pos, case when p.e - r.s <= 800 then r.s else p.s end, p.e, case when p.e - r.s <= 800 then r.seq else r.seq + 1 end,
-    case when p.e - r.s <= 800 then r.n + 1 else 1 end from r join p on p.doc_id = r.doc_id and p.pos = r.pos + 1)
+@_query(f"""with recursive {pieces_sql(800)},
+unit as (select doc_id, off as s, off + length(p) as e, false as solo from para where length(p) <= 800 union all select doc_id, s, e, true from pieces),
+p as (select *, row_number() over (partition by doc_id order by s, e) as pos from unit),
+r as (select doc_id, pos, s, e, 0 as seq, 1 as n, solo from p where pos = 1
+  union all select p.doc_id, p.pos, case when p.e - r.s <= 800 and not p.solo and not r.solo then r.s else p.s end, p.e, case when p.e - r.s <= 800 and not p.solo and not r.solo then r.seq else r.seq + 1 end,
+    case when p.e - r.s <= 800 and not p.solo and not r.solo then r.n + 1 else 1 end, p.solo from r join p on p.doc_id = r.doc_id and p.pos = r.pos + 1)
 select doc_id, seq, min(s) as start, max(e) as "end", max(n) as n from r group by doc_id, seq""")
 def chunk_pack(t):
     return ig.pack(t("documents"), "doc_id", "text", 800)
 
 
 @_query("""select item_id, doc_id, instr(d.text, b.text) - 1 as start, instr(d.text, b.text) - 1 + length(b.text) as "end"
-  from benchmark b join documents d on contains(d.text, b.text) where len(regexp_split_to_array(b.text, '\\s+')) > 2""")
+  from benchmark b join documents d on contains(d.text, b.text) where b.text <> ''""")
 def quote_anchor(t):
     quotes = t("benchmark").select("item_id", F.col("text").alias("quote"))
     return ig.locate(quotes, t("documents").select("doc_id", "text"))
@@ -173,16 +176,22 @@ def html_heading(t):
     return t("pages").select("page_id", F.regexp_extract("html", "<h1[^>]*>([^<]*)</h1>", 1).alias("heading"), F.regexp_count("html", F.lit("<a href=")).cast("long").alias("links"))
 
 
-FORM = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^(the|a|an)\s+', ''),
-  '''s\b|''', '', 'g'), '[\-_\s]+', ' ', 'g'), '([b-df-hj-np-tv-z])ies$', '\1y'), '(s|x|z|ch|sh)es$', '\1'), '([^su])s$', '\1')"""
+_NAMED = "select unnest([p_name, 'The ' || p_name || 's', 'a ' || replace(p_name, ' ', '-'), p_type, p_brand || chr(39) || 's ' || p_type || 'es']) as name from part"
 
 
-@_query(f"""with w as (select unnest(string_split(lower(p_name), ' ')) as name from part),
-c as (select name, count(*) as n, {FORM.format("name")} as key from w group by name)
-select key, arg_min(name, row(-n, length(name), name)) as canonical, count(*) as variants, sum(n) as mentions from c group by key""")
+def _named(t):
+    """Part names as they stand and in other forms."""
+    p = F.col("p_name")
+    other = F.concat(F.lit("The "), p, F.lit("s")), F.concat(F.lit("a "), F.replace(p, F.lit(" "), F.lit("-"))), F.col("p_type"), F.concat("p_brand", F.lit("'s "), "p_type", F.lit("es"))
+    return t("part").select(F.explode(F.array(p, *other)).alias("name"))
+
+
+@_query(f"""with w as ({_NAMED}),
+c as (select name, count(*) as n, {fm.form_sql("name")} as key, {fm.plural_sql("name")} as plural from w group by name),
+r as (select *, row_number() over (partition by key order by -n, plural, length(name), length(name) - length(replace(name, chr(39), '')), length(replace(name, '-', '')) - length(name), name) as place from c)
+select key, max(case when place = 1 then name end) as canonical, count(*) as variants, sum(n) as mentions from r group by key""")
 def form_merge(t):
-    names = t("part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("name"))
-    return cp.merge_forms(names).select("key", "canonical", "variants", F.col("mentions").cast("decimal(38,0)").alias("mentions"))
+    return cp.merge_forms(_named(t)).select("key", "canonical", "variants", F.col("mentions").cast("decimal(38,0)").alias("mentions"))
 
 
 @_query("select alias, count(distinct p_brand) as owners from (select p_brand, unnest(string_split(p_name, ' ')) as alias from part) group by alias having count(distinct p_brand) > 1")
@@ -285,9 +294,13 @@ def red_line(t):
     return t("documents").join(t("labels").filter("toxic = 1"), "doc_id").select("lang", "doc_id", "quality")
 
 
-@_query()
+@_query(f"""with c as (select o_custkey as id, sum((1 + o_orderkey % 3) * (case o_orderstatus when 'F' then 1 else 0 end)) as v, sum(1 + o_orderkey % 3) as w from orders group by 1),
+d as (select b, v, w, cast('0x' || md5(id || ':' || b)[:8] as bigint) as u from c, (select unnest(range(200)) as b)),
+n as (select b, v, w, {' + '.join(f'cast(u >= {x} as integer)' for x in ev.POISSON)} as n from d), m as (select sum(n * v) / sum(n * w) as m from n group by b),
+s as (select list_sort(list(m)) as l from m) select round(l[6], 6) as low, round(l[196], 6) as high from s""")
 def bootstrap_ci(t):
-    return ev.bootstrap(t("labels"), "quality", "doc_id")
+    o = t("orders").select("o_custkey", (1 + F.col("o_orderkey") % 3).alias("weight"), (F.col("o_orderstatus") == "F").cast("int").alias("rate"))
+    return ev.bootstrap(o, "o_custkey", "weight", "rate", 200)
 
 
 @_query("""select user_id, count(*) filter (where event_type = 'click') as click, count(*) filter (where event_type = 'view') as view, count(*) filter (where event_type = 'purchase') as purchase,
@@ -622,7 +635,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     asked = t("benchmark").select(F.col("item_id").alias("query_id"), "text").join(_vectors(t)[0], "query_id")
     docs = t("documents").select(F.col("doc_id").alias("id"), "text")
-    return ask.context(asked, docs, _vectors(t)[1], k=10, cap=4000, excerpt=200)
+    return ask.context(asked, docs, _vectors(t)[1], k=10, cap=4000)
 
 
 from . import catalog_audit  # noqa: E402, F401  (registers its queries)

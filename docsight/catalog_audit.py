@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import forms as fm
 from .functions import naming as nm
 from .operators import graph as gr
 from .operators import judge as jd
@@ -15,10 +16,6 @@ from .operators import links as lk
 from .operators import retrieve as rt
 from .registry import query
 
-_FORM = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '^(the|a|an)\s+', ''),
-  '''s\b|''', '', 'g'), '[\-_\s]+', ' ', 'g'), '([b-df-hj-np-tv-z])ies$', '\1y'), '(s|x|z|ch|sh)es$', '\1'), '([^su])s$', '\1')"""
-
-
 @query("""with recursive e as (select o_orderpriority as role, o_orderkey as claim_idx, unnest([o_custkey * 3, o_custkey + 1400]) as chunk_id, unnest([0, 1]) as pos from orders),
 f as (select role, chunk_id, min(claim_idx * 2 + pos) as place from e group by 1, 2),
 k as (select role, chunk_id, place, p_size + 10 as size from f left join part on p_partkey = chunk_id),
@@ -33,10 +30,10 @@ def role_chunks(t):
 
 
 @query(f"""with n as (select unnest(string_split(p_name, ' ')) as name, p_partkey as id from part),
-x as (select name, min(id) as id from n group by name), f as (select {_FORM.format("name")} as k, min(id) as id from n group by 1),
+x as (select name, min(id) as id from n group by name), f as (select {fm.form_sql('name')} as k, min(id) as id from n group by 1),
 e as (select p_partkey, string_split(p_name, ' ')[1] as src, 'The ' || string_split(p_name, ' ')[2] || 's' as dst from part)
-select p_partkey, coalesce(a.id, af.id) as src_id, coalesce(b.id, bf.id) as dst_id from e left join x a on a.name = src left join f af on af.k = {_FORM.format("src")}
-  left join x b on b.name = dst left join f bf on bf.k = {_FORM.format("dst")}""")
+select p_partkey, coalesce(a.id, af.id) as src_id, coalesce(b.id, bf.id) as dst_id from e left join x a on a.name = src left join f af on af.k = {fm.form_sql('src')}
+  left join x b on b.name = dst left join f bf on bf.k = {fm.form_sql('dst')}""")
 def endpoint_remap(t):
     w = F.split("p_name", " ")
     names = t("part").select(F.explode(w).alias("name"), F.col("p_partkey").alias("id"))

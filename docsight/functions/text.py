@@ -2,21 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, also where it is used inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Words without content in mixed text.
+STOPWORDS = (
+    "的", "了", "和", "与", "是", "在", "上", "下", "中", "这", "那", "我们", "你们", "它们", "一个", "什么", "怎么",
+    "为什么", "如何", "吗", "呢", "吧", "啊",
+)
+_RUN = r"([a-z0-9](?:[a-z0-9]|[._-](?=[a-z0-9]))*)"
+_OTHER = r"([\p{L}\p{M}\p{N}&&[^a-z0-9]]+)"
+
+
 def ascii_tokens(text: Column) -> Column:
-    """Lower-case ASCII runs of two characters or more, inner dots, dashes and underscores included."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+(?:[._\-][a-z0-9]+)*)"), 1)
+    """Lower-case runs of ASCII letters and digits; single dots, dashes and underscores inside belong to a run."""
+    return F.regexp_extract_all(F.lower(text), F.lit(_RUN), 1)
 
 
 def long_tokens(text: Column) -> Column:
     return F.filter(ascii_tokens(text), lambda t: F.length(t) >= 2)
 
 
-def unicode_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
+def mixed_tokens(text: Column) -> Column:
+    """ASCII runs of two characters or more, then the bigrams of each run of other letters; no stopwords.
+
+    Scripts without spaces have no words to split at, so neighbouring
+    characters stand for them: what is found by a word is found by its bigrams.
+    """
+    others = F.flatten(
+        F.transform(
+            F.regexp_extract_all(F.lower(text), F.lit(_OTHER), 1),
+            lambda run: F.when(F.length(run) >= 2, F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))).otherwise(F.array().cast("array<string>")),
+        )
+    )
+    return F.filter(F.concat(long_tokens(text), others), lambda t: ~t.isin(*STOPWORDS))
 
 
 def normalized(text: Column) -> Column:
@@ -62,16 +89,6 @@ def is_subsequence(part: Column, whole: Column) -> Column:
     return end >= 0
 
 
-def form_key(name: Column) -> Column:
-    """Names of one form share it: case, apostrophes, dashes, leading articles and the head's plural are folded."""
-    base = F.lower(F.trim(F.translate(name, "’‘–—", "''--")))
-    base = F.regexp_replace(base, r"^(the|a|an)\s+", "")
-    base = F.regexp_replace(F.regexp_replace(base, r"'s\b|'", ""), r"[\-_\s]+", " ")
-    base = F.regexp_replace(base, r"([b-df-hj-np-tv-z])ies$", "$1y")
-    base = F.regexp_replace(base, r"(s|x|z|ch|sh)es$", "$1")
-    return F.regexp_replace(base, r"([^su])s$", "$1")
-
-
 def qa_normalized(text: Column) -> Column:
     """Answers compared without case, tags, links, punctuation and English articles."""
     plain = F.regexp_replace(F.lower(text), r"<[^>]*>|https?://\S+", " ")
@@ -85,37 +102,50 @@ def token_estimate(text: Column, known: Column | None = None) -> Column:
     return guess if known is None else F.coalesce(known, guess)
 
 
-def anaphor_kind(text: Column) -> Column:
-    """bare: a pronoun alone; phrase: a demonstrative with a noun; embedded: one inside a longer name; else null."""
-    t = F.lower(F.trim(text))
-    pronoun = r"(it|this|that|these|those|they|he|she|them)"
-    return (
-        F.when(t.rlike(f"^{pronoun}$"), "bare").when(t.rlike(r"^(this|that|these|those|such)\s+\S+"), "phrase").when(t.rlike(rf"\b{pronoun}\b"), "embedded")
-    )
+#: Words that name nothing, and those that open a clause.
+PRONOUNS = ("this", "that", "these", "those", "such", "it", "they", "them", "there", "we", "our", "us")
+CLAUSE_OPENERS = ("how to", "whether", "when", "why", "that", "which", "who", "what")
+MOST_NAME_WORDS = 6
+
+
+def is_pronoun(name: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"^[ .]+|[ .]+$", "").isin(*PRONOUNS)
 
 
 def is_nameable(name: Column) -> Column:
-    """STRUCT<ok, why>: non-empty, no pronoun, no clause, six words at most, with a letter."""
+    """STRUCT<ok, why>: non-empty, no pronoun, no clause, six words at most, with a Latin letter."""
     n = F.trim(F.coalesce(name, F.lit("")))
     why = (
         F.when(n == "", "empty")
-        .when(anaphor_kind(n) == "bare", "pronoun")
-        .when(F.lower(n).rlike(r"\b(which|that|who|because|when|if)\b"), "clause")
-        .when(F.size(F.split(n, r"\s+")) > 6, "long")
-        .when(~n.rlike(r"\p{L}"), "no letter")
+        .when(is_pronoun(n), "pronoun")
+        .when(F.lower(n).rlike(rf"^[ .]*({'|'.join(CLAUSE_OPENERS)})\b"), "clause")
+        .when(F.size(F.split(n, r"\s+")) > MOST_NAME_WORDS, "long")
+        .when(~n.rlike("[A-Za-z]"), "no letter")
     )
     return F.struct(why.isNull().alias("ok"), F.coalesce(why, F.lit("")).alias("why"))
 
 
-def needs_cleaning(predicate: Column) -> Column:
-    """Four words or more, a conjunction, a clause, a negation or a modal."""
-    p = F.lower(predicate)
-    return (F.size(F.split(F.trim(p), r"\s+")) >= 4) | p.rlike(r"\b(and|or|but|which|that|not|never|no|can|could|may|might|must|should|would|will)\b")
+#: What makes a predicate need cleaning: words that join, open a clause, negate or colour it.
+JOINING = ("and", "or")
+CLAUSE_MARKS = ("when", "until", "regardless", "that", "because", "whether", "while", "if", "so that", "in order to")
+NEGATIONS = ("not", "never", "cannot")
+MODALS = ("can", "could", "may", "might", "should", "must", "will", "would")
+
 
+def has_words(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether any of the words or phrases stands in a text, whatever the case and spaces."""
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9_]+", " "), F.lit(" "))
+    return F.exists(F.array(*[F.lit(f" {w} ") for w in words]), lambda w: F.contains(spaced, w))
 
-def is_passive(predicate: Column, statives: list[str]) -> Column:
-    p = F.lower(F.trim(predicate))
-    return p.rlike(r"^(is|are|was|were|be|been|being)\s+\w+ed\s+by$") & ~p.isin(statives)
+
+def is_negated(text: Column) -> Column:
+    return has_words(text, NEGATIONS) | F.lower(F.coalesce(text, F.lit(""))).rlike(r"n't\b")
+
+
+def needs_cleaning(predicate: Column) -> Column:
+    """Four words or more, a joining word, a clause, a negation or a modal."""
+    p = F.coalesce(predicate, F.lit(""))
+    return (F.size(F.filter(F.split(p, r"\s+"), lambda w: w != "")) >= 4) | has_words(p, JOINING + CLAUSE_MARKS + MODALS) | is_negated(p)
 
 
 def paragraph_index(text: Column, at: Column) -> Column:

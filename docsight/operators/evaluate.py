@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,28 +30,41 @@ def roll_up(attempts: DataFrame, case: str) -> DataFrame:
     return grouped.select(case, "n", "passed", verdict.alias("verdict"))
 
 
+def _poisson(most: int = 7) -> list[int]:
+    """Upper bounds, out of 2 ** 32, of the draws that give 0, 1, ... times at mean 1."""
+    out, total, p = [], 0.0, math.exp(-1)
+    for k in range(1, most + 1):
+        total += p
+        out.append(round(total * 2**32))
+        p /= k
+    return out
+
+
+POISSON = _poisson()
+
+
 def composite(rows: DataFrame, weight: str, rate: str) -> DataFrame:
     """Weighted mean over positive weights; null without any."""
     return rows.filter(F.col(weight) > 0).agg(F.round(F.sum(F.col(weight) * F.col(rate)) / F.sum(weight), 6).alias("score"))
 
 
-def bootstrap(rows: DataFrame, value: str, key: str, resamples: int = 2000) -> DataFrame:
-    """(low, high): order statistics 2.5 % and 97.5 % of Poisson-bootstrap means, with weights fixed by hash.
+def bootstrap(rows: DataFrame, case: str, weight: str, rate: str, resamples: int = 2000) -> DataFrame:
+    """(low, high): order statistics 2.5 % and 97.5 % of the weighted composite over resampled cases.
 
-    The rows are exploded over the resamples and summed before any shuffle.
+    In each resample a case counts as often as a Poisson draw of mean 1 says,
+    fixed by the MD5 of its id and the resample's number.  Rows are summed
+    once a case before they are drawn, and resamples before any shuffle.
     """
-    u = (F.pmod(F.xxhash64(key, "b"), F.lit(1_000_003)) + 0.5) / 1_000_003
-    cum, w = 0.0, F.lit(0)
-    p = 2.718281828459045**-1
-    for k in range(1, 8):
-        cum += p
-        w = w + (u > cum).cast("int")
-        p /= k
-    drawn = rows.select(key, F.col(value).cast("double").alias("v")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    means = drawn.withColumn("w", w).groupBy("b").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
-    ranked = F.array_sort(F.collect_list("m"))
-    return means.agg(ranked.alias("m")).select(
-        F.element_at("m", F.lit(int(resamples * 0.025) + 1)).alias("low"), F.element_at("m", F.lit(int(resamples * 0.975) + 1)).alias("high")
+    cases = rows.filter(F.col(weight) > 0).groupBy(case).agg(F.sum(F.col(weight) * F.col(rate)).alias("v"), F.sum(weight).alias("w"))
+    u = F.conv(F.left(F.md5(F.concat_ws(":", F.col(case).cast("string"), F.col("b").cast("string")).cast("binary")), F.lit(8)), 16, 10).cast("long")
+    times = F.lit(0)
+    for bound in POISSON:
+        times = times + (u >= bound).cast("int")
+    drawn = cases.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("n", times)
+    means = drawn.groupBy("b").agg((F.sum(F.col("n") * F.col("v")) / F.sum(F.col("n") * F.col("w"))).alias("m"))
+    ranked = means.agg(F.array_sort(F.collect_list("m")).alias("m"))  # one number for each resample
+    return ranked.select(
+        F.round(F.element_at("m", F.lit(int(resamples * 0.025) + 1)), 6).alias("low"), F.round(F.element_at("m", F.lit(int(resamples * 0.975) + 1)), 6).alias("high")
     )
 
 

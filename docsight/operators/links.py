@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import naming
+from ..functions import forms as fm
 from ..functions import text as tx
 from .retrieve import budget_skip
 
@@ -39,9 +40,9 @@ def remap(rows: DataFrame, columns: list[str], names: DataFrame) -> DataFrame:
     ``names``: name, id.  A name or form of several entities means the smallest id.
     """
     exact = names.groupBy(F.col("name").alias("__n")).agg(F.min("id").alias("__exact"))
-    forms = names.groupBy(tx.form_key(F.col("name")).alias("__f")).agg(F.min("id").alias("__form"))
+    forms = names.groupBy(fm.form_key(F.col("name")).alias("__f")).agg(F.min("id").alias("__form"))
     for c in columns:
-        keyed = rows.withColumns({"__n": F.col(c), "__f": tx.form_key(F.col(c))})
+        keyed = rows.withColumns({"__n": F.col(c), "__f": fm.form_key(F.col(c))})
         rows = keyed.join(exact, "__n", "left").join(forms, "__f", "left").select(*rows.columns, F.coalesce("__exact", "__form").alias(f"{c}_id"))
     return rows
 

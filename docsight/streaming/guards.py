@@ -18,26 +18,32 @@ def first_leak(deltas: DataFrame, key: str, order: str, text: str, fragments: li
     return whole.select(key, (at - 1).cast("long").alias("cut")).filter("cut is not null")
 
 
-def guard_stream(deltas: DataFrame, key: str, text: str, fragments: list[str]) -> DataFrame:
+def guard_stream(deltas: DataFrame, key: str, order: str, text: str, fragments: list[str], only: dict[str, list[str]] | None = None) -> DataFrame:
     """Streaming form: each delta passes with ``blocked`` false until a fragment is complete; the stream is shut after that.
 
-    The state of a stream is the tail of its text, one character shorter than
-    the longest fragment, and whether it is shut.
+    Deltas of a micro-batch are taken in their order.  The state of a stream
+    is the tail of its text, one character shorter than the longest fragment,
+    and whether it is shut.  ``only`` (flag column: fragments) holds guards
+    that stand only for deltas of which the flag is true.
     """
-    keep = max(map(len, fragments)) - 1
+    conditional = dict(only or {})
+    every = [*fragments, *(f for own in conditional.values() for f in own)]
+    if not every:
+        raise ValueError("no fragments")
+    fragments = list(fragments)
+    keep = max(map(len, every)) - 1
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tail, shut = state.get if state.exists else ("", False)
         rows = []
-        for frame in frames:
-            for delta in frame[text].fillna(""):
-                hits = [i for f in fragments if (i := (tail + delta).find(f)) >= 0]
-                if not shut and hits:
-                    rows.append((k[0], delta[: max(0, min(hits) - len(tail))], True))
-                    shut = True
-                elif not shut:
-                    rows.append((k[0], delta, False))
-                tail = (tail + delta)[-keep:] if keep else ""
+        for row in pd.concat(list(frames)).sort_values(order, kind="stable").to_dict("records"):
+            delta = row[text] or ""
+            standing = fragments + [f for flag, own in conditional.items() if row[flag] for f in own]
+            hits = [i for f in standing if (i := (tail + delta).find(f)) >= 0]
+            if not shut:
+                rows.append((k[0], delta[: max(0, min(hits) - len(tail))] if hits else delta, bool(hits)))
+                shut = bool(hits)
+            tail = (tail + delta)[-keep:] if keep else ""
         state.update((tail, shut))
         yield pd.DataFrame(rows, columns=[key, "passed", "blocked"])
 
@@ -47,6 +53,11 @@ def guard_stream(deltas: DataFrame, key: str, text: str, fragments: list[str]) -
     )
 
 
+def finished_cases(attempts: DataFrame, case: str, passed: str, expected: int) -> DataFrame:
+    """(case, n, passed) of cases all of whose ``expected`` attempts have come; on a stream in update mode as the last one comes."""
+    return attempts.groupBy(case).agg(F.count(F.lit(1)).alias("n"), F.count_if(passed).alias("passed")).filter(F.col("n") >= expected)
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Event-time counts by type, with a watermark; works on batch and stream."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"))
