@@ -39,8 +39,8 @@ MARK = "▁"
 #: Texts of more characters are cut into chunks.
 GIANT = 32_768
 CHUNK = 16_384
-#: Remembered spans of a task.
-REMEMBERED = 300_000
+#: Spans that a worker remembers, of the library's words in each of two generations.
+REMEMBERED = 150_000
 
 State = tuple[int, str]  # where the last piece ends, and the piece
 
@@ -300,9 +300,14 @@ class Codec:
 
         self.model = Pieces.load(model_path)
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        self.known: dict[str, list[int]] = {}
+        #: One object for each number, so that ids in use lie close together.
+        self.numbers = list(range(self.library.get_piece_size()))
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
         self.paths: dict[str, list[int]] = {}
-        self.names = {i: p.replace(MARK, " ") for p, (i, _) in self.model.pieces.items()}
+        self.names: list[str | None] = [None] * self.library.get_piece_size()
+        for p, (i, _) in self.model.pieces.items():
+            self.names[i] = p.replace(MARK, " ")
         self.bytes = {i: b for b, i in enumerate(self.model.bytes or [])}
 
     def walked(self, marked: str) -> list[int]:
@@ -314,44 +319,37 @@ class Codec:
             found = self.paths[marked] = [i for p in lone_path(self.model, marked) for i in self.model.ids(p)]
         return found
 
-    def span(self, marked: str) -> list[int]:
-        """Ids of a span that starts with space marks, by the library."""
-        key = marked[1:].replace(MARK, " ")
-        found = self.known.get(key)
-        if found is None:
-            found = self.known[key] = self.library.encode(key)
-        return found
+    def encode_all(self, texts: list[str | None]) -> list[list[int] | None]:
+        """Ids of whole texts by the library: words between single spaces are encoded once each and remembered.
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode the spans of texts that are not remembered yet, all in one call."""
+        Words of the last texts are kept in two generations, so that common ones survive.
+        """
+        split = [t.split(" ") if t and self.model.cuts and not (MARK in t or "  " in t or t[0] == " " or t[-1] == " ") else None for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({w for t in texts for w in t.split(" ") if w not in self.known})
-        self.known.update(zip(new, self.library.encode(new), strict=True))
+            self.before, self.known = self.known, {}
+        new = set().union(*filter(None, split)) - self.known.keys()
+        again = new & self.before.keys()
+        self.known.update((w, self.before[w]) for w in again)
+        fresh = list(new - again)
+        shared = self.numbers.__getitem__
+        self.known.update(zip(fresh, (tuple(map(shared, ids)) for ids in self.library.encode(fresh)), strict=True))
+        get = self.known.__getitem__
+        return [None if t is None else list(chain.from_iterable(map(get, w))) if w else self.library.encode(t) if t else [] for t, w in zip(texts, split, strict=True)]
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if not self.model.cuts or MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
-            return self.library.encode(text)
-        out: list[int] = []
-        known, span = self.known, self.span
-        for word in text.split(" "):
-            out += known[word] if word in known else span(MARK + word)
-        return out
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces are put together to characters; the first space mark was added when encoding."""
-        names = self.names
         try:
-            text = "".join([names[i] for i in ids])
-        except KeyError:
+            text = "".join(map(self.names.__getitem__, ids))
+        except TypeError:  # a byte or an unknown piece
             out = bytearray()
             for i in ids:
                 if i in self.bytes:
                     out.append(self.bytes[i])
                 else:
-                    out += names.get(i, " ⁇ ").encode()
+                    out += (" ⁇ " if self.names[i] is None else self.names[i]).encode()
             text = out.decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
@@ -459,8 +457,7 @@ def encode(docs: DataFrame, model_path: str, keep: list[str], text: str = "text"
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column(part.num_columns - 1).to_pylist()
-                own.learn([t for t in texts if t])
-                encoded = [None if t is None else own.encode(t) for t in texts]
+                encoded = own.encode_all(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *checked(own, texts, encoded)], names=names)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
