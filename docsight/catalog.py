@@ -199,9 +199,10 @@ def alias_collision(t):
     return cp.alias_collisions(t("part").select(F.col("p_brand").alias("entity"), F.explode(F.split("p_name", " ")).alias("alias")))
 
 
-@_query("""with n as (select o_orderkey as id, list_distinct(list_value(o_orderstatus, o_orderpriority, 'c' || (o_custkey % 97), 'd' || strftime(o_orderdate, '%Y-%m-%d'))) as s from orders where true)
-select a.id as a, b.id as b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 4) as score from n a join n b on a.id < b.id
-where len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) >= 0.8""")
+# Sets of four tokens each: a pair of Jaccard 0.8 or more shares them all, the date among them.
+@_query("""with n as (select o_orderkey as id, o_orderdate as d, list_distinct(list_value(o_orderstatus, o_orderpriority, 'c' || (o_custkey % 97), 'd' || strftime(o_orderdate, '%Y-%m-%d'))) as s from orders),
+p as (select a.id as a, b.id as b, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) as j from n a join n b on a.d = b.d and a.id < b.id)
+select a, b, round(j, 4) as score from p where j >= 0.8""")
 def token_jaccard_pairs(t):
     o = t("orders")
     tokens = F.array("o_orderstatus", "o_orderpriority", F.concat(F.lit("c"), F.col("o_custkey") % 97), F.concat(F.lit("d"), F.date_format("o_orderdate", "yyyy-MM-dd")))
@@ -326,31 +327,20 @@ def qa_f1(t):
 
 
 def _coverage(benchmark: DataFrame, docs: DataFrame) -> DataFrame:
-    """Share of each item's 12-grams that occur in ``docs``."""
-    def each(df: DataFrame, *keep: str) -> DataFrame:
-        # a character's place is counted from the start of its piece, not of the text
-        part = df.select(*keep, F.explode(tx.pieces(F.col("text"), 512, 11)).alias("text")).filter(F.length("text") >= 12)
-        at = F.explode(F.sequence(F.lit(1), F.length("text") - 11)).alias("i")
-        return part.select(*keep, "text", at).select(*keep, F.expr("substring(text, i, 12)").alias("g"))
+    return rt.gram_coverage(benchmark.select("item_id", "text"), docs.select("text"))
 
-    def grams(df: DataFrame, *keep: str) -> DataFrame:
-        return each(df, *keep).distinct()
 
-    wanted = grams(benchmark, "item_id")
-    product = each(docs).join(wanted.select("g").distinct(), "g", "left_semi").distinct().withColumn("hit", F.lit(1))
-    return wanted.join(product, "g", "left").groupBy("item_id").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("coverage"))
+_COVERAGE = """with g as (select item_id, text, unnest(range(1, length(text) - 10)) as i from benchmark), p as (select distinct item_id, substr(text, i, 12) as g from g),
+s as (select distinct substr(text, i, 12) as g from (select text, unnest(range(1, length(text) - 10)) as i from documents))
+select item_id, round(avg((s.g is not null)::int), 4) as coverage from p left join s using (g) group by item_id"""
 
 
-@_query("""with g as (select item_id, text, unnest(range(1, length(text) - 10)) as i from benchmark), p as (select distinct item_id, substr(text, i, 12) as g from g),
-s as (select distinct substr(text, i, 12) as g from (select text, unnest(range(1, length(text) - 10)) as i from documents where doc_id in (select doc_id from labels)))
-select item_id, round(avg((s.g is not null)::int), 4) as coverage from p left join s using (g) group by item_id""")
+@_query(_COVERAGE)
 def ngram_coverage(t):
-    return _coverage(t("benchmark"), t("documents").join(t("labels").select("doc_id"), "doc_id", "left_semi"))
+    return _coverage(t("benchmark"), t("documents"))
 
 
-@_query("""with g as (select item_id, text, unnest(range(1, length(text) - 10)) as i from benchmark), p as (select distinct item_id, substr(text, i, 12) as g from g),
-s as (select distinct substr(text, i, 12) as g from (select text, unnest(range(1, length(text) - 10)) as i from documents))
-select item_id, round(avg((s.g is not null)::int), 4) as coverage from p left join s using (g) group by item_id""")
+@_query(_COVERAGE)
 def ngram_coverage_all(t):
     return _coverage(t("benchmark"), t("documents"))
 

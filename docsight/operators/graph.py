@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 
 def undirected_degree(edges: DataFrame) -> DataFrame:
     """(node, degree) of the distinct undirected edges (src, dst), loops left out."""
@@ -34,26 +36,28 @@ def structure_evidence(profile: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component): smallest node reachable, by label spreading with pointer jumps until no label moves.
+    """(node, component): the smallest node reachable over links (src, dst), by alternating large and small stars.
 
-    Rounds are cut by checkpoints in the session's checkpoint folder.
+    Each round links a node's larger neighbours, then its smaller ones, to the
+    least of them, which halves the depth of every tree at least; rounds are
+    cut by checkpoints.  A node that is linked with itself alone is a
+    component; links with a null end are none.
     """
-    spark = links.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docsight-"))
-    both = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
-    labels = both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
+    known = links.filter("src is not null and dst is not null")
+    edges, before = cut(known.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()), None
     while True:
-        heard = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("m"))
-        low = labels.join(heard, "node").select("node", F.least("component", "m").alias("component"), F.col("component").alias("was"))
-        low = low.checkpoint()
-        jump = low.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = low.join(jump, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"), "was").checkpoint()
-        labels = new.select("node", "component")
-        if new.filter("component <> was").isEmpty():
-            return labels
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+    nodes = known.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return nodes.join(edges.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
 def community_rollup(members: DataFrame, reports: DataFrame, level: int) -> DataFrame:
@@ -88,7 +92,7 @@ def select_levels(reports: DataFrame, thresholds: list[float]) -> DataFrame:
     for level in range(1, (depth or 0) + 1):
         above = row.filter(F.col("level") == level - 1).select("threshold", F.col("community").alias("parent"))
         row = rated.filter((F.col("level") == level) & (F.col("level") > F.col("opens"))).join(above, ["threshold", "parent"], "left_semi").select(chosen.columns)
-        row = row.unionByName(rated.filter((F.col("level") == level) & (F.col("level") == F.col("opens"))))
+        row = cut(row.unionByName(rated.filter((F.col("level") == level) & (F.col("level") == F.col("opens")))))  # or each level's plan would hold all above
         chosen = chosen.unionByName(row.filter("level > opens"))
     replaced = chosen.filter("level > opens").select("threshold", F.col("parent").alias("community")).distinct().withColumn("gone", F.lit(True))
     return chosen.join(replaced, ["threshold", "community"], "left").select("threshold", "community", "level", "rating", F.col("gone").isNull().alias("kept"))
