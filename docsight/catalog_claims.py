@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import forms as fm
+from .operators import cite
 from .operators import claims as cl
 from .operators import graph as gr
 from .operators import ingest as ig
@@ -444,3 +445,34 @@ def nested_keys(t):
 def first_objects(t):
     body = F.concat(F.lit('{"a": {"b": "} '), "event_type", F.lit('"}, "c": '), "user_id", F.lit("}"))
     return t("events").select("event_id", fm.first_object(F.concat(F.lit("so: "), body, F.lit(' and {"d": 1}'))).alias("object"))
+
+
+@query(r"""with n as (select distinct string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] as name from benchmark), q as (select name, trim(regexp_replace(translate(lower(name), '’‐‑‒–—―', chr(39) || '------'), '\s+', ' ', 'g')) as n from n),
+d as (select doc_id, text, regexp_replace(translate(lower(text), '’‐‑‒–—―', chr(39) || '------'), '\s+', ' ', 'g') as plain, regexp_extract_all(text, '\s+') as runs from documents),
+p as (select name, n, doc_id, plain, runs, unnest(l) as part, unnest(range(len(l))) as i from (select *, string_split(plain, n) as l from q join d on contains(plain, n) where regexp_matches(n, '[a-z0-9]'))),
+a as (select *, sum(length(part)) over (partition by name, doc_id order by i) + i * length(n) as place, max(i) over (partition by name, doc_id) as m from p),
+f as (select * from a where i < m and (place = 0 or not regexp_matches(plain[place:place], '[a-z0-9]')) and not regexp_matches(plain[place + length(n) + 1:place + length(n) + 1], '[a-z0-9]')),
+x as (select *, place + coalesce(list_sum(list_transform(runs[:length(plain[:place]) - length(replace(plain[:place], ' ', ''))], lambda r: length(r) - 1)), 0) as s from f)
+select distinct name, doc_id, cast(s // 1000 as bigint) as seq from x""")
+def name_occurrences(t):
+    w = F.split("text", " ")
+    names = t("benchmark").select(F.concat_ws(" ", w[0], w[1]).alias("name"))
+    found = ig.occurrences(names, t("documents").select("doc_id", "text"))
+    return found.select("name", "doc_id", F.floor(F.col("start") / 1000).alias("seq")).distinct()
+
+
+@query(r"""select page_id, case when page_id % 3 = 0 then '<p class="a">' || url || ' é \ ' || chr(39) || ' / end</p>' end as held from pages""")
+def embedded_texts(t):
+    inside = F.concat(F.lit('<p class=\\"a\\">'), F.replace(F.col("url"), F.lit("/"), F.lit("\\/")), F.lit(" \\u00e9 \\\\ \\u0027 \\/ end<\\/p>"))
+    page = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<script>GLOBAL_CONFIG.larkContent = '"), inside, F.lit("'; var x = 'y';</script>"), "html")).otherwise(F.col("html"))
+    return t("pages").select("page_id", ig.embedded_text(page).alias("held"))
+
+
+@query(r"""with s as (select doc_id, unnest(l) as raw, unnest(range(len(l))) as n from (select doc_id, string_split(regexp_replace(text, '([.!?]\s)', '\1' || chr(1), 'g'), chr(1)) as l from documents)),
+p as (select doc_id, n, trim(raw, ' ') as text, sum(length(raw)) over (partition by doc_id order by n) - length(raw) as s, sum(length(raw)) over (partition by doc_id order by n) as e from s),
+w as (select *, coalesce(lag(text) over (partition by doc_id order by n), '') as b, coalesce(lead(text) over (partition by doc_id order by n), '') as a from p)
+select doc_id as claim, text as anchor, b as "before", a as "after" from w where (doc_id * 37) % 500 >= s and (doc_id * 37) % 500 < e""")
+def anchor_sentences(t):
+    d = t("documents").select("doc_id", "text")
+    claims = d.select(F.col("doc_id").alias("claim"), "doc_id", (F.col("doc_id") * 37 % 500).alias("at"))
+    return cite.anchor_sentences(claims, cite.sentence_spans(d))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -75,3 +75,21 @@ def tool_calls(frames: DataFrame, stream: str, order: str) -> DataFrame:
     # The parser stops after the first value, so the text must be one item of an array and of an object: then nothing follows it.
     whole_value = [F.try_parse_json(F.concat(F.lit(a), F.col("arguments"), F.lit(b))).isNotNull() for a, b in ("[]", ('{"a":', "}"))]
     return calls.withColumn("valid", (F.col("arguments") == "") | (whole_value[0] & whole_value[1]))
+
+
+def anchor_sentences(claims: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(claim, anchor, before, after): the sentence in which a claim (claim, doc_id, at) is anchored, and its neighbours.
+
+    ``sentences`` (doc_id, n, start, end, text); a place in none has no row.
+    A text's first sentence has nothing before it, its last nothing after.
+    """
+    by = Window.partitionBy("doc_id").orderBy("n")
+    near = sentences.select("doc_id", "start", "end", "text", F.lag("text").over(by).alias("before"), F.lead("text").over(by).alias("after"))
+    return claims.join(near, "doc_id").filter("at >= start and at < end").select("claim", F.col("text").alias("anchor"), F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"))
+
+
+def sentence_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, start, end, text): the sentences of texts (doc_id, text) that end in . ! or ? and white space; places are those in the text."""
+    parts = docs.select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?]\s)")).alias("n", "raw"))
+    end = F.sum(F.length("raw")).over(Window.partitionBy("doc_id").orderBy("n"))
+    return parts.withColumn("end", end).select("doc_id", "n", (F.col("end") - F.length("raw")).alias("start"), "end", F.trim("raw").alias("text"))

@@ -151,3 +151,29 @@ class VersionedTable:
 def import_source(rows: DataFrame, path: str, source: str = "source_id") -> None:
     """Replace the sources that ``rows`` hold, and no others: partitions are overwritten one source at a time."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(source).parquet(path)
+
+
+#: The columns of a case file.
+CASES = "case_id string, question string, category string, enabled boolean, criteria array<struct<name:string,weight:double>>, tags array<string>"
+
+
+def read_cases(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
+    """Cases of a folder's JSON files with ``problems``, sorted: what is missing or wrong; none: a valid case.
+
+    Files that are no JSON objects come back as cases without an id.
+    """
+    rows = spark.read.schema(CASES).option("multiLine", True).option("pathGlobFilter", pattern).json(folder)
+    problems = F.array(
+        F.when(F.trim(F.coalesce("case_id", F.lit(""))) == "", F.lit("no id")),
+        F.when(F.trim(F.coalesce("question", F.lit(""))) == "", F.lit("no question")),
+        F.when(F.coalesce(F.size("criteria"), F.lit(0)) < 1, F.lit("no criteria")),
+        F.when(F.exists(F.coalesce("criteria", F.array().cast("array<struct<name:string,weight:double>>")), lambda c: F.coalesce(c["weight"] < 0, F.lit(False))), F.lit("negative weight")),
+    )
+    return rows.withColumn("enabled", F.coalesce("enabled", F.lit(True))).withColumn("problems", F.array_sort(F.array_compact(problems)))
+
+
+def write_report(rows: DataFrame, folder: str) -> None:
+    """A report as JSON lines and, its nested columns as JSON text, as CSV with a header."""
+    rows.write.mode("overwrite").json(f"{folder}/json")
+    flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name) for f in rows.schema.fields]
+    rows.select(*flat).write.mode("overwrite").option("header", True).csv(f"{folder}/csv")

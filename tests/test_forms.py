@@ -126,3 +126,30 @@ def test_finished_cases_as_they_come(spark, tmp_path):
     seen = []
     guards.finished_cases(stream, "c", "ok", 2).writeStream.outputMode("update").foreachBatch(lambda d, _: seen.extend(d.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     assert [tuple(r) for r in seen] == [("a", 2, 1)]
+
+
+def test_occurrences_are_whole_and_fold_marks(spark):
+    docs = spark.createDataFrame([(1, "Read-only  mode, read‑only mode; unread-only mode"), (2, "It’s  Ann's read only mode"), (3, None)], "doc_id long, text string")
+    names = spark.createDataFrame([("read-only mode",), ("it's",), ("--",), (None,)], "name string")
+    got = sorted((r["name"], r["doc_id"], r["start"], r["end"]) for r in ig.occurrences(names, docs).collect())
+    assert got == [("it's", 2, 0, 4), ("read-only mode", 1, 0, 15), ("read-only mode", 1, 17, 31)]
+
+
+def test_embedded_text(spark):
+    pages = ["<script>GLOBAL_CONFIG.larkContent = '<p>a \\\"b\\\" \\u4e2d\\/c</p>'; x</script><p>nav</p>", "GLOBAL_CONFIG.larkContent = 'open", "<p>plain</p>", None]
+    assert values(spark, pages, ig.embedded_text) == ['<p>a "b" 中/c</p>', None, None, None]
+
+
+def test_cases_are_validated_and_reports_written(spark, tmp_path):
+    import json
+
+    from docsight.sources import tables as tb
+
+    good = {"case_id": "a", "question": "q", "criteria": [{"name": "c", "weight": 1.0}], "tags": ["x=1"]}
+    for name, body in (("a.json", good), ("b.json", {"case_id": " ", "criteria": [{"name": "c", "weight": -1}], "enabled": False}), ("c.txt", good)):
+        (tmp_path / name).write_text(json.dumps(body))
+    got = {r["case_id"]: (r["enabled"], r["problems"]) for r in tb.read_cases(spark, str(tmp_path)).collect()}
+    assert got == {"a": (True, []), " ": (False, ["negative weight", "no id", "no question"])}
+    tb.write_report(tb.read_cases(spark, str(tmp_path)), f"{tmp_path}/report")
+    assert spark.read.json(f"{tmp_path}/report/json").count() == 2
+    assert spark.read.option("header", True).csv(f"{tmp_path}/report/csv").filter("problems = '[]'").count() == 1
