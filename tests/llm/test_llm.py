@@ -48,6 +48,9 @@ def test_shards_are_even_and_slots_gapless(spark, odd):
         slots = sorted(r["slot"] for r in rows if r["shard"] == s)
         assert slots == list(range(len(slots))) and len(slots) in (2, 3)
     assert all(sharding.row_at(r["shard"], r["slot"], len(ODD), 3, 2024) == r["row_number"] for r in rows)
+    want = sorted((str(r[0]), len((r[1] or "").encode()) + 1, None if r[1] is None else zlib.crc32(r[1].encode())) for r in ODD)
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in rows) == want
+    assert sorted(map(str, rows)) == sorted(map(str, sharding.shard_documents(odd.repartition(5), 3).collect()))
     assert sharding.shard_documents(odd.limit(0)).count() == 0
 
 
@@ -112,6 +115,7 @@ def test_encode_odd_rows(spark, odd):
     own = sp.Codec(tokenizer_path())
     assert len(rows) == len(ODD) and all(r["round_trip"] for r in rows)
     texts = {r[0]: r[1] for r in ODD}
+    assert sp.encode(odd.limit(0), tokenizer_path(), ["doc_id"]).count() == 0
     assert all(r["ids"] == (None if texts[r["doc_id"]] is None else own.library.encode(texts[r["doc_id"]])) for r in rows)
 
 
@@ -398,17 +402,63 @@ def test_repeated_windows_equal_brute_force():
 def test_quality_on_odd_rows(spark, odd):
     rows = quality.measure_documents(odd).collect()
     assert len(rows) == len(ODD) and all(r["base_failed"] and not r["kept"] for r in rows if r["doc_id"] in (1, 2, 5, 6))
+    assert quality.measure_documents(odd.limit(0)).count() == 0
     assert quality.rejected_by(odd).columns == odd.columns
 
 
 def test_pipeline_stages_keep_columns(spark, odd, tmp_path):
     import corpus_pipeline
 
-    odd.write.parquet(f"{tmp_path}/odd")
+    odd.withColumns({c: odd["source"] for c in ("copies", "copies_", "bands", "print", "row", "family")}).write.parquet(f"{tmp_path}/odd")
     odd = spark.read.parquet(f"{tmp_path}/odd")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, "").columns == odd.columns
     assert corpus_pipeline.drop_near_copies(spark, odd, "").filter("text like 'the cat%'").count() == 1
+    odd.limit(0).write.parquet(f"{tmp_path}/none")
+    none = spark.read.parquet(f"{tmp_path}/none")
+    assert all(stage(spark, none, "").count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_pipeline_equals_brute_force_stage_by_stage(spark, tmp_path):
+    import corpus_pipeline
+
+    draw = random.Random(3)
+    kinds = {"xx": ["ka", "to", "mi", "ru", "ne"], "yy": ["schl", "acht", "ung", "ö", "eis"]}
+    write = lambda k, n: " ".join("".join(draw.choices(kinds[k], k=draw.randrange(2, 5))) for _ in range(n))
+    rows = [(i, write(k, draw.randrange(30, 90)), k, draw.choice(["a", "b", None])) for i in range(160) for k in [draw.choice(list(kinds))]]
+    rows += [(200 + i, rows[i][1], "xx", "b") for i in range(20)] + [(300 + i, write("xx", 5), "xx", "a") for i in range(10)]
+    rows += [(400 + i, "#$ %& " * 40, "yy", "a") for i in range(5)] + [(500, None, "xx", "a"), (501, "", None, None), (502, "12 345 " * 30, "xx", "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    held, own = docs, sp.Codec(tokenizer_path())
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, held, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        before, after = held.collect(), spark.read.parquet(f"{tmp_path}/{name}").collect()
+        held = spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "language":
+            assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before if r["text"] and langid.has_letter(r["text"])}
+        elif name == "quality":
+            passes = lambda x: not any(rule.rejects(quality.Text(x.encode())) for rule in quality.BASE + quality.RULES)
+            assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before if passes(r["text"])} and not {r["doc_id"] for r in after} & set(range(300, 310))
+        elif name == "near_copies":
+            first = {}
+            for r in sorted(before, key=lambda r: r["doc_id"]):
+                first.setdefault(r["text"], r["doc_id"])
+            assert sorted(r["doc_id"] for r in after) == sorted(first.values())
+        elif name == "mixture":
+            size = lambda r: len(r["text"].split())
+            sizes, taken, most = Counter(), Counter(), Counter()
+            for r in before:
+                sizes[r["source"]] += size(r)
+                most[r["source"]] = max(most[r["source"]], size(r))
+            for r in after:
+                taken[r["source"]] += size(r)
+            assert max(Counter(r["doc_id"] for r in after).values()) <= 3 and {r["doc_id"] for r in after} <= {r["doc_id"] for r in before}
+            assert all(abs(taken[s] - t) <= most[s] / 2 + 1e-6 or t == 3 * sizes[s] for s, t in _filled(sizes).items())
+        else:
+            text = {r["doc_id"]: r["text"] for r in before}
+            assert len(after) == len(before) and all(r["round_trip"] and list(r["ids"]) == own.library.encode(text[r["doc_id"]]) for r in after)
+    assert sorted(map(str, after)) == sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect()))
 
 
 def _planted():
