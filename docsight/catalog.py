@@ -406,12 +406,36 @@ def interval_overlap(t):
     return cp.first_chunk(cp.overlap(spans, chunks, 500))
 
 
-@_query()
+def _words_in(x: str, words: tuple[str, ...]) -> str:
+    spaced = f"' ' || regexp_replace(lower({x}), '[^a-z0-9_]+', ' ', 'g') || ' '"
+    return "(" + " or ".join(f"contains({spaced}, ' {w} ')" for w in words) + ")"
+
+
+def _unnameable(x: str) -> str:
+    pronouns, openers = ", ".join(f"'{w}'" for w in tx.PRONOUNS), "|".join(tx.CLAUSE_OPENERS)
+    return (
+        f"case when trim({x}) = '' then 'empty' when regexp_replace(lower({x}), '^[ .]+|[ .]+$', '', 'g') in ({pronouns}) then 'pronoun' when regexp_matches(lower(trim({x})), '^[ .]*({openers})\\b') then 'clause' "
+        f"when len(regexp_split_to_array(trim({x}), '\\s+')) > 6 then 'long' when not regexp_matches({x}, '[A-Za-z]') then 'no letter' end"
+    )
+
+
+_CLAIMS = r"""said as (select doc_id, unnest(l) as evidence, unnest(range(len(l))) as claim_idx from (select doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+([A-Z0-9"''])', '\1' || chr(1) || '\2', 'g'), '([。！？])', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') as l from documents)),
+parts as (select *, regexp_split_to_array(trim(evidence), '\s+') as w from said),
+claim as (select doc_id, claim_idx, evidence, w[1] as subject, w[2] as predicate, array_to_string(w[3:], ' ') as object from parts where len(w) >= 3)"""
+
+
+@_query(f"""with {_CLAIMS}, m as (select doc_id, claim_idx, predicate, list_sort(list_filter([
+  case when {_unnameable("subject")} is not null then 'subject_unusable' end,
+  case when {_words_in("predicate", tx.JOINING + tx.CLAUSE_MARKS + tx.MODALS + tx.NEGATIONS)} or regexp_matches(lower(predicate), 'n''t\\b') then 'predicate_dirty' end,
+  case when {fm.form_sql("subject")} = {fm.form_sql("object")} then 'self_reference' end, case when not contains(evidence, subject) then 'subject_not_in_evidence' end], lambda x: x is not null)) as l from claim)
+select doc_id, claim_idx, predicate, array_to_string(l, ',') as marks from m""")
 def claim_health(t):
     return cp.health_marks(cp.propose_claims(t("documents"))).select("doc_id", "claim_idx", "predicate", F.array_join("marks", ",").alias("marks"))
 
 
-@_query()
+@_query(f"""with {_CLAIMS}, k as (select *, {fm.form_sql("subject")} as sk, {fm.form_sql("object")} as ok, {_unnameable("subject")} as sw, {_unnameable("object")} as ow from claim),
+r as (select *, case when sw is not null then 'subject_' || sw when ow is not null then 'object_' || ow when sk = ok then 'self_loop' end as skipped from k)
+select doc_id, claim_idx, predicate, case when skipped is null then sk end as src, case when skipped is null then ok end as dst, skipped from r""")
 def claim_edges(t):
     return cp.assemble(cp.propose_claims(t("documents"))).select("doc_id", "claim_idx", "predicate", "src", "dst", "skipped")
 

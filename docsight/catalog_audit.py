@@ -310,7 +310,14 @@ def relation_snap(t):
     return w.select("w", nm.snap(F.col("w"), ["the", "be", "run"]).alias("relation"))
 
 
-@query()
+_FOLDED = f"coalesce(nullif({fm.form_sql('q')}, ''), q)"
+_LIGHT = ", ".join(f"'{w}'" for w in nm.LIGHT)
+
+
+@query(rf"""with x as (select p_partkey, string_split(lower(p_name), ' ')[1] as a, string_split(lower(p_name), ' ')[2] as b, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9\-]+')) as r from part),
+y as (select *, list_concat(r, list_transform(r, lambda q: {_FOLDED})) as pool, a || 's' as n, list_transform([a || 's'], lambda q: {_FOLDED})[1] as nf, list_transform([b], lambda q: {_FOLDED})[1] as bf, list_transform([a], lambda q: {_FOLDED})[1] as af from x)
+select p_partkey, case when n not in ({_LIGHT}) and (list_contains(pool, n) or list_contains(pool, nf)) then 'ok' when length(n) >= 4 and len(list_filter(pool, lambda q: length(q) >= 4 and q[:4] = n[:4])) > 0 then 'derived'
+  when b not in ({_LIGHT}) and (list_contains(pool, b) or list_contains(pool, bf)) then 'generalized' else 'reject' end as tier, b not in ({_LIGHT}) and b not in (a, af) and bf not in (a, af) as bleeds from y""")
 def name_tiers(t):
     w = F.split("p_name", " ")
     return t("part").select("p_partkey", nm.name_tier(F.concat(w[0], F.lit("s")), F.col("p_name"), F.array(w[1])).alias("tier"), nm.bleeds(w[1], w[0], w[1]).alias("bleeds"))
