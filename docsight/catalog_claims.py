@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import forms as fm
+from .functions import text as tx
 from .operators import cite
 from .operators import claims as cl
 from .operators import graph as gr
@@ -476,3 +477,15 @@ def anchor_sentences(t):
     d = t("documents").select("doc_id", "text")
     claims = d.select(F.col("doc_id").alias("claim"), "doc_id", (F.col("doc_id") * 37 % 500).alias("at"))
     return cite.anchor_sentences(claims, cite.sentence_spans(d))
+
+
+_STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
+
+
+@query(rf"""with d as (select doc_id, list_filter(regexp_extract_all(lower(text), '([a-z0-9]+(?:[._\-][a-z0-9]+)*)', 1), lambda w: length(w) >= 2) as a,
+  regexp_extract_all(regexp_replace(lower(text), '[a-z0-9]', ' ', 'g'), '[\p{{L}}\p{{M}}\p{{N}}]+') as o from documents),
+k as (select doc_id, list_filter(list_concat(a, flatten(list_transform(o, lambda r: list_transform(range(1, length(r)), lambda i: r[i:i + 1])))), lambda w: w not in ({_STOP})) as w from d)
+select doc_id, len(w) as n, md5(array_to_string(w, ' ')) as digest from k""")
+def mixed_terms(t):
+    d = t("documents").select("doc_id", tx.mixed_tokens(F.col("text")).alias("w"))
+    return d.filter("w is not null").select("doc_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest"))

@@ -18,7 +18,7 @@ def context(questions: DataFrame, docs: DataFrame, vectors: DataFrame, k: int =
     ``excerpt`` shortens the shown texts; tokens are counted on whole ones.
     """
     dense = rt.dense_top_k(questions.select("query_id", "q"), vectors, k)
-    fused = rt.rrf(dense, rt.bm25_top_k(questions.select("query_id", "text"), docs, tx.long_tokens, k))
+    fused = rt.rrf(dense, rt.bm25_top_k(questions.select("query_id", "text"), docs, tx.mixed_tokens, k))
     if least is not None:
         fused = rt.gate(fused, "query_id", "dense", least).drop("best")
     shown = F.substring("text", 1, excerpt) if excerpt else F.col("text")

@@ -153,3 +153,21 @@ def test_cases_are_validated_and_reports_written(spark, tmp_path):
     tb.write_report(tb.read_cases(spark, str(tmp_path)), f"{tmp_path}/report")
     assert spark.read.json(f"{tmp_path}/report/json").count() == 2
     assert spark.read.option("header", True).csv(f"{tmp_path}/report/csv").filter("problems = '[]'").count() == 1
+
+
+def test_upsert_subset_and_log(spark, tmp_path):
+    from docsight.sources import tables as tb
+
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    new = spark.createDataFrame([(2, "c", True), (3, "d", None)], "id int, v string, w boolean")
+    assert sorted((r["id"], r["v"], r["w"]) for r in ig.upsert(old, new, ["id"]).collect()) == [(1, "a", None), (2, "c", True), (3, "d", None)]
+    rows = spark.createDataFrame([(["a"], ["b", "a"]), (["a", "a"], ["a"]), (["c"], ["a", "b"])], "x array<string>, y array<string>")
+    assert [r[0] for r in rows.select(tx.is_proper_subset(F.col("x"), F.col("y"))).collect()] == [True, False, False]
+    for _ in range(2):
+        tb.append_log(old, f"{tmp_path}/log")
+    assert spark.read.json(f"{tmp_path}/log").count() == 4
+
+
+def test_windowed_counts_on_a_batch(spark):
+    rows = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:10:00", "a")], "ts string, event_type string")
+    assert sorted(r["n"] for r in guards.windowed_counts(rows.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")).collect()) == [1, 2]
