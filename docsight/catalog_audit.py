@@ -227,11 +227,14 @@ def _runs(t):
     return t("lineitem").select(F.col("l_linenumber").alias("run"), F.col("l_orderkey").alias("case"), verdict.alias("verdict"))
 
 
-@query(_RUNS + """ select c as "case", max(verdict) filter (where run = 1) as run_1, max(verdict) filter (where run = 2) as run_2, max(verdict) filter (where run = 3) as run_3,
-  count(distinct (case l_returnflag when 'A' then 'fail' when 'N' then 'pass' else 'pending' end)) filter (where l_linenumber <= 3) > 1 as changed
+_ALL_RUNS = list(range(1, 8))
+
+
+@query(_RUNS + f""" select c as "case", {", ".join(f"max(verdict) filter (where run = {r}) as run_{r}" for r in _ALL_RUNS)},
+  count(distinct (case l_returnflag when 'A' then 'fail' when 'N' then 'pass' else 'pending' end)) > 1 as changed
   from v join lineitem on l_orderkey = c and l_linenumber = run group by c""")
 def run_matrix(t):
-    return jd.run_matrix(_runs(t), [1, 2, 3])
+    return jd.run_matrix(_runs(t), _ALL_RUNS)
 
 
 @query(_RUNS + """ select x.run, count(*) as cases, count(*) filter (where x.verdict = 'pass') as passed, count(*) filter (where x.verdict = 'pass' and b.verdict <> 'pass') as gained,
