@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+from collections.abc import Callable, Hashable, Iterator
+from types import ModuleType
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +58,46 @@ def hash_share(n: int, bound: int, *columns: str) -> Column:
     space = 1 << 30
     keep = space if n <= bound else max(1, space * bound // n)
     return F.pmod(F.xxhash64(*columns), F.lit(space)) < keep
+
+
+def text_slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of a text column, of one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+        upto = max(at + 1, upto)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def once_a_worker(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept as long as the Python worker lives: this package's own globals come anew with each task."""
+    held = sys.modules.setdefault("_docsight_worker", ModuleType("_docsight_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+class Memo:
+    """Values by string, made in bulk, in two generations of about ``most`` characters: common ones survive."""
+
+    def __init__(self, make: Callable[[list[str]], list], most: int):
+        self.make, self.most = make, most
+        self.now: dict[str, Any] = {}
+        self.before: dict[str, Any] = {}
+        self.held = 0
+
+    def learn(self, keys: set[str]) -> Callable[[str], Any]:
+        """A function that gives the value of each of the keys, up to the next call."""
+        if self.held > self.most:
+            self.before, self.now, self.held = self.now, {}, 0
+        now, before = self.now, self.before
+        new = [k for k in keys if k not in now]
+        now.update((k, before[k]) for k in new if k in before)
+        fresh = [k for k in new if k not in before]
+        if fresh:
+            now.update(zip(fresh, self.make(fresh), strict=True))
+        self.held += sum(map(len, new))
+        return self.now.__getitem__

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hnsw, langid, lm_score, mixing, quality, sentencepiece_scan, sharding, simhash, url_filter
+from . import byte_bpe, chat, hnsw, langid, lm_score, mixing, quality, sentencepiece_scan, sharding, simhash, url_filter
 from .common import cut, table
 
 
-def tokenizer_path() -> str:
-    """The public tokenizer's file; a parameter of the operator, never part of the repository."""
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """A public tokenizer's file; a parameter of the operator, never part of the repository."""
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +183,17 @@ from v
 """
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    tokens = byte_bpe.encode(docs, *vocabulary, ["doc_id"])
+    return byte_bpe.decode(tokens, *vocabulary).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -190,7 +201,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = (op1_sharding, op2_language, op3_sentencepiece, op4_url_filter, op5_simhash, op6_lm_score, op7_embedding_dedup, op8_mixing, op9_chat, op10_quality, pipeline)
+    names = (op1_sharding, op2_language, op3_sentencepiece, op4_url_filter, op5_simhash, op6_lm_score, op7_embedding_dedup, op8_mixing, op9_chat, op10_quality, op11_byte_bpe, pipeline)
     return {f.__name__: f for f in names}
 
 
