@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, once_a_worker, text_slices, utf8
+from .common import Memo, once_a_worker, text_slices, utf8, words_between_spaces
 
 #: Outside Latin-1, so part of no token.
 BETWEEN = "Ā"
-#: Characters of pieces that a worker remembers, in each of two generations.
-REMEMBERED = 2_000_000
+#: Characters of words that a worker remembers, and of pieces, in each of two generations.
+REMEMBERED = 1_500_000
+REMEMBERED_PIECES = 500_000
 #: Pieces of a text that are held as separate strings at a time.
 AT_A_TIME = 65_536
 NEVER = 1 << 62
@@ -61,14 +62,17 @@ class ByteBpe:
         if len(self.names) < len(ranks):
             raise ValueError("two tokens have one rank")
         self.automaton = ahocorasick.Automaton()
+        self.single = [ranks[bytes([b])] for b in range(256)]
         for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+            if len(token) > 1:
+                self.automaton.add_word(token.decode("latin-1"), (rank, len(token) - 1))
         self.automaton.make_automaton()
-        self.fits = lru_cache(maxsize=1 << 20)(self._fits)
-        self.whole = lru_cache(maxsize=1 << 17)(self._whole)
+        self.fits = lru_cache(maxsize=1 << 18)(self._fits)
+        self.edges = lru_cache(maxsize=1 << 16)(self._edges)
+        self.packed = {rank: rank.to_bytes(4, "little") for rank in self.names}
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.shorter = {rank: self._shorter(token) for token, rank in ranks.items()}
-        self.pieces = Memo(self.encode_pieces, REMEMBERED)
+        self.pieces = Memo(self.encode_pieces, REMEMBERED_PIECES)
         self.words = Memo(self._encode_words, REMEMBERED)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -88,11 +92,57 @@ class ByteBpe:
                     ranks[i] = rank_of(parts[i] + parts[i + 1], NEVER)
         return [self.ranks[p] for p in parts]
 
-    def _whole(self, token: int) -> bool:
-        return self.merge(self.names[token]) == [token]
+    def _edges(self, token: int) -> tuple[list, list] | None:
+        """The tokens that stand at the right and at the left edge of a token's bytes while they are merged.
+
+        Each with the rank at which it is merged further; None if merging does not give the token.
+        """
+        nodes: list[tuple] = [(bytes([b]), None) for b in self.names[token]]
+        rank_of = self.ranks.get
+        ranks = [rank_of(a[0] + b[0], NEVER) for a, b in zip(nodes, nodes[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == NEVER:
+                return None
+            at = ranks.index(least)
+            nodes[at : at + 2] = [(nodes[at][0] + nodes[at + 1][0], nodes[at : at + 2])]
+            del ranks[at]
+            for i in (at - 1, at):
+                if 0 <= i < len(ranks):
+                    ranks[i] = rank_of(nodes[i][0] + nodes[i + 1][0], NEVER)
+        out = []
+        for side in (1, 0):
+            node, up, spine = nodes[0], NEVER, []
+            while True:
+                spine.append((node[0], up))
+                if node[1] is None:
+                    break
+                node, up = node[1][side], self.ranks[node[0]]
+            out.append(spine[::-1])
+        return tuple(out)
 
     def _fits(self, left: int, right: int) -> bool:
-        return self.merge(self.names[left] + self.names[right]) == [left, right]
+        """Whether merging the bytes of both gives both: no two tokens that meet at the seam are merged there.
+
+        Tokens at the seam give way as they are merged with others of their
+        side, in the order of ranks; of equal ranks the left goes first.
+        """
+        a, b = self.edges(left), self.edges(right)
+        if a is None or b is None:
+            return False
+        i = j = 0
+        rank_of = self.ranks.get
+        while True:
+            (x, up_x), (y, up_y) = a[0][i], b[1][j]
+            rank = rank_of(x + y, NEVER)
+            if rank < up_x and rank <= up_y and rank != NEVER:
+                return False
+            if up_x <= up_y:
+                if up_x == NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
 
     def _shorter(self, token: bytes) -> int | None:
         """The longest token that the token's bytes begin with, itself left out."""
@@ -101,14 +151,14 @@ class ByteBpe:
 
     def _trace(self, longest: list[int], start: int, stop: int) -> list[int]:
         """Tokens of the bytes from ``start`` to ``stop``, given the longest token at each of them."""
-        sizes, fits, shorter = self.sizes, self.fits, self.shorter
+        sizes, fits, edges, shorter = self.sizes, self.fits, self.edges, self.shorter
         out: list[int] = []
         left_for_good: set[int] = set()
         at, last, token = start, None, longest[start]
         while at < stop:
             while token is not None:
                 end = at + sizes[token]
-                if (self.whole(token) if last is None else fits(last, token)) and end not in left_for_good:
+                if (edges(token) is not None if last is None else fits(last, token)) and end not in left_for_good:
                     break
                 token = shorter[token]
             if token is not None:
@@ -124,23 +174,22 @@ class ByteBpe:
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Tokens of each piece as little-endian 32-bit integers."""
         out: list[bytes | None] = []
-        rest: list[int] = []
-        spelled: list[str] = []
+        rest: list[tuple[int, bytes]] = []
         for i, piece in enumerate(pieces):
             raw = piece.encode()
             rank = self.ranks.get(raw)
-            out.append(None if rank is None else rank.to_bytes(4, "little"))
+            out.append(None if rank is None else self.packed[rank])
             if rank is None:
-                rest.append(i)
-                spelled.append(raw.decode("latin-1"))
+                rest.append((i, raw))
         if rest:
-            longest = [0] * (sum(map(len, spelled)) + len(spelled))  # one more at the end of each piece, never used
-            for end, (rank, n) in self.automaton.iter(BETWEEN.join(spelled)):
-                longest[end - n + 1] = rank  # ends rise, so the longest comes last
+            # The longest token at each byte: its own, unless a match starts there; ends rise, so the longest comes last.
+            longest = list(map(self.single.__getitem__, b"\0".join([raw for _, raw in rest]) + b"\0"))
+            for end, (rank, before) in self.automaton.iter(BETWEEN.join([raw.decode("latin-1") for _, raw in rest])):
+                longest[end - before] = rank
             at = 0
-            for i, piece in zip(rest, spelled, strict=True):
-                out[i] = np.array(self._trace(longest, at, at + len(piece)), dtype="<u4").tobytes()
-                at += len(piece) + 1
+            for i, raw in rest:
+                out[i] = b"".join(map(self.packed.__getitem__, self._trace(longest, at, at + len(raw))))
+                at += len(raw) + 1
         return out
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
@@ -155,8 +204,7 @@ class ByteBpe:
         are looked up whole; texts with a space beside other white space are
         split by the pattern.
         """
-        words = [t.split(" ") if t and self.cut_by_spaces else None for t in texts]
-        words = [w if w and "" not in w and not any(x[0].isspace() for x in w if x[0] <= " " or x[0] > "~") else None for w in words]
+        words = [words_between_spaces(t) if t and self.cut_by_spaces else None for t in texts]
         get = self.words.learn(set().union(*(w[1:] for w in words if w)))
         out: list[bytes | None] = []
         for text, w in zip(texts, words, strict=True):
@@ -180,6 +228,10 @@ class ByteBpe:
         return b"".join(map(self.names.__getitem__, ids))
 
 
+def read_names(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
 def opened(path: str, pattern: str) -> ByteBpe:
     return once_a_worker(("byte_bpe", path, pattern), lambda: ByteBpe(read_ranks(path), pattern))
 
@@ -224,7 +276,7 @@ def unpacked(ids: str = "ids") -> F.Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), number)).when(n == 0, F.array().cast("array<long>"))
 
 
-def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
+def decode(tokens: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """The bytes of packed ids, as a further column ``into``; other columns pass through.
 
     Null ids give null, empty ids empty bytes; an id that the vocabulary does
@@ -235,11 +287,11 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids", into: s
     plain = tokens.toDF(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = opened(path, pattern)
+        name = once_a_worker(("byte_bpe names", path), lambda: read_names(path)).__getitem__
         for batch in batches:
             for part in text_slices(batch, at):
                 packed = part.column(at).to_pylist()
-                texts = [None if x is None else own.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in packed]
+                texts = [None if x is None else b"".join(map(name, np.frombuffer(x, dtype="<u4").tolist())) for x in packed]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*names, "decoded"])
 
     out = plain.mapInArrow(run, f"{_fields(plain)}, decoded binary")
