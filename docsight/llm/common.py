@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 from collections.abc import Callable, Hashable, Iterator
 from types import ModuleType
 from typing import Any
@@ -42,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The table, written as Parquet to the shared checkpoint folder and read again: smaller than ``cut``, and read by columns."""
+    at = f"{checkpoint_dir(df.sparkSession)}/docsight-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def utf8(column: str) -> Column:
     """The text as bytes: Python then neither decodes nor fails on broken UTF-8."""
     return F.col(column).cast("binary")
@@ -101,3 +109,9 @@ class Memo:
             now.update(zip(fresh, self.make(fresh), strict=True))
         self.held += sum(map(len, new))
         return self.now.__getitem__
+
+
+def words_between_spaces(text: str) -> list[str] | None:
+    """The words of a text with single spaces between them; None if a space may stand beside other white space or an end."""
+    words = text.split(" ")
+    return None if "" in words or any(map(str.isspace, {w[0] for w in words})) else words

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, hnsw, langid, lm_score, mixing, quality, sentencepiece_scan, sharding, simhash, url_filter
+from . import alignment, byte_bpe, chat, divergence, hnsw, langid, lm_score, mixing, quality, sentencepiece_scan, sharding, simhash, url_filter
 from .common import cut, table
 
 
@@ -189,11 +189,51 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     tokens = byte_bpe.encode(docs, *vocabulary, ["doc_id"])
-    return byte_bpe.decode(tokens, *vocabulary).select(
+    return byte_bpe.decode(tokens, vocabulary[0]).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.count_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+with d as (
+  select coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text, row_number() over () as r from documents),
+w as (
+  select lang, source, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term from w group by all having count(distinct r) >= 30),
+c as (select lang, source, term, count(*) as n from w join kept using (lang, term) group by all),
+v as (select lang, count(*) as v from kept group by 1),
+g as (select lang, source, coalesce(any_value(v), 0) as v, coalesce(sum(n), 0) as total
+      from (select distinct lang, source from d) left join v using (lang) left join c using (lang, source) group by all),
+p as (
+  select lang, source, term, coalesce(n, 0) as n, 1 + 1000000000::hugeint * (coalesce(n, 0) + 5) // (total::hugeint + 5 * v) as p
+  from g join kept using (lang) left join c using (lang, source, term)),
+whole as (select lang, term, sum(n) as n from p group by lang, term),
+q as (
+  select lang, term, 1 + 1000000000::hugeint * (n + 5)::hugeint // (sum(n) over (partition by lang) + 5 * count(*) over (partition by lang))::hugeint as q
+  from whole),
+f as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(sum(abs(x.p - y.p)), 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join p x on x.lang = a.lang and x.source = a.source left join p y on y.lang = b.lang and y.source = b.source and y.term = x.term
+  where x.term is null or y.term is not null
+  group by all
+  union all
+  select lang, source, 'term', term, p - q from p join q using (lang, term) where n > 0 and p > q)
+select lang, source, part, item, cast(value as bigint) as value,
+       cast(row_number() over (partition by lang, source, part order by value desc, encode(item)) as integer) as rank
+from f qualify part = 'pair' or rank <= 50
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -201,9 +241,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = (op1_sharding, op2_language, op3_sentencepiece, op4_url_filter, op5_simhash, op6_lm_score, op7_embedding_dedup, op8_mixing, op9_chat, op10_quality, op11_byte_bpe, pipeline)
+    names = (op1_sharding, op2_language, op3_sentencepiece, op4_url_filter, op5_simhash, op6_lm_score, op7_embedding_dedup, op8_mixing, op9_chat, op10_quality, op11_byte_bpe, op12_alignment, op13_divergence, pipeline)
     return {f.__name__: f for f in names}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op10_quality": OP10_SQL}
+    return {"op4_url_filter": OP4_SQL, "op10_quality": OP10_SQL, "op13_divergence": OP13_SQL}
