@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -30,7 +31,12 @@ from pyspark.sql import functions as F
 from .common import Memo, once_a_worker, text_slices, utf8, words_between_spaces, written
 
 #: Characters of words that a worker remembers for each tokenizer, in each of two generations.
-REMEMBERED = 2_000_000
+REMEMBERED = 700_000
+#: Words that a library encodes at a time, and bytes of text that are aligned at a time.
+WORDS_AT_A_TIME = 2048
+PART_BYTES = 1 << 20
+#: Stands for ids that do not spell their text: no id has its bytes.
+UNSPELLED = b"\xff\xff\xff\xff"
 #: Links (of distinct ids of a group) that are spread out at a time.
 AT_A_TIME = 4_000_000
 #: Sums of pairs in a block.
@@ -66,12 +72,15 @@ class Side:
             self.sizes[i] = len(name)
         self.memo = Memo(self._encode, REMEMBERED)
 
-    def spells(self, ids: list[int], text: str) -> bool:
-        return b"".join(map(self.names.__getitem__, ids)) == text.encode()
-
-    def _encode(self, texts: list[str]) -> list[bytes | None]:
-        """Packed ids; None where the tokens' bytes are not the space and the text."""
-        return [np.array(ids, dtype="<u4").tobytes() if self.spells(ids, " " + t) else None for t, ids in zip(texts, self.encode(texts), strict=True)]
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids; ``UNSPELLED`` where the tokens' bytes are not the space and the text."""
+        out: list[bytes] = []
+        name = self.names.__getitem__
+        for at in range(0, len(texts), WORDS_AT_A_TIME):
+            some = texts[at : at + WORDS_AT_A_TIME]
+            for text, ids in zip(some, self.encode(some), strict=True):
+                out.append(array("I", ids).tobytes() if b"".join(map(name, ids)) == b" " + text.encode() else UNSPELLED)
+        return out
 
     def encode_all(self, texts: list[str]) -> list[bytes | None]:
         """Packed ids of a space and each text; None where their bytes are other than these."""
@@ -79,11 +88,8 @@ class Side:
         get = self.memo.learn(set().union(*filter(None, split)))
         out: list[bytes | None] = []
         for text, words in zip(texts, split, strict=True):
-            if words:
-                packed = list(map(get, words))
-                out.append(None if None in packed else b"".join(packed))
-            else:
-                out += self._encode([text]) if text else [b""]
+            packed = b"".join(map(get, words)) if words else self._encode([text])[0] if text else b""
+            out.append(None if UNSPELLED in packed else packed)
         return out
 
 
@@ -228,7 +234,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, keep: list[str], text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = sides(path_a, path_b)
         for batch in batches:
-            for part in text_slices(batch, len(slots)):
+            for part in text_slices(batch, len(slots), PART_BYTES):
                 x = Aligned(*both, _texts(part.column(len(slots))))
                 upto_a, upto_b = np.r_[0, np.cumsum(x.in_a)], np.r_[0, np.cumsum(x.in_b)]
                 start_a, start_b = np.cumsum(x.n_a) - x.n_a, np.cumsum(x.n_b) - x.n_b
@@ -272,7 +278,7 @@ def _parts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         both = sides(path_a, path_b)
         part_id = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in text_slices(batch, 1):
+            for part in text_slices(batch, 1, PART_BYTES):
                 x = Aligned(*both, _texts(part.column(1)))
                 digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in x.texts()]
                 one = lambda v: pa.array([v.tolist()], pa.list_(pa.int64()))
