@@ -652,7 +652,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ask.context(asked, docs, _vectors(t)[1], k=10, cap=4000)
 
 
-from . import catalog_audit  # noqa: E402, F401  (registers its queries)
+from . import catalog_audit, catalog_replies  # noqa: E402, F401  (register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

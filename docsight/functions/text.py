@@ -57,6 +57,27 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"(?<=[。！？])|(?<=[.!?])\s+(?=[A-Z0-9\"'])"), lambda s: F.trim(s) != "")
 
 
+# Abbreviations whose full stops end no sentence, those with two stops and those with one.
+TWO_STOPS = ("e.g", "i.e", "u.s", "a.m", "p.m")
+ONE_STOP = ("etc", "vs", "mr", "mrs", "ms", "dr", "st", "no", "fig", "al", "cf", "approx")
+#: Stands for a full stop that ends no sentence.
+MASKED = "\x01"
+#: A sentence with the marks and line ends behind it.
+PIECE = r"([^.!?…\n]*[.!?…\n]+|[^.!?…\n]+)"
+
+
+def masked(text: Column) -> Column:
+    """The text with the full stops of abbreviations and those behind digits masked, each by one character.
+
+    Abbreviations are whole words in any case.
+    """
+    for one in TWO_STOPS:
+        a, b = one.split(".")
+        text = F.regexp_replace(text, rf"(?i)(^|[^\p{{L}}\p{{N}}])({a})\.({b})\.", f"$1$2{MASKED}$3{MASKED}")
+    text = F.regexp_replace(text, rf"(?i)(^|[^\p{{L}}\p{{N}}])({'|'.join(ONE_STOP)})\.", f"$1$2{MASKED}")
+    return F.regexp_replace(text, r"([0-9])\.", f"$1{MASKED}")
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """|a ∩ b| / |a ∪ b| of two arrays as sets; 0 for two empty ones."""
     either = F.size(F.array_union(a, b))

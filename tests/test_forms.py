@@ -107,18 +107,6 @@ def test_quotes_of_any_length_and_loose_ones(spark):
     assert sorted((r["item_id"], r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in ig.locate_loosely(loose, docs).collect()) == [(1, 3, texts[3]), (2, 3, "“red”"), (3, 1, "big red")]
 
 
-def test_guard_stream_in_order_and_with_flags(spark, tmp_path):
-    rows = [(1, 2, "et", False), (1, 1, "secr", False), (1, 3, " more", False), (2, 1, "take 5 mg", True), (3, 1, "take 5 mg", False)]
-    spark.createDataFrame(rows, "k int, n int, text string, health boolean").coalesce(1).write.parquet(f"{tmp_path}/in")
-    deltas = spark.readStream.schema("k int, n int, text string, health boolean").parquet(f"{tmp_path}/in")
-    out = guards.guard_stream(deltas, "k", "n", "text", ["secret"], {"health": [" mg"]})
-    out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
-    got = sorted((r["k"], r["passed"], r["blocked"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-    assert got == [(1, "", True), (1, "secr", False), (2, "take 5", True), (3, "take 5 mg", False)]
-    with pytest.raises(ValueError):
-        guards.guard_stream(deltas, "k", "n", "text", [])
-
-
 def test_finished_cases_as_they_come(spark, tmp_path):
     rows = [("a", True), ("a", False), ("b", True)]
     spark.createDataFrame(rows, "c string, ok boolean").coalesce(1).write.parquet(f"{tmp_path}/in")
