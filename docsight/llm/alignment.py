@@ -17,6 +17,7 @@ the parts of the corpus as a stream.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from array import array
 from collections.abc import Callable, Iterator
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import Memo, once_a_worker, text_slices, utf8, words_between_spaces, written
 
-#: Characters of words that a worker remembers for each tokenizer, in each of two generations.
-REMEMBERED = 700_000
+#: Characters of words that a worker remembers, in each of two generations.
+REMEMBERED = 1_200_000
 #: Words that a library encodes at a time, and bytes of text that are aligned at a time.
 WORDS_AT_A_TIME = 2048
 PART_BYTES = 1 << 20
@@ -57,56 +58,92 @@ def _byte_level() -> dict[str, int]:
 
 
 class Side:
-    """A tokenizer as a function of words: packed ids, and the bytes of each id.
+    """A tokenizer: the bytes of each id, and ``encode``, which gives the ids of a space and each text of a list.
 
-    ``encode`` gives the ids of a space and each text of a list.  If words
-    between single spaces may be encoded ``apart``, they are, and remembered.
+    ``apart`` says that words between single spaces may be encoded on their
+    own, ``exact`` that the bytes of a text's tokens are always its own.
     """
 
-    def __init__(self, names: dict[int, bytes], encode: Callable[[list[str]], list[list[int]]], apart: bool):
+    def __init__(self, names: dict[int, bytes], encode: Callable[[list[str]], list[list[int]]], apart: bool, exact: bool = False):
         if max(names, default=0) >> ID_BITS:
             raise ValueError(f"ids of {ID_BITS} bits at most")
-        self.names, self.encode, self.apart = names, encode, apart
+        self.names, self.encode, self.apart, self.exact = names, encode, apart, exact
         self.sizes = np.zeros(max(names, default=0) + 1, dtype=np.int64)
         for i, name in names.items():
             self.sizes[i] = len(name)
-        self.memo = Memo(self._encode, REMEMBERED)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def packed(self, texts: list[str]) -> list[bytes]:
         """Packed ids; ``UNSPELLED`` where the tokens' bytes are not the space and the text."""
-        out: list[bytes] = []
         name = self.names.__getitem__
+        found = self.encode(texts)
+        if self.exact:
+            return [array("I", ids).tobytes() for ids in found]
+        return [array("I", ids).tobytes() if b"".join(map(name, ids)) == b" " + text.encode() else UNSPELLED for text, ids in zip(texts, found, strict=True)]
+
+
+class Both:
+    """Two tokenizers, which look a text's words up once for both."""
+
+    def __init__(self, a: Side, b: Side):
+        self.a, self.b = a, b
+        self.memo = Memo(self._encode, REMEMBERED)
+
+    def _encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        out: list[tuple[bytes, bytes]] = []
         for at in range(0, len(texts), WORDS_AT_A_TIME):
             some = texts[at : at + WORDS_AT_A_TIME]
-            for text, ids in zip(some, self.encode(some), strict=True):
-                out.append(array("I", ids).tobytes() if b"".join(map(name, ids)) == b" " + text.encode() else UNSPELLED)
+            out += zip(self.a.packed(some), self.b.packed(some), strict=True)
         return out
 
-    def encode_all(self, texts: list[str]) -> list[bytes | None]:
-        """Packed ids of a space and each text; None where their bytes are other than these."""
-        split = [words_between_spaces(t) if t and self.apart else None for t in texts]
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
+        """Packed ids of a space and each text by both; with ``UNSPELLED`` among them where their bytes are other than these."""
+        apart = self.a.apart and self.b.apart
+        split = [words_between_spaces(t) if t and apart else None for t in texts]
         get = self.memo.learn(set().union(*filter(None, split)))
-        out: list[bytes | None] = []
+        out = []
         for text, words in zip(texts, split, strict=True):
-            packed = b"".join(map(get, words)) if words else self._encode([text])[0] if text else b""
-            out.append(None if UNSPELLED in packed else packed)
+            if words:
+                found = list(map(get, words))
+                out.append((b"".join([x for x, _ in found]), b"".join([y for _, y in found])))
+            else:
+                out += self._encode([text]) if text else [(b"", b"")]
         return out
 
 
+# Fixed value: how byte-level tokenizers split a text.
+BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def byte_level_side(path: str) -> Side:
-    """A byte-level BPE vocabulary of the tokenizers library; strings of special tokens are plain text."""
+    """A byte-level BPE vocabulary file of the tokenizers library; strings of special tokens are plain text.
+
+    If every merge makes the token of the next id, ids are ranks, and the
+    faster encoder by ranks gives the same tokens; else the library encodes.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    spelled = _byte_level()
+    names = {i: bytes(spelled[c] for c in entry) for entry, i in held["model"]["vocab"].items() if set(entry) <= spelled.keys()}
+    ids = {name: i for i, name in names.items()}
+    merged = [ids.get(bytes(spelled[c] for c in "".join(m if isinstance(m, list) else m.split(" ", 1)))) for m in held["model"]["merges"]]
+    exact = held["normalizer"] is None and all(bytes([b]) in ids for b in range(256))
+    before = held["pre_tokenizer"]
+    plain = before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
+    if exact and plain and merged == list(range(256, 256 + len(merged))) and len(ids) == len(names) == 256 + len(merged):
+        import tiktoken
+
+        ranks = tiktoken.Encoding("byte level", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ids, special_tokens={})
+        return Side(names, lambda texts: [ranks.encode_ordinary(" " + t) for t in texts], apart=True, exact=True)
+    return Side(names, library_encode(path), apart=plain, exact=exact)
+
+
+def library_encode(path: str) -> Callable[[list[str]], list[list[int]]]:
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True
-    spelled = _byte_level()
-    names = {i: bytes(spelled[c] for c in entry) for entry, i in library.get_vocab(with_added_tokens=False).items() if set(entry) <= spelled.keys()}
-
-    def encode(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-
-    return Side(names, encode, apart=True)
+    return lambda texts: [e.ids for e in library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
 def piece_side(path: str) -> Side:
@@ -121,26 +158,26 @@ def piece_side(path: str) -> Side:
     return Side(names, lambda texts: library.encode(texts, num_threads=1), apart)
 
 
-def sides(path_a: str, path_b: str) -> tuple[Side, Side]:
-    return once_a_worker(("alignment", path_a, path_b), lambda: (byte_level_side(path_a), piece_side(path_b)))
+def sides(path_a: str, path_b: str) -> Both:
+    return once_a_worker(("alignment", path_a, path_b), lambda: Both(byte_level_side(path_a), piece_side(path_b)))
 
 
 class Aligned:
     """The tokens of some texts, aligned."""
 
-    def __init__(self, a: Side, b: Side, texts: list[str | None]):
+    def __init__(self, both: Both, texts: list[str | None]):
         """Null and empty texts, and those that the tokens of a side do not spell, have no tokens."""
         given = [t or "" for t in texts]
-        packed_a, packed_b = a.encode_all(given), b.encode_all(given)
-        good = [bool(t) and x is not None and y is not None for t, x, y in zip(given, packed_a, packed_b, strict=True)]
+        packed = both.encode_all(given)
+        good = [bool(t) and UNSPELLED not in x and UNSPELLED not in y for t, (x, y) in zip(given, packed, strict=True)]
         self.docs = len(texts)
-        self.a, self.of_a = self._ids(packed_a, good)
-        self.b, self.of_b = self._ids(packed_b, good)
-        end_a, end_b = np.cumsum(a.sizes[self.a]), np.cumsum(b.sizes[self.b])
+        self.a, self.of_a = self._ids([x for x, _ in packed], good)
+        self.b, self.of_b = self._ids([y for _, y in packed], good)
+        end_a, end_b = np.cumsum(both.a.sizes[self.a]), np.cumsum(both.b.sizes[self.b])
         length = int(end_a[-1]) + 1 if len(end_a) else 1
         # A place where tokens of both end: the number of such places before a token's end is its group.
-        both = (np.bincount(end_a, minlength=length) > 0) & (np.bincount(end_b, minlength=length) > 0)
-        upto = np.cumsum(both)
+        cuts = (np.bincount(end_a, minlength=length) > 0) & (np.bincount(end_b, minlength=length) > 0)
+        upto = np.cumsum(cuts)
         self.group_a, self.group_b = upto[end_a - 1], upto[end_b - 1]
         self.groups = int(upto[-1])
         self.in_a = np.bincount(self.group_a, minlength=self.groups)
@@ -152,7 +189,7 @@ class Aligned:
         links = np.r_[0, np.cumsum(self.in_a * self.in_b)]
         self.n_groups, self.n_links = np.diff(self.last), np.diff(links[self.last])
 
-    def _ids(self, packed: list[bytes | None], good: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, packed: list[bytes], good: list[bool]) -> tuple[np.ndarray, np.ndarray]:
         kept = [p if g else b"" for p, g in zip(packed, good, strict=True)]
         return np.frombuffer(b"".join(kept), dtype="<u4").astype(np.int64), np.repeat(np.arange(len(kept)), [len(k) // 4 for k in kept])
 
@@ -235,7 +272,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, keep: list[str], text: str
         both = sides(path_a, path_b)
         for batch in batches:
             for part in text_slices(batch, len(slots), PART_BYTES):
-                x = Aligned(*both, _texts(part.column(len(slots))))
+                x = Aligned(both, _texts(part.column(len(slots))))
                 upto_a, upto_b = np.r_[0, np.cumsum(x.in_a)], np.r_[0, np.cumsum(x.in_b)]
                 start_a, start_b = np.cumsum(x.n_a) - x.n_a, np.cumsum(x.n_b) - x.n_b
                 of = np.repeat(np.arange(x.docs), x.n_groups)
@@ -279,7 +316,7 @@ def _parts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         part_id = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in text_slices(batch, 1, PART_BYTES):
-                x = Aligned(*both, _texts(part.column(1)))
+                x = Aligned(both, _texts(part.column(1)))
                 digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in x.texts()]
                 one = lambda v: pa.array([v.tolist()], pa.list_(pa.int64()))
                 shown = [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), *map(one, (x.n_a, x.n_b, x.n_groups, x.n_links)), pa.array([digests], pa.list_(pa.string()))]
