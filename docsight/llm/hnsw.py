@@ -1,7 +1,8 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one for each shard.
 
 Every two shards meet once: the vectors of one query the graph of the other,
-the shards taking turns, and a shard's vectors query its own graph.  A beam
+the shards taking turns, and a shard's vectors query its own graph, where a
+link counts whichever of its ends finds it.  A beam
 that comes back full of links is widened until its worst entry is no link any
 more, and a shard's least beam is doubled until an audit passes: of probes
 made at exactly the threshold's distance from known vectors, each must find
@@ -196,6 +197,40 @@ class Shard:
                 rows, width = rows[full], width * 4
 
 
+    def own_links(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each of the shard's vectors the weight of those it links with, and the smallest position of its class.
+
+        A pair counts once for each of its ends, whichever end's search found
+        it.  Pairs are not kept: what was found from a vector and what was
+        found to it are summed as hashes, and only vectors whose sums differ
+        are searched again for the pairs that one end alone found.
+        """
+        n = len(self.ids)
+        count, labels = np.zeros(n, dtype=np.int64), np.arange(n)
+        gone, come = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
+        for i, j in self.links(self.unit):
+            i, j = i[i != j], j[i != j]
+            key = (np.minimum(i, j) * n + np.maximum(i, j)).astype(np.uint64) + np.uint64(1)
+            with np.errstate(over="ignore"):
+                key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                np.add.at(gone, i, key)
+                np.add.at(come, j, key)
+            np.add.at(count, i, self.weights[j])
+            merge_labels(labels, i, j)
+        odd = np.flatnonzero(gone != come)
+        is_odd = gone != come
+        found = [np.zeros(0, dtype=np.int64)]
+        for i, j in self.links(self.unit[odd]):
+            i = odd[i]
+            both = is_odd[j] & (i != j)
+            found.append(i[both] * n + j[both])
+        pairs = np.concatenate(found)
+        lone = pairs[~np.isin(pairs % n * n + pairs // n, pairs)] if len(pairs) else pairs
+        np.add.at(count, lone % n, self.weights[lone // n])
+        return count, labels
+
+
 def usable(column: str) -> Column:
     """True for a vector without null or non-finite components and not all zero."""
     bad = F.exists(column, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -230,19 +265,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     )
     shards = max(MIN_SHARDS, -(-groups.count() // SHARD_ROWS))
     base = groups.select(F.pmod(F.xxhash64("head"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("asks"), "head", "times", "v")
-    # Shard a asks shard a itself and the half of the shards that follow it, so any two meet once.
+    # Shard a asks the half of the shards that follow it, so any two meet once; its own vectors it holds already.
     home = F.pmod(F.xxhash64("head"), F.lit(shards)).cast("int")
-    ahead = F.filter(F.sequence(F.lit(0), F.lit(shards // 2)), lambda s: (2 * s < shards) | (home < shards // 2))
+    ahead = F.filter(F.sequence(F.lit(1), F.lit(shards // 2)), lambda s: (2 * s < shards) | (home < shards // 2))
     asks = (
         groups.select(home.alias("home"), F.explode(ahead).alias("step"), "head", "times", "v")
-        .select(F.pmod(F.col("home") + F.col("step"), F.lit(shards)).cast("int").alias("shard"), F.when(F.col("step") == 0, 1).otherwise(2).alias("asks"), "head", "times", "v")
+        .select(F.pmod(F.col("home") + F.col("step"), F.lit(shards)).cast("int").alias("shard"), F.lit(1).alias("asks"), "head", "times", "v")
     )
     dealt = base.unionByName(asks).repartitionById(shards, "shard").sortWithinPartitions("shard", "asks", "head")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, ready = None, [], {}
 
-        def answer(ids: np.ndarray, times: np.ndarray, values: list, own_shard: bool, out: list) -> None:
+        def shown(out: list) -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "n"])
+
+        def tell(names: np.ndarray, count: np.ndarray, labels: np.ndarray, out: list) -> None:
+            some = count > 0
+            out.append((names[some], names[some], count[some]))
+            linked = np.flatnonzero(labels != np.arange(len(labels)))
+            out.append((names[linked], names[labels[linked]], np.zeros(len(linked), dtype=np.int64)))
+
+        def answer(ids: np.ndarray, times: np.ndarray, values: list, out: list) -> None:
             sizes = np.array([len(v) for v in values])
             for d in np.unique(sizes):
                 if int(d) not in ready:
@@ -255,17 +300,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
                 labels = np.arange(len(everyone))
                 count = np.zeros(len(everyone), dtype=np.int64)
                 for i, j in s.links(x):
-                    once = s.ids[j] > own[i] if own_shard else s.ids[j] != own[i]
-                    i, j = i[once], j[once]
                     np.add.at(count, place[len(s.ids) + i], s.weights[j])
                     np.add.at(count, place[j], times[at][i])
                     merge_labels(labels, place[len(s.ids) + i], place[j])
-                some = count > 0
-                out.append((everyone[some], everyone[some], count[some]))
-                linked = np.flatnonzero(labels != np.arange(len(labels)))
-                out.append((everyone[linked], everyone[labels[linked]], np.zeros(len(linked), dtype=np.int64)))
+                tell(everyone, count, labels, out)
 
-        def build() -> None:
+        def build(out: list) -> None:
             ready.clear()
             by: dict[int, list] = {}
             for row in held:
@@ -273,6 +313,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
             for d, own in by.items():
                 ids, weights, v = zip(*own, strict=True)
                 ready[d] = Shard(np.array(ids, dtype=np.int64), np.array(weights, dtype=np.int64), np.array(v, dtype=np.float64), threshold)
+                tell(ready[d].ids, *ready[d].own_links(), out)
             held.clear()
 
         for batch in batches:
@@ -283,16 +324,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
             for a, b in zip([0, *edges], [*edges, len(shard)], strict=True):
                 vectors_ = [np.asarray(x.values) for x in values.slice(a, b - a)]
                 if shard[a] != now:
-                    now, held = shard[a], []
+                    if held:
+                        build(out)
+                    now = shard[a]
                     ready.clear()
                 if ask[a] == 0:
                     held += zip(ids[a:b], times[a:b], vectors_, strict=True)
                 else:
                     if held:
-                        build()
-                    answer(ids[a:b].astype(np.int64), times[a:b].astype(np.int64), vectors_, ask[a] == 1, out)
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "n"])
+                        build(out)
+                    answer(ids[a:b].astype(np.int64), times[a:b].astype(np.int64), vectors_, out)
+            yield shown(out)
+        if held:  # no other shard's vectors came after it
+            build(out := [])
+            yield shown(out)
 
     found = cut(dealt.mapInArrow(run, "a long, b long, n long"))
     counts = found.filter("n > 0").groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("head"), "n")
