@@ -3,7 +3,10 @@
 import hashlib
 import itertools
 import math
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -235,6 +238,45 @@ def test_lm_base_equals_brute_force_and_the_model_beats_it(spark):
     assert lm_score.score_documents(docs.limit(0)).count() == 0
 
 
+def test_lm_beats_the_base_on_held_out_documents(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        rows = [r for r in lm_score.score_documents(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect() if r["held_out"]]
+        tokens = sum(r["n_tokens"] for r in rows)
+        assert sum(r["score"] for r in rows) / tokens > sum(r["base_score"] for r in rows) / tokens + 0.1
+    assert sum(r["score"] > r["base_score"] for r in rows) > len(rows) / 2
+
+
+def test_lm_followers_are_a_distribution():
+    """What a gate leaves to spelling and what it gives to followers is 1 at most, and pairs are counted across texts' starts."""
+    keys = lm_score.pair_keys(np.array([3, 5, -1, 3, 0]))
+    assert keys.tolist() == [3, 3 << 32 | 5, -1, -1, 3 << 32]
+    counts = np.array([7, 0, 0, 9, 0, 4])
+    keys, n = np.array([3, 3 << 32, 3 << 32 | 5, 5 << 32 | 3]), np.array([7, 2, 6, 4])
+    share, rest = lm_score.trust(keys, n, counts, 20)
+    for word in (0, 3, 5):
+        assert share[keys >> 32 == word].sum() + rest[word] <= 1 + 1e-12
+    assert rest[[1, 2, 4]].tolist() == [1, 1, 1]
+
+
+def test_lm_runs_where_workers_lack_the_package(tmp_path):
+    """A run from another folder, with the package on the driver's path alone."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from docsight.llm import lm_score
+docs = spark.createDataFrame([(i, "one two three four") for i in range(40)], "doc_id long, text string")
+def lacks(_): 
+    import importlib.util
+    yield importlib.util.find_spec("docsight") is None
+print("lacks", all(spark.sparkContext.parallelize([0]).mapPartitions(lacks).collect()), "rows", lm_score.score_documents(docs).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "lacks True rows 40" in done.stdout, done.stderr[-2000:]
+
+
 def test_lm_order_of_words_counts_and_blocks_do_not(spark, monkeypatch):
     draw = random.Random(2)
     rows = [(i, " ".join(f"{'ab'[k % 2]}{draw.randrange(9)}{'.,'[k % 2]}" for k in range(40))) for i in range(200)]
@@ -293,6 +335,43 @@ def test_near_vectors_equal_brute_force(spark):
     assert hnsw.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_a_shard_counts_links_from_either_end():
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 12))
+    x = centres[rng.integers(0, 40, 1500)] + 0.16 * rng.standard_normal((1500, 12))
+    shard = hnsw.Shard(np.arange(1500), rng.integers(1, 4, 1500), x, 0.9)
+    shard.beam = 2  # so narrow that searches from two ends differ
+    found = [(i, j) for a, b in shard.links(shard.unit) for i, j in zip(a.tolist(), b.tolist()) if i != j]
+    either = set(found) | {p[::-1] for p in found}
+    one_way = either - set(found)
+    count, labels = shard.own_links()
+    assert one_way
+    want = np.zeros(1500, dtype=np.int64)
+    for i, j in either:
+        want[i] += shard.weights[j]
+    assert (count == want).all()
+    assert all(labels[i] == labels[j] for i, j in either)
+
+
+def test_near_vectors_row_by_row(spark):
+    """Every row's links and class against brute force; cosines of exactly the threshold link."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((120, 6))
+    x[60:] = x[:60] + 0.2 * rng.standard_normal((60, 6))
+    x[:4] = [[3, 4, 0, 0, 0, 0], [4, 3, 0, 0, 0, 0], [0, 0, 1, 0, 0, 0], [0, 0, 3, 4, 0, 0]]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.einsum("ik,jk->ij", u, u) >= 0.96
+    near[0, 1] = near[1, 0] = True  # 24 / 25, in whole numbers
+    np.fill_diagonal(near, False)
+    parts = list(range(120))
+    for i, j in zip(*np.nonzero(near), strict=True):
+        a, b = parts[i], parts[j]
+        parts = [min(a, b) if p in (a, b) else p for p in parts]
+    got = {r["vec_id"]: r for r in hnsw.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), threshold=0.96 - 1e-12).collect()}
+    assert [got[i]["n_links"] for i in range(120)] == near.sum(axis=1).tolist()
+    assert [got[i]["component_id"] for i in range(120)] == parts
+
+
 def test_vectors_without_ids_name_no_class(spark):
     x = np.eye(8)
     close = lambda i, by: (x[i] + by * x[(i + 1) % 8]).tolist()
