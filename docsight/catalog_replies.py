@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import forms as fm
 from .functions import replies
 from .functions import text as tx
 from .operators import cite, cited
@@ -95,6 +96,31 @@ def name_subsets(t):
     return cp.name_subsets(each.select("id", F.split("id", " ").alias("tokens")))
 
 
+_ENTITIES = """e as (select p_name as name, case when p_size % 3 = 0 then null else p_type end as type, p_partkey as place, [p_brand, ' '] as given from part
+  union all select 'The ' || p_name || 's', p_brand, p_partkey + 1000000000, null from part union all select p_type, null, p_partkey, [p_type] from part)"""
+
+
+@query(f"""with {_ENTITIES}, w as (select name, count(*) as n, {fm.form_sql("name")} as key, {fm.plural_sql("name")} as plural from e group by name),
+r as (select *, row_number() over (partition by key order by -n, plural, length(name), length(name) - length(replace(name, chr(39), '')), length(replace(name, '-', '')) - length(name), name) as place from w),
+k as (select key, max(case when place = 1 then name end) as canonical, count(*) as variants, sum(n) as mentions from r group by key),
+m as (select e.*, key from e join w using (name)),
+own as (select name, arg_min(type, place) as own from m where type is not null group by 1),
+common as (select key, arg_min(type, row(-n, type)) as common from (select key, type, count(*) as n from m where type is not null group by 1, 2) group by 1),
+a as (select key, trim(unnest(given)) as alias from m union select key, name from m)
+select k.key, canonical, coalesce(own, common, 'concept') as type, coalesce(array_to_string(list_sort(list(distinct a.alias) filter (where a.alias <> canonical and a.alias <> '')), ','), '') as aliases, variants, mentions
+from k left join own on own.name = k.canonical left join common on common.key = k.key left join a on a.key = k.key group by all""")
+def merged_entities(t):
+    p = t("part")
+    none = F.lit(None).cast("string")
+    rows = (
+        p.select(F.col("p_name").alias("name"), F.when(F.col("p_size") % 3 != 0, F.col("p_type")).alias("type"), F.col("p_partkey").alias("place"), F.array("p_brand", F.lit(" ")).alias("aliases"))
+        .unionByName(p.select(F.concat(F.lit("The "), "p_name", F.lit("s")).alias("name"), F.col("p_brand").alias("type"), (F.col("p_partkey") + 1_000_000_000).alias("place"), F.lit(None).cast("array<string>").alias("aliases")))
+        .unionByName(p.select(F.col("p_type").alias("name"), none.alias("type"), F.col("p_partkey").alias("place"), F.array("p_type").alias("aliases")))
+    )
+    out = cp.merged_entities(rows, "place")
+    return out.select("key", "canonical", "type", F.coalesce(F.array_join("aliases", ","), F.lit("")).alias("aliases"), "variants", F.col("mentions").cast("decimal(38,0)").alias("mentions"))
+
+
 @query("""with e as (select vec_id as id, label, cast(embedding as double[]) as v from embeddings),
 p as (select a.id, a.label, b.label = a.label as own, list_cosine_similarity(a.v, b.v) as s from e a join e b on a.id <> b.id)
 select id, label, round(max(s) filter (where own), 6) as own, round(max(s) filter (where not own), 6) as other from p group by 1, 2""")

@@ -88,3 +88,16 @@ def test_pages_without_blocks():
     assert ig.html_sections("<main>one\n\n two <b>x</b></main>aside") == [{"path": ig.INTRODUCTION, "paragraphs": ["one", "two\nx"]}]
     assert ig.html_sections("<script>x</script>") == [] and ig.html_sections(None) == []
     assert ig.html_sections("<div>a box of some text</div>")[0]["paragraphs"] == ["a box of some text"]
+
+
+def test_merged_entities(spark):
+    rows = [
+        (0, "Databases", "thing", ["DB"]), (1, "database", None, None), (2, "database", "store", ["db", " "]), (3, "database", "engine", []),
+        (4, "The index", None, None), (5, "index", None, [None]), (6, "Indices", "b", None), (7, "indices", "a", None), (8, " ", "x", None), (9, None, "x", None), (10, "plain", None, None),
+    ]
+    df = spark.createDataFrame(rows, "place int, name string, type string, aliases array<string>")
+    got = {r["key"]: tuple(r)[1:] for r in cp.merged_entities(df, "place").collect()}
+    assert got["database"] == ("database", "store", ["DB", "Databases", "db"], 2, 4)
+    assert got["index"][1] == "a" and set(got["index"][2]) | {got["index"][0]} == {"The index", "index", "Indices", "indices"}
+    assert got["plain"] == ("plain", "concept", [], 1, 1)
+    assert len(got) == 3 and cp.merged_entities(df.limit(0), "place").count() == 0
