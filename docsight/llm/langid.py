@@ -6,7 +6,7 @@ probabilities calibrated by one temperature.
 
 Document frequencies cover every training row.  The regression itself is
 fitted on a bounded sample: at most about ``SAMPLE_ROWS`` labelled rows, as
-evenly over the languages as they allow, chosen by a hash of doc_id.
+evenly over the languages as they allow, chosen by a hash of doc_id and text.
 """
 
 from __future__ import annotations
