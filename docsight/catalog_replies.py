@@ -137,7 +137,7 @@ def short_quotes(t):
 
 
 @query(r"""with p as (select doc_id, unnest(regexp_split_to_array(replace(translate(text, '<>&', '   '), chr(10), chr(10) || chr(10)), '\n\s*\n')) as part from documents)
-select doc_id, '引言' as path, count(*) as paragraphs, sum(length(part)) as chars from (select doc_id, trim(part, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as part from p) where part <> '' group by 1""")
+select doc_id, '引言' as path, count(*) as paragraphs, cast(sum(length(part)) as bigint) as chars from (select doc_id, trim(part, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as part from p) where part <> '' group by 1""")
 def bare_pages(t):
     """Pages of nothing but text between blank lines."""
     html = F.concat(F.lit("<b>"), F.replace(F.translate("text", "<>&", "   "), F.lit("\n"), F.lit("\n\n")), F.lit("</b>"))

@@ -163,8 +163,10 @@ def first_object(text: Column) -> Column:
 
 
 def values_of(json: Column, key: str, length: int | None = None) -> Column:
-    """Distinct string values of a key at any depth of a JSON text, sorted; only those of the given length, if one is given."""
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(_text(json), F.lit(rf'"{key}"\s*:\s*"((?:[^"\\]|\\.)*)"'), 1)))
+    """Distinct string values of a key at any depth of a JSON text, escapes undone, sorted; only those of the given length, if one is given."""
+    raw = F.regexp_extract_all(_text(json), F.lit(rf'"{key}"\s*:\s*("(?:[^"\\]|\\.)*")'), 1)
+    plain = F.from_json(F.concat(F.lit("["), F.array_join(raw, ","), F.lit("]")), "array<string>")
+    found = F.array_sort(F.array_distinct(F.array_compact(F.coalesce(plain, F.array().cast("array<string>")))))
     return found if length is None else F.filter(found, lambda v: F.length(v) == length)
 
 

@@ -5,7 +5,9 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from docsight.functions import forms as fm
 from docsight.functions.replies import repair_json
 from docsight.operators import cite
 from docsight.operators import compile as cp
@@ -101,3 +103,9 @@ def test_merged_entities(spark):
     assert got["index"][1] == "a" and set(got["index"][2]) | {got["index"][0]} == {"The index", "index", "Indices", "indices"}
     assert got["plain"] == ("plain", "concept", [], 1, 1)
     assert len(got) == 3 and cp.merged_entities(df.limit(0), "place").count() == 0
+
+
+def test_values_of_undo_escapes(spark):
+    rows = [('{"k": "a\\"b", "x": [{"k": "\\u00e9"}, {"k": 5}, {"other": "k"}]}',), ("{}",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "j string").select(fm.values_of(F.col("j"), "k")).collect()]
+    assert got == [['a"b', "é"], [], []]
