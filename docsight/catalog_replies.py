@@ -121,6 +121,30 @@ def merged_entities(t):
     return out.select("key", "canonical", "type", F.coalesce(F.array_join("aliases", ","), F.lit("")).alias("aliases"), "variants", F.col("mentions").cast("decimal(38,0)").alias("mentions"))
 
 
+@query("""with p as (select *, p_partkey % 9 as k, split_part(p_name, ' ', 2) as w from part)
+select p_partkey, case when k in (6, 7, 8) then 'edge' else 'skipped' end as status,
+  case k when 0 then 'predicate_pending' when 1 then 'no_subject' when 2 then 'subject_unusable' when 3 then 'subject_no_concept' when 4 then 'subject_made_up' when 5 then 'same_ends' else '' end as reason,
+  case k when 6 then p_type when 7 then w when 8 then w end as src, case k when 6 then 'creates' when 7 then 'is' when 8 then 'is' end as predicate,
+  case k when 6 then w when 7 then '' when 8 then p_type end as dst, case when k in (6, 7, 8) then k = 6 end as flipped from p""")
+def edge_reasons(t):
+    """Part names as claims, broken by rule: each reason why a claim makes no edge, and passive, unary and plain edges."""
+    k, word = F.col("p_partkey") % 9, F.split("p_name", " ")[1]
+    none = F.lit(None)
+    claims = t("part").select(
+        "p_partkey",
+        F.when(k == 1, " ").when(k == 2, "it").otherwise(F.col("p_name")).alias("subject"),
+        F.when(k == 7, none).when(k == 5, F.col("p_name")).otherwise(F.col("p_type")).alias("object"),
+        F.when(k == 6, "was written by").otherwise("is").alias("predicate"),
+        F.when(k == 0, "pending").alias("predicate_status"),
+        F.when(k == 6, "creates").alias("predicate_normalized"),
+        *[none.cast("string").alias(f"{end}_{c}") for end in ("subject", "object") for c in ("status", "resolved")],
+        F.when(k == 3, none).when(k == 4, "zzqq").otherwise(word).alias("subject_concept"),
+        F.when(k == 5, word).otherwise(F.col("p_type")).alias("object_concept"),
+        *[none.cast("array<string>").alias(c) for c in ("subject_sources", "object_sources", "known_names")],
+    )
+    return cp.edge_audit(claims, "p_partkey").select("p_partkey", "status", "reason", "src", "predicate", "dst", "flipped")
+
+
 @query("""with e as (select vec_id as id, label, cast(embedding as double[]) as v from embeddings),
 p as (select a.id, a.label, b.label = a.label as own, list_cosine_similarity(a.v, b.v) as s from e a join e b on a.id <> b.id)
 select id, label, round(max(s) filter (where own), 6) as own, round(max(s) filter (where not own), 6) as other from p group by 1, 2""")

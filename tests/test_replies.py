@@ -109,3 +109,32 @@ def test_values_of_undo_escapes(spark):
     rows = [('{"k": "a\\"b", "x": [{"k": "\\u00e9"}, {"k": 5}, {"other": "k"}]}',), ("{}",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "j string").select(fm.values_of(F.col("j"), "k")).collect()]
     assert got == [['a"b', "é"], [], []]
+
+
+def test_edge_audit(spark):
+    plain = dict.fromkeys("object predicate_status predicate_normalized subject_status subject_resolved subject_concept subject_sources object_status object_resolved object_concept object_sources known_names".split())
+    plain |= {"subject": "the red big dog", "predicate": "bites", "object": "a man in the park", "subject_concept": "red dog", "object_concept": "man"}
+    cases = [
+        ({}, ("edge", "", "red dog", "bites", "man")),
+        ({"predicate_status": "pending", "subject": ""}, ("skipped", "predicate_pending", None, None, None)),
+        ({"subject": None}, ("skipped", "no_subject", None, None, None)),
+        ({"object": " "}, ("edge", "", "red dog", "bites", "")),
+        ({"subject": "They"}, ("skipped", "subject_unusable", None, None, None)),
+        ({"subject": "They", "subject_status": "resolved", "subject_resolved": "two dogs"}, ("edge", "", "two dogs", "bites", "man")),
+        ({"object_status": "unresolved"}, ("skipped", "object_unusable", None, None, None)),
+        ({"object_concept": " "}, ("skipped", "object_no_concept", None, None, None)),
+        ({"object_concept": "when it rains"}, ("skipped", "object_clause", None, None, None)),
+        ({"object_concept": "human being"}, ("skipped", "object_made_up", None, None, None)),
+        ({"object_concept": "human being", "object_sources": ["park"]}, ("edge", "", "red dog", "bites", "human being")),
+        ({"object_concept": "human being", "known_names": ["Human being."]}, ("edge", "", "red dog", "bites", "human being")),
+        ({"object": "one more red-dog", "object_concept": "Red-dog"}, ("skipped", "same_ends", None, None, None)),
+        ({"predicate": "was bitten by", "predicate_normalized": "bites"}, ("edge", "", "man", "bites", "red dog")),
+    ]
+    schema = "id int, subject string, object string, predicate string, predicate_status string, predicate_normalized string, known_names array<string>"
+    schema += "".join(f", {e}_{c} {'array<string>' if c == 'sources' else 'string'}" for e in ("subject", "object") for c in ("status", "resolved", "concept", "sources"))
+    names = [f.split()[0] for f in schema.split(", ")]
+    rows = [tuple(({"id": i} | plain | c).get(n) for n in names) for i, (c, _) in enumerate(cases)]
+    got = {r["id"]: r for r in cp.edge_audit(spark.createDataFrame(rows, schema), "id").collect()}
+    for i, (case, want) in enumerate(cases):
+        assert tuple(got[i][c] for c in ("status", "reason", "src", "predicate", "dst")) == want, case
+    assert got[10]["dst_tier"] == "generalized" and got[13]["flipped"] and got[13]["surface"] == "was bitten by"
