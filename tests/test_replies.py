@@ -13,6 +13,7 @@ from docsight.operators import cite
 from docsight.operators import compile as cp
 from docsight.operators import ingest as ig
 from docsight.operators import judge as jd
+from docsight.operators import retrieve as rt
 
 REPLIES = [
     (None, None, []),
@@ -138,3 +139,17 @@ def test_edge_audit(spark):
     for i, (case, want) in enumerate(cases):
         assert tuple(got[i][c] for c in ("status", "reason", "src", "predicate", "dst")) == want, case
     assert got[10]["dst_tier"] == "generalized" and got[13]["flipped"] and got[13]["surface"] == "was bitten by"
+
+
+def test_gram_coverage_is_the_same_looked_up_and_joined(spark, monkeypatch):
+    draw = random.Random(4)
+    say = lambda n: "".join(draw.choices("ab😀 ", k=n))
+    docs = [(i, say(draw.randrange(300))) for i in range(30)] + [(40, None), (41, "")]
+    items = [(i, docs[i][1][5:60] + say(20)) for i in range(8)] + [(20, "short"), (21, None)]
+    d = spark.createDataFrame(docs, "doc_id int, text string")
+    b = spark.createDataFrame(items, "item_id int, text string")
+    held = {t[i : i + 6] for _, t in docs for i in range(len(t or "") - 5)}
+    want = {i: round(len(g & held) / len(g), 4) for i, t in items if (g := {(t or "")[k : k + 6] for k in range(len(t or "") - 5)}) and len(t or "") >= 6}
+    for bound in (rt.LOOKED_UP, 3):
+        monkeypatch.setattr(rt, "LOOKED_UP", bound)
+        assert {r["item_id"]: r["coverage"] for r in rt.gram_coverage(b, d, 6).collect()} == want
