@@ -239,11 +239,10 @@ def test_lm_base_equals_brute_force_and_the_model_beats_it(spark):
 
 
 def test_lm_beats_the_base_on_held_out_documents(spark):
-    for sf in ("sf0.001", "sf0.01"):
-        rows = [r for r in lm_score.score_documents(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect() if r["held_out"]]
-        tokens = sum(r["n_tokens"] for r in rows)
-        assert sum(r["score"] for r in rows) / tokens > sum(r["base_score"] for r in rows) / tokens + 0.1
-    assert sum(r["score"] > r["base_score"] for r in rows) > len(rows) / 2
+    rows = [r for r in lm_score.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in rows)
+    assert sum(r["score"] for r in rows) / tokens > sum(r["base_score"] for r in rows) / tokens + 0.3
+    assert sum(r["score"] > r["base_score"] for r in rows) > 0.6 * len(rows)
 
 
 def test_lm_followers_are_a_distribution():
