@@ -257,6 +257,39 @@ def test_lm_followers_are_a_distribution():
     assert rest[[1, 2, 4]].tolist() == [1, 1, 1]
 
 
+def test_lm_mixers_learn_from_all_training_words(spark, monkeypatch):
+    """More words and contexts than the samples held that the mixers learned from before."""
+    draw = random.Random(4)
+    words = ["".join(draw.choices("abcdeü", k=draw.randrange(2, 12))) for _ in range(40_000)] + ["often"] * 5000
+    docs = spark.createDataFrame([(i, " ".join(words[i::300])) for i in range(300)], "doc_id long, text string").repartition(3)
+    counted = lm_score.cut(lm_score.pack_words(lm_score.count_words(docs, 2))).filter("kind >= 0")
+    about, sc = counted.drop("payload").collect(), spark.sparkContext
+    over, shared = lm_score.overlaps(about), lm_score._shared_counts(counted, sc.broadcast(lm_score.overlaps(about)))
+    slots = lm_score._bit_counts(counted, sum(r["distinct"] for r in about), 16)
+    mixer = lm_score._train_mixer(counted, sc.broadcast(slots), 16, sc.broadcast(over), sc.broadcast(shared))
+    train = [w for i in range(300) if zlib.crc32(str(i).encode()) % 10 for w in words[i::300]]
+    assert (mixer.seen - lm_score.Mixer.fresh().seen).sum() == pytest.approx(8 * sum(len(w.encode()) for w in train), rel=1e-6)
+
+    held, events = [], lm_score.FirstBytes._events
+    monkeypatch.setattr(lm_score.FirstBytes, "_events", lambda self, upto: held.append(len(upto[0])) or events(self, upto))
+    contexts = np.arange(3000) << 2
+    lm_score.FirstBytes(contexts << 8 | 97, np.full(len(contexts), 3), 2)
+    assert sum(held) == len(contexts)
+
+
+def test_lm_texts_together_equal_texts_alone():
+    texts = [b"a bb  ccc\n", b"", b" \x00 x", "dd\x0bé".encode(), b"one"]
+    context, first, starts = lm_score.seams(texts, [0, 1, 2, 3, 15], 3)
+    alone = [lm_score.seams([t], [k], 3) for t, k in zip(texts, [0, 1, 2, 3, 15])]
+    assert context.tolist() == np.concatenate([a[0] for a in alone]).tolist() and first.tolist() == np.concatenate([a[1] for a in alone]).tolist()
+    assert np.diff(starts, append=len(first)).tolist() == [len(t.split()) + 1 for t in texts]
+    keys = np.unique(np.random.default_rng(5).integers(0, 1 << 40, 5000))
+    asked = np.concatenate([keys[::3], keys[::7] + 1, [-1]])
+    place = {k: i for i, k in enumerate(keys.tolist())}
+    assert lm_score.key_places(lm_score.key_slots(keys), keys, asked).tolist() == [place.get(k, -1) for k in asked.tolist()]
+    assert lm_score.key_places(lm_score.key_slots(keys[:0]), keys[:0], asked).max() == -1
+
+
 def test_lm_runs_where_workers_lack_the_package(tmp_path):
     """A run from another folder, with the package on the driver's path alone."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
