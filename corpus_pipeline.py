@@ -1,9 +1,9 @@
 """A corpus pipeline over ``documents``: five stages, each written as Parquet and read again.
 
 language ID -> quality rules -> near-dedup -> mixing -> SentencePiece.  The
-near-dedup stage links texts by exact similarity of their five-word shingles,
-which fingerprints of few differing bits would miss, so it is built of MinHash
-families (``docsight.llm.near_copies``) instead of the SimHash operator.
+near-dedup stage takes the SimHash operator's links of fingerprints and, for
+copies whose fingerprints lie further apart, MinHash bands, and decides all
+by exact similarity (``docsight.llm.near_copies``).
 Every stage but the last returns the columns of its input.
 """
 
@@ -44,7 +44,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near-duplicate texts: that of the smallest doc_id, then the first of equals.
 
-    Texts link at an exact Jaccard similarity of 0.8 or more of their sets of
+    Texts are proposed by the SimHash operator's links of five-word
+    fingerprints and by MinHash bands; they link at an exact Jaccard similarity of 0.8 or more of their sets of
     five-word shingles; a text of fewer words is one shingle, and texts without
     words, null ones too, are copies of one another.  Null doc_ids come last.  Very long texts are shingled whole,
     an empty table gives an empty result, and further columns pass through,

@@ -1,7 +1,9 @@
 """Near copies by exact Jaccard similarity of word shingles.
 
-Bands of MinHash values only propose: texts that share a band, through
-others too, form one family.  Inside a family every pair of different
+SimHash fingerprints of the shingles, linked by the operator of
+``simhash`` at ``APART`` differing bits or fewer, and bands of MinHash
+values, for the copies that lie further apart, only propose: texts that
+either links, through others too, form one family.  Inside a family every pair of different
 classes is compared exactly.  A family too large for a task is cut into
 tiles, each with the family's smallest member; then only members that are
 not in that member's class meet all tiles.  No group is capped.
@@ -18,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import cut, utf8
 from .components import connected_components, merge_labels
 
@@ -26,6 +29,8 @@ SEED = 42
 LEAST = (4, 5)
 #: Bands and values in each: a pair of similarity s shares none with probability (1 - s ** DEPTH) ** BANDS, 1.2e-8 at 0.8.
 BANDS, DEPTH = 60, 6
+#: Differing bits of linked fingerprints.
+APART = 4
 #: Shingles of a family that one tile holds, about.
 TILE_SHINGLES = 1 << 17
 
@@ -35,16 +40,27 @@ _PLUS = _DRAW.integers(0, 1 << 32, (BANDS * DEPTH, 1), dtype=np.uint32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(data: bytes | None, width: int = 5) -> np.ndarray:
-    """The sorted, distinct hashes of the lower-cased words' shingles; a text of fewer words is one shingle."""
+def shingled(data: bytes | None, width: int = 5) -> np.ndarray:
+    """The hashes of the lower-cased words' shingles, repeats included; a text of fewer words is one shingle."""
     words = (data or b"").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
     digest = xxhash.xxh64_intdigest
-    found = {digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[min(width, len(words)) - 1 :])}
-    return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
+    return np.array([digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[min(width, len(words)) - 1 :])], dtype=np.uint64)
+
+
+def shingles(data: bytes | None, width: int = 5) -> np.ndarray:
+    """The sorted, distinct hashes of ``shingled``."""
+    return np.unique(shingled(data, width))
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a text's ``shingled`` hashes; 0 without words."""
+    step = 1 << 16
+    counts = (simhash.bit_counts(hashes[at : at + step]) for at in range(0, len(hashes), step))
+    return simhash.majority(sum(counts, np.zeros(simhash.BITS, dtype=np.int64)), len(hashes))
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
@@ -85,28 +101,46 @@ def joined(sets: list[np.ndarray], asked: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns ``keep``, ``key`` (equal for equal sets of shingles) and ``bands``."""
+    """The columns ``keep``, ``key`` (equal for equal sets of shingles), ``print`` (the fingerprint) and ``bands``."""
     narrow = docs.select(*keep, utf8("text").alias("__text"))
     fields = narrow.schema.fields[:-1]
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, made = [], []
+            keys, prints, made = [], [], []
             for text in batch.column(batch.num_columns - 1).to_pylist():
-                own = shingles(text)
+                every = shingled(text)
+                prints.append(fingerprint(every))
+                own = np.unique(every)
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()))
                 made.append(bands(own))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.binary()), pa.array(made, pa.list_(pa.int64()))], names=[*names, "key", "bands"])
+            columns = [pa.array(keys, pa.binary()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(made, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*names, "key", "print", "bands"])
 
-    return narrow.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", key binary, bands array<long>")
+    return narrow.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", key binary, print long, bands array<long>")
 
 
-def _families(sets: DataFrame) -> DataFrame:
-    """(node, component) of the sets (id, bands) that share a band with another, through others too."""
+def _print_links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the sets (id, prints) whose fingerprints differ in ``APART`` bits at most."""
+    dealt = sets.select("id", F.explode("prints").alias("print"))
+    first = cut(dealt.groupBy("print").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")))
+    equal = dealt.join(first.filter("n > 1").select("print", "b"), "print").filter("id <> b").select(F.col("id").alias("a"), "b")
+    near = simhash.near_links(first.select("print"), APART)
+    ends = [first.select(F.col("print").alias(c), F.col("b").alias(f"of_{c}")) for c in "ab"]
+    return equal.unionByName(near.join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).filter("a <> b"))
+
+
+def _band_links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the sets (id, bands) that share a band."""
     dealt = sets.select("id", F.explode("bands").alias("band"))
     first = cut(dealt.groupBy("band").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "b"))
-    return connected_components(dealt.join(first, "band").filter("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    return dealt.join(first, "band").filter("id <> b").select(F.col("id").alias("a"), "b")
+
+
+def _families(sets: DataFrame) -> DataFrame:
+    """(node, component) of the sets (id, prints, bands) that fingerprints or bands link with another, through others too."""
+    return connected_components(_print_links(sets).unionByName(_band_links(sets)).distinct())
 
 
 def _members(texts: DataFrame) -> DataFrame:
@@ -183,7 +217,7 @@ def links(members: DataFrame, tile: int = TILE_SHINGLES) -> DataFrame:
 def firsts(docs: DataFrame, key: str, row: str, tile: int = TILE_SHINGLES) -> DataFrame:
     """(row): of each class of near copies the row of the smallest ``key``, null last, then the smallest ``row``."""
     first = F.min(F.struct(F.col(key).isNull().alias("none"), key, row)).alias("first")
-    sets = cut(signed(docs, key, row).groupBy("key").agg(first, F.any_value("bands").alias("bands")).select(F.col(f"first.{row}").alias("id"), "first", "bands"))
+    sets = cut(signed(docs, key, row).groupBy("key").agg(first, F.collect_set("print").alias("prints"), F.any_value("bands").alias("bands")).select(F.col(f"first.{row}").alias("id"), "first", "prints", "bands"))
     family = cut(_families(sets).select(F.col("component").alias("family"), F.col("node").alias(row)))
     texts = docs.select(row, "text").join(family, row).withColumnRenamed(row, "id")
     heads = connected_components(links(cut(_members(texts)), tile)).withColumnRenamed("node", "id")

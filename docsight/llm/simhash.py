@@ -32,6 +32,16 @@ FRONT = 1 << 20
 TASK_ROWS = 1 << 16
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, the highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The fingerprint of ``n`` hashes: a bit is set if over half of them have it."""
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+
+
 def fingerprint(data: bytes | None, width: int = 4) -> int:
     """SimHash of the lower-cased words' shingles: a bit is set if over half of the hashes have it; 0 without words."""
     words = (data or b"").lower().split()
@@ -44,8 +54,8 @@ def fingerprint(data: bytes | None, width: int = 4) -> int:
     for at in range(0, n, 1 << 16):
         upto = min(n, at + (1 << 16))
         hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(starts[at:upto], ends[min(width, len(words)) - 1 + at :])]
-        counts += np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+        counts += bit_counts(np.array(hashes, dtype=np.uint64))
+    return majority(counts, n)
 
 
 def trie_pairs(codes: np.ndarray, shared: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -614,6 +614,35 @@ def test_near_copies_are_those_of_brute_force(spark, tmp_path):
     assert sorted(r.row for r in near_copies.firsts(numbered, "doc_id", "row", tile=2000).collect()) == want
 
 
+def test_near_copies_take_the_links_of_fingerprints(spark, tmp_path, monkeypatch):
+    """Without MinHash bands: what the SimHash operator links, decided by exact similarity."""
+    import corpus_pipeline
+    from docsight.llm import near_copies
+
+    rows = [*_planted(), (1000, None), (1001, ""), (1002, "a b"), (1003, "A  b")]
+    words = [(t or "").lower().split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} - {()} for w in words]
+    prints = [simhash.fingerprint((t or "").encode(), 5) for _, t in rows]
+    pairs = list(itertools.combinations(range(len(rows)), 2))
+
+    def heads(linked):
+        head = list(range(len(rows)))
+        for i, j in pairs:
+            if linked(i, j) and head[i] != head[j]:
+                a, b = sorted((head[i], head[j]))
+                head = [a if x == b else x for x in head]
+        return head
+
+    family = heads(lambda i, j: sets[i] == sets[j] or (prints[i] ^ prints[j]).bit_count() <= 4)
+    same = lambda i, j: sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    want = sorted(rows[i][0] for i in set(heads(lambda i, j: family[i] == family[j] and same(i, j))))
+    assert len(want) < len(rows) - 40
+    monkeypatch.setattr(near_copies, "_band_links", lambda sets: spark.createDataFrame([], "a long, b long"))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/planted")
+    got = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(f"{tmp_path}/planted"), "")
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
 def test_too_many_languages_are_refused(spark):
     from pyspark.sql import functions as F
 
