@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from docsight import catalog
 from docsight.functions import calc
 from docsight.operators import cite
 from docsight.sources import tables as tb
@@ -96,3 +97,9 @@ def test_tool_calls(spark):
     df = spark.createDataFrame(rows, "stream string, n int, index int, id string, type string, name string, arguments string")
     got = [tuple(r) for r in cite.tool_calls(df, "stream", "n").orderBy("index").collect()]
     assert got == [("s", 0, "c1", "function", "search", '{"q": 1}', True), ("s", 1, "c2", "function", "f", "{bad", False), ("s", 2, "c3", "function", "g", "", True)]
+
+
+def test_titles_keep_unfinished_references(spark):
+    pages = [(1, "<h1>a &amp;&amp b</h1><p>x</p>"), (2, "<h1>c &lt; &quot;d&quot; &amp;lt;</h1><p>x</p>")]
+    got = catalog.page_titles(lambda _: spark.createDataFrame(pages, "page_id long, html string")).collect()
+    assert {r["page_id"]: r["heading"] for r in got} == {1: "a &&amp b", 2: 'c &lt; "d" &lt;'}
