@@ -38,3 +38,14 @@ def select_files(files: DataFrame, rules: dict[str, list[str]], default: list[st
     group = F.when(fixed > 0, 0).when(number.isNotNull(), 1).otherwise(2)
     order = Window.partitionBy("source").orderBy(group, F.when(fixed > 0, fixed).otherwise(number), name, "path")
     return kept.select("source", "path", F.row_number().over(order).alias("place"))
+
+
+def placed(rows: DataFrame, *columns: str) -> DataFrame:
+    """The columns of a table as read from Parquet files, and ``place``: numbers in the order of its files' paths, then of their rows.
+
+    The order does not depend on how the files are dealt over tasks.
+    """
+    each = rows.select(*columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    paths = rows.select(F.col("_metadata.file_path").alias("__file")).distinct()
+    numbered = paths.select("__file", (F.row_number().over(Window.orderBy("__file")) - 1).cast("long").alias("__n"))  # one row for each file
+    return each.join(F.broadcast(numbered), "__file").select(*columns, (F.shiftleft("__n", 40) + F.col("__row")).alias("place"))

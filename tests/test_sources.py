@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from docsight import catalog
 from docsight.functions import calc
 from docsight.operators import cite
-from docsight.sources import tables as tb
+from docsight.sources import files, tables as tb
 
 
 def test_calculator(spark):
@@ -99,6 +99,22 @@ def test_tool_calls(spark):
     assert got == [("s", 0, "c1", "function", "search", '{"q": 1}', True), ("s", 1, "c2", "function", "f", "{bad", False), ("s", 2, "c3", "function", "g", "", True)]
 
 
+def test_rows_have_places_in_the_order_of_files(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    # the first rows are in the small file, which is not the first to be read
+    for name, values in (("a", [7.0, None, 1.0]), ("b", [9.0] * 4000), ("c", [5.0, 8.0])):
+        n = len(values)
+        pq.write_table(pa.table({"l_linenumber": pa.array([1] * n, pa.int32()), "l_orderkey": pa.array([4] * n, pa.int64()), "l_quantity": pa.array(values, pa.float64())}), tmp_path / f"{name}.parquet")
+    pq.write_table(pa.table({"l_linenumber": pa.array([2], pa.int32()), "l_orderkey": pa.array([4], pa.int64()), "l_quantity": pa.array([3.0], pa.float64())}), tmp_path / "d.parquet")
+    rows = spark.read.parquet(str(tmp_path))
+    assert [r["l_quantity"] for r in files.placed(rows, "l_quantity").orderBy("place").collect()] == [7.0, None, 1.0, *[9.0] * 4000, 5.0, 8.0, 3.0]
+    # null is no value; of the others the first counts
+    (row,) = catalog.pairwise_stability(lambda _: rows).collect()
+    assert (row["run_a"], row["run_b"], row["shared"], row["mean_diff"]) == (1, 2, 1, 4.0)
+
+
 def test_titles_keep_unfinished_references(spark):
     pages = [(1, "<h1>a &amp;&amp b</h1><p>x</p>"), (2, "<h1>c &lt; &quot;d&quot; &amp;lt;</h1><p>x</p>")]
     got = catalog.page_titles(lambda _: spark.createDataFrame(pages, "page_id long, html string")).collect()
