@@ -55,7 +55,8 @@ def words_of(name: Column) -> Column:
     plain = F.translate(_text(name), "‘’“”", "''\"\"")
     bare = F.regexp_replace(F.regexp_replace(plain, r"(?i)'s\b", ""), "'", "")
     spaced = F.trim(F.regexp_replace(F.regexp_replace(bare, r"[‐-―\-_/]", " "), r"\s+", " "))
-    return F.trim(F.regexp_replace(F.lower(spaced), rf"^(?:(?:{'|'.join(ARTICLES)})(?: |$))+", ""))
+    # Possessive: taken back one by one, as many articles as a text may begin with would overflow the stack.
+    return F.trim(F.regexp_replace(F.lower(spaced), rf"^(?:(?:{'|'.join(ARTICLES)})(?: |$))++", ""))
 
 
 def singular(word: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from docsight.functions import forms as fm
 from docsight.functions import naming as nm
 from docsight.functions import text as tx
+from docsight.operators import compile as cp
 from docsight.operators import ingest as ig
 from docsight.operators import retrieve as rt
 from docsight.operators import runs as rn
@@ -159,3 +160,11 @@ def test_upsert_subset_and_log(spark, tmp_path):
 def test_windowed_counts_on_a_batch(spark):
     rows = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:10:00", "a")], "ts string, event_type string")
     assert sorted(r["n"] for r in guards.windowed_counts(rows.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")).collect()) == [1, 2]
+
+
+def test_many_articles_are_folded(spark):
+    texts = [(1, "Cat sees " + "a " * 50000), (2, "The " * 50000 + "cat sees")]
+    got = cp.health_marks(cp.propose_claims(spark.createDataFrame(texts, "doc_id long, text string"))).collect()
+    assert {r["doc_id"]: r["marks"] for r in got} == {1: [], 2: []}
+    assert values(spark, ["the a an The Cats"], fm.form_key) == ["cat"]
+    assert values(spark, ["SO-that", "sothat", "an", "n", None], lambda x: tx.has_words(x, ("so that", "n"))) == [True, False, False, True, False]
