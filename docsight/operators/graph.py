@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import bare, cut
 
 
 def undirected_degree(edges: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def components(links: DataFrame) -> DataFrame:
     component; links with a null end are none.
     """
     known = links.filter("src is not null and dst is not null")
-    edges, before = cut(known.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()), None
+    edges, before = bare(cut(known.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())), None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -55,7 +55,7 @@ def components(links: DataFrame) -> DataFrame:
         large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = bare(cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()))
     nodes = known.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     return nodes.join(edges.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
 

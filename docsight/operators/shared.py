@@ -7,6 +7,12 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
+def bare(df: DataFrame) -> DataFrame:
+    """A materialised table without what the planner knows of its origin: where a loop joins its own results, that doubles with each round."""
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), session)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The table, materialised by ``checkpoint`` in the folder of spark.checkpoint.dir.
 

@@ -90,6 +90,15 @@ def test_components_and_degree(spark):
     assert {r["node"]: r["degree"] for r in gr.undirected_degree(e).collect()} == {1: 1, 2: 2, 3: 2, 4: 1, 8: 1, 9: 1}
 
 
+def test_long_chains_leave_no_estimates_behind(spark):
+    chain = spark.range(3000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    found = gr.components(chain)
+    assert found.count() == 3001 and found.agg(F.max("component")).first()[0] == 0
+    # the planner's guess of the size is a product over all rounds, unless the rounds' tables hide where they come from
+    guess = found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert guess < 1 << 512
+
+
 def test_level_selection_by_threshold(spark):
     rows = [(0, None, 0, 5), (1, None, 0, 1), (2, 0, 1, 4), (3, 0, 1, 1), (4, 1, 1, 5), (5, 2, 2, 3), (6, 4, 2, None)]
     got = gr.select_levels(spark.createDataFrame(rows, "community long, parent long, level int, rating int"), [3, 5, 6]).collect()
