@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import forms as fm
 from .functions import naming as nm
+from .functions import text as tx
 from .operators import graph as gr
 from .operators import judge as jd
 from .operators import links as lk
@@ -98,8 +99,7 @@ p as (select doc_id, seq, x, lag(x) over (partition by doc_id order by seq) as y
 select doc_id, seq, coalesce(list_max(list_filter(range(12, 401), lambda k: k <= least(length(x), length(y)) and right(y, k) = left(x, k))), 0) as overlap from p where y is not null""")
 def adjacent_overlap(t):
     d = t("documents").filter("text is not null")
-    n = F.greatest(F.lit(1), F.ceil(F.length("text") / 450.0)).cast("long")
-    c = d.select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("seq")).select("doc_id", "seq", F.expr("substring(text, cast(seq * 450 + 1 as int), 500)").alias("x"))
+    c = d.select("doc_id", F.posexplode(tx.pieces(F.col("text"), 450, 50)).alias("seq", "x")).select("doc_id", F.col("seq").cast("long").alias("seq"), "x")
     return lk.adjacent_overlap(c, "doc_id", "seq", "x").select("doc_id", "seq", F.col("overlap").cast("long").alias("overlap"))
 
 

@@ -111,11 +111,24 @@ def adjacent_overlap(chunks: DataFrame, group: str, order: str, text: str, least
     The first chunk of a group has no row.
     """
     before = F.lag(F.right(text, F.lit(most))).over(Window.partitionBy(group).orderBy(order))
-    pairs = chunks.select(group, order, F.left(text, F.lit(most)).alias("b"), before.alias("a")).filter("a is not null")
-    top = F.least(F.length("a"), F.length("b"))
-    fits = F.filter(F.sequence(F.lit(least), F.greatest(top, F.lit(least))), lambda k: (k <= top) & (F.right("a", k) == F.left("b", k)))
-    # an overlap begins with the chunk's first characters, so most pairs need no trial
-    return pairs.select(group, order, F.when(F.col("a").contains(F.left("b", F.lit(least))), F.coalesce(F.array_max(fits), F.lit(0))).otherwise(0).alias("overlap"))
+    pairs = chunks.select(F.struct(group, order).alias("at"), F.left(text, F.lit(most)).alias("b"), before.alias("a")).filter("a is not null")
+
+    def longest(a: str, b: str | None) -> int:
+        """An overlap begins where the chunk's first characters stand, so only those places are tried, the longest first."""
+        head = (b or "")[:least]
+        at = a.find(head, max(0, len(a) - len(b or ""))) if len(head) == least else -1
+        while at >= 0:
+            if len(a) - at >= least and b.startswith(a[at:]):
+                return len(a) - at
+            at = a.find(head, at + 1)
+        return 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [longest(a, b) for b, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int32())], names=["at", "overlap"])
+
+    return pairs.mapInArrow(run, f"at {pairs.schema['at'].dataType.simpleString()}, overlap int").select("at.*", "overlap")
 
 
 def term_overlap(terms: DataFrame, least: int) -> DataFrame:

@@ -137,3 +137,19 @@ def test_costs_are_rounded_as_the_product_says(spark):
     runs = spark.createDataFrame([(900.0, 9, 0, 9, 18000.0), (10.0, 1, 0, None, 8.0)], "unit double, rated int, kept int, reduce int, actual double")
     assert [(r["predicted"], r["error_pct"]) for r in jd.cost_model(runs).orderBy("actual").collect()] == [(10, 25.0), (8109, -55.0)]
     assert value(spark, tx.rounded(F.lit(None).cast("double"), 1)) is None
+
+
+def test_overlaps_equal_every_trial(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["ab" * 20, "ab" * 15 + "x", "é" * 30, "é" * 25, "", "a" * 11, "a" * 12, None, "a" * 500]
+    texts += ["".join(rng.choice("ab") for _ in range(rng.randrange(60))) for _ in range(60)]
+    texts += [t[-rng.randrange(1, 40) :] + "tail" for t in texts if t]
+    rng.shuffle(texts)
+    for least, most in ((12, 400), (3, 20)):
+        got = {r["seq"]: r["overlap"] for r in lk.adjacent_overlap(spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "g int, seq int, x string"), "g", "seq", "x", least, most).collect()}
+        fits = lambda a, b: max([k for k in range(least, most + 1) if k <= min(len(a), len(b or "")) and a[-k:] == b[:k]], default=0)  # noqa: E731, B023
+        assert got == {i: fits(texts[i - 1], texts[i]) for i in range(1, len(texts)) if texts[i - 1] is not None}
+    plan = lk.adjacent_overlap(spark.createDataFrame([], "g int, seq int, x string"), "g", "seq", "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan  # no trial of every length for every pair
