@@ -90,6 +90,26 @@ def test_components_and_degree(spark):
     assert {r["node"]: r["degree"] for r in gr.undirected_degree(e).collect()} == {1: 1, 2: 2, 3: 2, 4: 1, 8: 1, 9: 1}
 
 
+def test_similar_names_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, [rng.choice("abcdefgh") for _ in range(rng.randrange(0, 8))]) for i in range(150)] + [(150, None), (151, ["a", None, "b"]), (152, [None])]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    for least in (0.8, 0.5, 0.2):
+        want = {}
+        for a, x in rows:
+            for b, y in rows:
+                x_, y_ = set(x or []) - {None}, set(y or []) - {None}
+                if a < b and x_ and y_ and len(x_ & y_) / len(x_ | y_) >= least:
+                    want[a, b] = round(len(x_ & y_) / len(x_ | y_), 4)
+        got = cp.name_pairs(df, least).collect()
+        assert {(r["a"], r["b"]): r["score"] for r in got} == want and len(got) == len(want)
+    # a token that all have joins nothing by itself: each set is joined on two of its tokens
+    wide = spark.range(3000).select("id", F.array(F.lit("all"), F.lit("day"), F.concat(F.lit("c"), F.col("id"))).alias("tokens"))
+    assert cp.name_pairs(wide, 0.8).count() == 0
+
+
 def test_long_chains_leave_no_estimates_behind(spark):
     chain = spark.range(3000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     found = gr.components(chain)
